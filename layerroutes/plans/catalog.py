@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from layerroutes.plans import evaluation, trajectories
+from layerroutes.plans import evaluation, tables, trajectories, vectors
 from layerroutes.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "trajectories"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "tables", "trajectories", "vectors"]
