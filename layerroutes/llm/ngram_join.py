@@ -11,7 +11,8 @@ Texts become sets of word shingles. Two sets link when their Jaccard similarity
    compared with one leader, so a group of m sets costs m - 1 comparisons, not m * m.
 3. *Order of differences from the leader.* Two members that one leader did not join can only
    link if they share a difference from the leader, new tokens first, rarest first. Pairs
-   under a shared prefix difference and in different components are the remaining candidates.
+   under a shared prefix difference and in different components are the remaining candidates,
+   less those whose counts of differences, or of differences yet to come, cannot give a link.
 4. A remaining candidate must also share a prefix token under ascending and under descending
    numbers before its sets are intersected.
 
@@ -115,17 +116,19 @@ def _stars(percent: int):
     def run(batches):
         for b in batches:
             n, u, ln, lu = (b.column(k).to_numpy() for k in (2, 3, 5, 6))
-            linked, heads = [], []
+            linked, heads, gaps = [], [], []
             for i, (x, lead) in enumerate(zip(_values(b.column(4)), _values(b.column(7)), strict=True)):
                 new, gone = x[~np.isin(x, lead)], lead[~np.isin(lead, x)]
                 both = len(x) - len(new)
                 linked.append(100 * both >= percent * (int(n[i]) + int(ln[i]) - both))
-                q = min(int(n[i]) + int(ln[i]) - 2 * both, (100 - percent) * int(n[i]) // percent + 1) - int(u[i])
+                gap = int(n[i]) + int(ln[i]) - 2 * both
+                gaps.append(gap)
+                q = min(gap, (100 - percent) * int(n[i]) // percent + 1) - int(u[i])
                 head = np.concatenate([new, gone])[: max(0, q)]
                 if q > len(new) + len(gone) and lu[i]:
                     head = np.append(head, np.int64(0))
                 heads.append(head.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), _lists(heads)], ["lead", "rid", "linked", "diffs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(gaps, pa.int64()), b.column(3), _lists(heads)], ["lead", "rid", "linked", "gap", "u", "diffs"])
 
     return run
 
@@ -205,18 +208,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = t.store(post.join(leads, "tok").where("rid <> lead").select("lead", "rid").distinct(), "pairs")
     lead = s3.select(F.col("rid").alias("lead"), F.col("n").alias("ln"), F.col("u").alias("lu"), F.col("toks").alias("ltoks"))
     full = pairs.join(s3, "rid").join(lead, "lead").select("lead", "rid", "n", "u", "toks", "ln", "lu", "ltoks")
-    stars = t.store(full.mapInArrow(_stars(percent), "lead long, rid long, linked boolean, diffs array<long>"), "stars")
+    stars = t.store(full.mapInArrow(_stars(percent), "lead long, rid long, linked boolean, gap long, u long, diffs array<long>"), "stars")
     links = stars.where("linked").select(F.col("lead").alias("a"), F.col("rid").alias("b"))
     comp = t.store(components(t, links), "components")
 
-    diff = stars.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("lead", "rid", F.coalesce("comp", "rid").alias("comp"), F.explode("diffs").alias("tok"))
+    diff = stars.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("lead", "rid", "gap", "u", F.coalesce("comp", "rid").alias("comp"), F.posexplode("diffs").alias("at", "tok"))
     diff = t.store(diff, "differences")
     mixed = diff.groupBy("lead", "tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("lead", "tok")
     mixed = t.store(diff.join(mixed, ["lead", "tok"], "left_semi"), "mixed")
-    size = s3.select("rid", F.col("n"))
-    mixed = t.store(mixed.join(size, "rid"), "sized")
-    other = mixed.select("lead", "tok", F.col("rid").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("m"))
+    # what can still be shared: this difference and those after it, the text's own ones first
+    left = mixed.select("lead", "tok", "rid", "comp", "gap", (F.col("gap") - F.col("u") - F.col("at")).alias("after"))
+    mixed = t.store(left.join(s3.select("rid", "n"), "rid"), "sized")
+    other = mixed.select("lead", "tok", F.col("rid").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("m"), F.col("gap").alias("gap2"), F.col("after").alias("after2"))
+    most = F.lit(100 - percent) * (F.col("n") + F.col("m"))  # (100 + percent) * |x ^ y| is at most this in a link
     near = (F.lit(100) * F.least("n", "m")) >= (F.lit(percent) * F.greatest("n", "m"))
+    near &= (F.lit(100 + percent) * F.abs(F.col("gap") - F.col("gap2"))) <= most
+    near &= (F.lit(100 + percent) * (F.col("gap") + F.col("gap2") - 2 * F.least("after", "after2"))) <= most
     rest = mixed.join(other, ["lead", "tok"]).where((F.col("comp") < F.col("comp2")) & near).select(F.col("rid").alias("a"), "b").distinct()
     rest = t.store(rest, "rest")
     right = s3.select(F.col("rid").alias("b"), F.col("n").alias("m"), F.col("toks").alias("toks2"))
