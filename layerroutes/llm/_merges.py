@@ -61,18 +61,19 @@ class Merges:
                 offer(before[i], i)
         return np.array([x for x in s if x >= 0], np.int64)
 
-    def _rows(self, s: np.ndarray, out: list, where: np.ndarray) -> None:
+    def matrix(self, s: np.ndarray) -> np.ndarray:
+        """Rows of one length, merged; -1 fills up what became shorter. ``s`` is used up."""
+        done = np.full(s.shape, -1, np.int64)
+        where = np.arange(len(s))
         rank, new = self.look(s[:, :-1], s[:, 1:])
         while s.shape[1] > 1:
             at = rank.argmin(axis=1)
-            best = np.take_along_axis(rank, at[:, None], 1)[:, 0]
-            over = best >= _NONE
+            over = rank[np.arange(len(s)), at] >= _NONE
             if over.any():
-                for row, k in zip(s[over], where[over].tolist(), strict=True):
-                    out[k] = row[row >= 0]
+                done[where[over], : s.shape[1]] = s[over]
                 s, rank, new, where, at = (x[~over] for x in (s, rank, new, where, at))
                 if not len(s):
-                    return
+                    return done
             row, width = np.arange(len(s)), s.shape[1]
             s[row, at] = new[row, at]
             cols = np.arange(width - 1)[None, :]
@@ -85,22 +86,21 @@ class Merges:
             for i, has in ((at - 1, at > 0), (at, at < width - 2)):
                 r, i = row[has], i[has]
                 rank[r, i], new[r, i] = self.look(s[r, i], s[r, i + 1])
-        for row, k in zip(s, where.tolist(), strict=True):
-            out[k] = row[row >= 0]
+        done[where, : s.shape[1]] = s
+        return done
 
     def encode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         out: list = [None] * len(sequences)
         sizes = np.array([len(x) for x in sequences], np.int64)
         for n in np.unique(sizes).tolist():
-            which = np.flatnonzero(sizes == n)
-            if n > LONGEST_ROW:
-                for k in which.tolist():
-                    out[k] = self.alone(sequences[k])
-            elif n < 2:
-                for k in which.tolist():
-                    out[k] = np.asarray(sequences[k], np.int64)
-            else:
-                for a in range(0, len(which), ROWS):
-                    part = which[a : a + ROWS]
-                    self._rows(np.stack([sequences[k] for k in part.tolist()]).astype(np.int64), out, part)
+            which = np.flatnonzero(sizes == n).tolist()
+            if n < 2 or n > LONGEST_ROW:
+                for k in which:
+                    out[k] = self.alone(sequences[k]) if n else np.empty(0, np.int64)
+                continue
+            for a in range(0, len(which), ROWS):
+                part = which[a : a + ROWS]
+                rows = self.matrix(np.stack([sequences[k] for k in part]).astype(np.int64))
+                for k, row, m in zip(part, rows, (rows >= 0).sum(1).tolist(), strict=True):
+                    out[k] = row[:m]
         return out

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layerroutes.llm import _words
-from layerroutes.llm._merges import Merges
+from layerroutes.llm._merges import LONGEST_ROW, ROWS, Merges
 from layerroutes.llm._shared import Tables
 
 FILE_LIMIT = 64 << 20
@@ -69,22 +69,38 @@ class WordTokenizer:
         self.last = np.array([vocab[c + end] for c in letters], np.int64)
         self.kind = np.dtype("<u2" if max(vocab.values()) < 65536 else "<u4")
         self.seen: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        parts, counts = [], []
-        for w in words:
-            found = _PARTS.findall(w)
-            counts.append(len(found))
-            for p in found:
-                raw = np.frombuffer(p.encode(), np.uint8)
-                ids = self.inner[raw]
-                ids[-1] = self.last[raw[-1]]
-                parts.append(ids)
-        made = self.merges.encode(parts)
-        at = 0
-        for w, n in zip(words, counts, strict=True):
-            self.seen[w] = b"".join([x.astype(self.kind).tobytes() for x in made[at : at + n]])
-            at += n
+        self.parts: dict[str, bytes] = {}
+
+    def _symbols(self, raw: np.ndarray) -> np.ndarray:
+        ids = self.inner[raw]
+        ids[..., -1] = self.last[raw[..., -1]]
+        return ids
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        by_size = defaultdict(list)
+        for p in parts:
+            raw = p.encode()
+            by_size[len(raw)].append((p, raw))
+        for n, group in by_size.items():
+            if n > LONGEST_ROW:
+                for p, raw in group:
+                    self.parts[p] = self.merges.alone(self._symbols(np.frombuffer(raw, np.uint8))).astype(self.kind).tobytes()
+                continue
+            for a in range(0, len(group), ROWS):
+                some = group[a : a + ROWS]
+                made = self.merges.matrix(self._symbols(np.frombuffer(b"".join([x[1] for x in some]), np.uint8).reshape(-1, n)))
+                raw, item = made.astype(self.kind).tobytes(), self.kind.itemsize
+                for k, ((p, _), m) in enumerate(zip(some, (made >= 0).sum(1).tolist(), strict=True)):
+                    self.parts[p] = raw[k * n * item : (k * n + m) * item]
+
+    def learn(self, words: set[str]) -> None:
+        cut = [_PARTS.findall(w) for w in words]
+        if len(self.parts) > KEPT:
+            self.parts.clear()
+        self._learn_parts(set().union(*cut) - self.parts.keys())
+        known = self.parts
+        for w, found in zip(words, cut, strict=True):
+            self.seen[w] = known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found])
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of ``kind``."""
@@ -93,7 +109,7 @@ class WordTokenizer:
         if len(self.seen) + len(new) > KEPT:
             self.seen.clear()
             new = set().union(*(c for c in cut if c))
-        self.learn(sorted(new))
+        self.learn(new)
         out = []
         for t, words in zip(texts, cut, strict=True):
             if words is None:
