@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layerroutes.llm import _words
-from layerroutes.llm._merges import Merges
+from layerroutes.llm._merges import LONGEST_ROW, ROWS, Merges
 
 SPACE = "▁"
 MODEL_LIMIT = 64 << 20
@@ -46,36 +46,59 @@ class Encoder:
                 if (a := ids.get(p[:k])) is not None and (b := ids.get(p[k:])) is not None:
                     left.append(a), right.append(b), made.append(i), score.append(sp.get_score(i))
         places = np.unique(-np.asarray(score), return_inverse=True)[1]
-        # characters without a piece keep their place as symbols that nothing merges with
         self.merges = Merges(left, right, places, made)
+        # characters without a piece keep their place as symbols that nothing merges with
+        self.symbol = np.arange(0x110000, dtype=np.int64) + 2**31
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        self.symbol[32] = self.symbol[ord(SPACE)]
+        self.decimal = [b",%d" % i for i in range(n)]
         self.seen: dict[bytes, tuple[bytes, bytes]] = {}
 
-    def symbols(self, stretch: str) -> np.ndarray:
-        return np.array([self.ids.get(c, 2**31 + ord(c)) for c in stretch.replace(" ", SPACE)], np.int64)
+    def symbols(self, text: str) -> np.ndarray:
+        return self.symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
 
-    def spelled(self, symbols: np.ndarray) -> list[int]:
+    def spelled(self, symbols: list[int]) -> list[int]:
         """Ids, with a character that has no piece as its bytes."""
         out: list[int] = []
-        for s in symbols.tolist():
+        for s in symbols:
             if s < 2**31:
                 out.append(s)
             else:
                 out += [self.byte[b] for b in chr(s - 2**31).encode()]
         return out
 
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        found: list = [None] * len(texts)
+        by_size: dict[int, list[int]] = {}
+        for k, t in enumerate(texts):
+            by_size.setdefault(len(t), []).append(k)
+        for n, which in by_size.items():
+            if n > LONGEST_ROW:
+                for k in which:
+                    found[k] = self.spelled(self.merges.alone(self.symbols(texts[k])).tolist())
+                continue
+            for a in range(0, len(which), ROWS):
+                part = which[a : a + ROWS]
+                made = self.merges.matrix(self.symbols("".join([texts[k] for k in part])).reshape(-1, n))
+                odd = (made >= 2**31).any(1).tolist()
+                for k, row, m, o in zip(part, made.tolist(), (made >= 0).sum(1).tolist(), odd, strict=True):
+                    found[k] = self.spelled(row[:m]) if o else row[:m]
+        return found
+
     def learn(self, stretches: list[bytes], check: bool) -> None:
-        if len(self.seen) + len(stretches) > KEPT:
-            self.seen.clear()
         texts = [s.decode() for s in stretches]
-        found = [self.spelled(x) for x in self.merges.encode([self.symbols(t) for t in texts])]
+        found = self.encoded(texts)
         if check:
             # the library puts a space before each text, which every stretch brings along
             theirs = self.library.encode([t[1:] for t in texts], num_threads=1)
             for t, a, b in zip(texts, found, theirs, strict=True):
                 if a != b and t != " ":
                     raise ValueError(f"not as the sentencepiece library encodes: {t!r}")
+        raw, decimal = self.raw.__getitem__, self.decimal.__getitem__
         for s, i in zip(stretches, found, strict=True):
-            self.seen[s] = (b"," + ",".join(map(str, i)).encode() if i else b"", b"".join(map(self.raw.__getitem__, i)))
+            self.seen[s] = (b"".join(map(decimal, i)), b"".join(map(raw, i)))
 
     def batch(self, texts: list[bytes], check: bool) -> list[tuple[bytes, bytes]]:
         """Decimal ids, each after a comma, and decoded bytes of each text."""
@@ -92,7 +115,7 @@ class Encoder:
         if len(self.seen) + len(new) > KEPT:
             self.seen.clear()
             new = set().union(*cut)
-        self.learn(sorted(new), check)
+        self.learn(list(new), check)
         out = []
         for stretches in cut:
             both = [self.seen[s] for s in stretches]
