@@ -34,20 +34,34 @@ _SPACES = re.compile(r"\s+")
 
 
 class _Nodes(HTMLParser):
-    """Text nodes of a page: path, is it marked as no article, text, and its block."""
+    """Text nodes of a page: path, is it marked as no article, text, and its block. Paths are
+    numbers in a tree, parents before children, so that deep nesting costs no more than its tags."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool]] = []  # tag, path, no article
-        self.nodes: list[tuple[str, bool, str, int]] = []
+        self.tags, self.parents = [""], [0]
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, path, no article, in an article
+        self.open: dict[str, int] = defaultdict(int)
+        self.nodes: list[tuple[int, bool, str, int]] = []
         self.block = 0
 
+    def _path(self, parent: int, tag: str, name: str) -> int:
+        n = self.numbers.setdefault((parent, name), len(self.tags))
+        if n == len(self.tags):
+            self.tags.append(tag)
+            self.parents.append(parent)
+        return n
+
     def _close(self, k: int) -> None:
-        if any(t in BLOCK for t, _, _ in self.stack[k:]):
-            self.block += 1
+        for tag, *_ in self.stack[k:]:
+            self.open[tag] -= 1
+            self.block += tag in BLOCK
         del self.stack[k:]
 
     def _close_open(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] in tags:
                 self._close(k)
@@ -69,13 +83,13 @@ class _Nodes(HTMLParser):
             if k in ("class", "id", "role") and v:
                 words += " " + v
         marks = set(_CUT.split(words.lower()))
-        inside = bool(self.stack) and self.stack[-1][2]
+        _, parent, inside, in_article = self.stack[-1] if self.stack else ("", 0, False, False)
         if not inside:
             body = tag in ("html", "body", "article", "main")
-            in_article = any(t in ("article", "main") for t, _, _ in self.stack)
             inside = tag in NO_TEXT or (tag == "header" and not in_article) or (not body and bool(marks & MARKS)) or any(k == "hidden" for k, _ in attrs)
         name = tag + "".join("." + m for m in sorted(marks - {""}))
-        self.stack.append((tag, (self.stack[-1][1] if self.stack else "") + "/" + name, inside))
+        self.stack.append((tag, self._path(parent, tag, name), inside, in_article or tag in ("article", "main")))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # in HTML the slash means nothing
@@ -83,16 +97,15 @@ class _Nodes(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.block += 1
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self._close(k)
                 return
 
     def handle_data(self, data):
-        if self.stack:
-            _, path, out = self.stack[-1]
-        else:
-            path, out = "", False
+        _, path, out, _ = self.stack[-1] if self.stack else ("", 0, False, False)
         self.nodes.append((path, out, data, self.block))
 
 
@@ -102,7 +115,7 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(x, k)[2:-2] / np.convolve(np.ones(len(x)), k)[2:-2]
 
 
-def content_paths(nodes: list[tuple[str, str]]) -> set[str]:
+def content_paths(nodes: list[tuple[int, str]]) -> set[int]:
     """Paths whose fused ratio reaches the threshold. nodes: path and text in page order."""
     count, chars, points = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text in nodes:
@@ -113,30 +126,28 @@ def content_paths(nodes: list[tuple[str, str]]) -> set[str]:
     length = _smooth(np.array([chars[p] / count[p] for p in of], float))
     marks = _smooth(np.array([points[p] / count[p] for p in of], float))
     fused = length * (1 + marks)
-    score: dict[str, float] = {}
+    score: dict[int, float] = {}
     for p, v in zip(of, fused.tolist(), strict=True):
         score[p] = max(score.get(p, 0.0), v)
     edge = min(float(fused.std()), float(fused.max()))
     return {p for p, v in score.items() if v >= edge}
 
 
-def _container(nodes: list[tuple[str, str]], chosen: set[str]) -> str:
+def _container(tags: list[str], parents: list[int], nodes: list[tuple[int, str]], chosen: set[int]) -> int:
     """The path of the article or main element over most chosen text, else the deepest
     container over nine tenths of it."""
-    weight: dict[str, int] = defaultdict(int)
-    total = 0
+    weight, depth = [0] * len(tags), [0] * len(tags)
     for path, text in nodes:
-        if path not in chosen:
-            continue
-        total += len(text)
-        steps = path.split("/")
-        for k in range(len(steps)):
-            if k == 0 or steps[k].partition(".")[0] in CONTAINER:
-                weight["/".join(steps[: k + 1])] += len(text)
-    named = [p for p in weight if p.rpartition("/")[2].partition(".")[0] in ("article", "main") and 2 * weight[p] >= total]
+        if path in chosen:
+            weight[path] += len(text)
+    for p in range(len(tags) - 1, 0, -1):
+        weight[parents[p]] += weight[p]
+    for p in range(1, len(tags)):
+        depth[p] = depth[parents[p]] + 1
+    named = [p for p, tag in enumerate(tags) if tag in ("article", "main") and 2 * weight[p] >= weight[0]]
     if named:
-        return min(named, key=len)
-    return max((p for p in weight if 10 * weight[p] >= 9 * total), key=lambda p: p.count("/"))
+        return min(named, key=depth.__getitem__)
+    return max((p for p, tag in enumerate(tags) if (p == 0 or tag in CONTAINER) and 10 * weight[p] >= 9 * weight[0]), key=depth.__getitem__)
 
 
 def main_text(html: str) -> str:
@@ -146,10 +157,13 @@ def main_text(html: str) -> str:
     nodes = [(p, t) for p, out, t, _ in parser.nodes if not out and t.strip()]
     if not nodes:
         return ""
-    top = _container(nodes, content_paths(nodes))
+    top = _container(parser.tags, parser.parents, nodes, content_paths(nodes))
+    within = [False] * len(parser.tags)
+    for p, parent in enumerate(parser.parents):
+        within[p] = p == top or within[parent]
     blocks: dict[int, list[str]] = defaultdict(list)
     for path, out, text, block in parser.nodes:
-        if not out and (path == top or path.startswith(top + "/")):
+        if not out and within[path]:
             blocks[block].append(text)
     found = (_SPACES.sub(" ", "".join(b)).strip() for _, b in sorted(blocks.items()))
     return "\n".join(x for x in found if x)

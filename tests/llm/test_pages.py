@@ -65,6 +65,12 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+def test_deep_and_broken_nesting():
+    deep = 30_000
+    assert main_text("<div>" * deep + LONG + "</div>" * deep) == LONG.strip()
+    assert main_text("<span>" * deep + "</b></p></i>" * deep + LONG) == LONG.strip()
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGES[2][0]), (1, None, None), (None, "v", "<p>" + "x" * 500_000)]
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in extract(frame(spark, rows)).collect()}
