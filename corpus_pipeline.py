@@ -29,7 +29,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    # labelled junk is gone from docs by now, so the model learns from all labelled documents
+    model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     chosen = docs.withColumn("_doc", F.col("doc_id"))
     return quality_classifier.score(chosen, model, id_col="_doc", keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
 

@@ -53,3 +53,18 @@ def test_stages_against_brute_force(spark, tmp_path):
     for x in docs.collect():
         got[x.doc_id] = got.get(x.doc_id, 0) + x.length
     assert got == tokens
+
+
+def test_classifier_stage_decides(spark, tmp_path):
+    """Junk that the rules before it would have let through goes; the stage learns from all
+    labelled documents, not only from those that are left."""
+    r = random.Random(5)
+    good = [clean(r, r.randint(60, 200)) for _ in range(300)]
+    junk = [" ".join(x.upper() + "%%%" for x in clean(r, r.randint(60, 200)).split()) for _ in range(300)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(good + junk)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 300), 0) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stage = dict(corpus_pipeline.STAGES)["quality_classifier"]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for some in (docs, docs.where("doc_id < 300"), docs.where("doc_id >= 300")):
+        assert {x.doc_id for x in stage(spark, some, str(tmp_path)).collect()} == {x.doc_id for x in some.collect() if x.doc_id < 300}
