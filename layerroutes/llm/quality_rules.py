@@ -91,27 +91,103 @@ def _vector() -> list[Column]:
     ]
 
 
-def _quantile(rows: DataFrame, keys: list[str], value: Column, share: float) -> DataFrame:
-    """Per key the least grid value with at least ``share`` of the rows at or below it. Rows
-    are counted on the grid first, so that a key of any size is a few thousand rows."""
+def _quantile(rows: DataFrame, keys: list[str], value: Column, share: float | None) -> DataFrame:
+    """Per key the least grid value with at least ``share`` of the rows, or without one more
+    than half of them, at or below it. Rows are counted on the grid first, so that a key of any
+    size is a few thousand rows."""
     grid = rows.select(*keys, F.floor(value * _STEP).cast("long").alias("g")).groupBy(*keys, "g").agg(F.count("*").alias("c"))
     by = Window.partitionBy(*keys)
     run = grid.withColumn("run", F.sum("c").over(by.orderBy("g"))).withColumn("all", F.sum("c").over(by))
-    return run.where(F.col("run") >= F.col("all") * share).groupBy(*keys).agg(((F.min("g") + 1) / _STEP).alias("at"))
+    need = F.floor(F.col("all") / 2) + 1 if share is None else F.col("all") * share
+    return run.where(F.col("run") >= need).groupBy(*keys).agg(((F.min("g") + 1) / _STEP).alias("at"))
+
+
+def _shortest_half(frames):
+    """Middle and half the width of the shortest range of grid cells with over half the rows."""
+    for f in frames:
+        at, width = [], []
+        for cells in f["cells"]:
+            g = np.array([r["g"] for r in cells])
+            c = np.cumsum([r["c"] for r in cells])
+            before = np.concatenate([[0], c[:-1]])
+            end = np.searchsorted(c, before + c[-1] // 2 + 1)
+            first = np.flatnonzero(end < len(g))
+            k = first[np.argmin(g[end[first]] - g[first])]
+            at.append((g[k] + g[end[k]] + 1) / 2 / _STEP)
+            width.append((g[end[k]] - g[k] + 1) / 2 / _STEP)
+        yield pd.DataFrame({"key": f["key"], "k": f["k"], "mode": at, "width": width})
+
+
+def _full(q) -> np.ndarray:
+    full = np.zeros((_DIMS, _DIMS))
+    full[np.tril_indices(_DIMS)] = np.asarray(q, float)
+    return full + np.tril(full, -1).T
+
+
+def _shape(key, start: int, centre: np.ndarray, scatter: np.ndarray) -> tuple:
+    """Whitening rows (inverse Cholesky factor, row by row) and the log of the determinant."""
+    low = np.linalg.cholesky(scatter)
+    return key, start, centre.tolist(), np.linalg.inv(low).ravel().tolist(), float(2 * np.log(np.diag(low)).sum())
+
+
+_SHAPE = "key string, start int, centre array<double>, white array<double>, logdet double"
+
+
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["key", "start", "centre", "white", "logdet"])
+
+
+def _starts(frames):
+    """Four starts a key: medians, shortest halves, and about the medians the scatter of
+    hyperbolic tangents and of directions."""
+    for f in frames:
+        out = []
+        for key, p, n, ts, tq, uq in zip(f["key"], f["p"], f["n"], f["ts"], f["tq"], f["uq"], strict=True):
+            at, mode = (np.array([r[c] for r in p]) for c in ("at", "mode"))
+            sd = np.maximum([1.4826 * r["mad"] for r in p], FLOORS)
+            width = np.maximum([1.4826 * r["width"] for r in p], FLOORS)
+            mean = np.asarray(ts) / n
+            eye = 0.01 * np.eye(_DIMS)
+            turned = [_full(tq) / n - np.outer(mean, mean) + eye, _full(uq) / n + eye]
+            out += [_shape(key, 0, at, np.diag(sd**2)), _shape(key, 1, mode, np.diag(width**2))]
+            out += [_shape(key, 2 + k, at, m * np.outer(sd, sd)) for k, m in enumerate(turned)]
+        yield _frame(out)
 
 
 def _shapes(frames):
-    """From sums to centre and whitening rows (inverse Cholesky factor, row by row)."""
+    """From sums to centre and scatter. A scatter leans on that of the level above by a weight
+    that falls smoothly with its rows: at as many rows as a scatter has entries, by half."""
+    entries = _DIMS * (_DIMS + 1) / 2
     for f in frames:
-        centres, whites = [], []
-        for n, s, q in zip(f["n"], f["s"], f["q"], strict=True):
-            mean = np.asarray(s) / n
-            full = np.zeros((_DIMS, _DIMS))
-            full[np.tril_indices(_DIMS)] = np.asarray(q) / n
-            full = full + np.tril(full, -1).T - np.outer(mean, mean) + np.diag(np.square(FLOORS))
-            centres.append(mean.tolist())
-            whites.append(np.linalg.inv(np.linalg.cholesky(full)).ravel().tolist())
-        yield pd.DataFrame({"key": f["key"], "centre": centres, "white": whites})
+        out = []
+        for r in f.to_dict("records"):
+            scatter = None
+            for u in ("2", "1", "0"):  # all, language, own
+                if r[f"s{u}"] is None:
+                    continue
+                n = r[f"n{u}"]
+                mean = np.asarray(r[f"s{u}"]) / n
+                own = _full(r[f"q{u}"]) / n - np.outer(mean, mean) + np.diag(np.square(FLOORS))
+                w = 1.0 if scatter is None else n / (n + entries)
+                scatter = own if scatter is None else w * own + (1 - w) * scatter
+            out.append(_shape(r["key"], r["start"], mean, scatter))
+        yield _frame(out)
+
+
+def _estimates(near: DataFrame, tree: DataFrame, *more: Column) -> DataFrame:
+    """Shapes by key and start of the rows ``near``; ``more`` is added up beside them."""
+    xs = [f"x{k}" for k in range(_DIMS)]
+    cross = [F.sum(F.col(xs[i]) * F.col(xs[j])) for i in range(_DIMS) for j in range(i + 1)]
+    return near.groupBy("key", "start").agg(F.count("*").alias("n"), F.array(*(F.sum(x) for x in xs)).alias("s"), F.array(*cross).alias("q"), *more).join(tree, "key")
+
+
+def _fit(sums: DataFrame) -> DataFrame:
+    def of(level: str) -> DataFrame:
+        return sums.select(F.col("key").alias(f"up{level}"), "start", *(F.col(c).alias(c + level) for c in "nsq"))
+
+    own = sums.select("key", "start", "up1", "up2", *(F.col(c).alias(c + "0") for c in "nsq"))
+    own = own.join(of("1"), ["up1", "start"], "left").join(of("2"), ["up2", "start"], "left")
+    return own.select("key", "start", *(f"{c}{u}" for u in "012" for c in "nsq")).mapInPandas(_shapes, _SHAPE)
 
 
 def _distance() -> Column:
@@ -132,11 +208,17 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base_failed: fewer than ``min_words`` words, or over ``max_repeat`` percent of the words in
     three-word windows that occur twice or more in the text. The others are judged against
     the estimates of their language and source if these have ``least`` rows to learn from, else
-    of their language, else of all. Null and empty texts have counts of 0 and fail. Null
+    of their language, else of all; scatters of few rows lean on the level above. Null and empty
+    texts have counts of 0 and fail. Null
     languages and sources form groups of their own. Null ids, ties and repeated rows are
     rows like any other; columns with other names are ignored. With too few rows for any
     estimate all that pass the base rules are kept. An empty table gives an empty result.
 
+    Up to half of a group may be junk: four deterministic starts take concentration steps over
+    just more than half of the rows until no determinant falls, the least wins, and it is
+    estimated again from all rows it does not reject. Where the ``steps`` steps over ``support``
+    of the rows learn from no row that it rejects, their estimates, of more rows, are used.
+
     One pass over the texts; then only counts move. Each concentration step is two aggregates
     with map-side combine over all rows, however large a source is."""
     t = Tables(docs.sparkSession, "quality_rules")
@@ -154,37 +236,74 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small = F.broadcast(n2)  # one row
     level = size.join(n1, "k1").join(small)
     used = F.when(F.col("n") >= least, F.col("k0")).when(F.col("n1") >= least, F.col("k1")).when(F.col("n2") >= least, F.lit("*"))
-    level = t.store(level.select("k0", used.alias("key")), "levels")
-    fitted = level.where("key is not null").select("key").distinct()
+    level = t.store(level.select("k0", "k1", used.alias("key"), "n", "n1", "n2"), "levels")
+    none = F.lit(None).cast("string")
+    tree = level.where(F.col("n") >= least).select(F.col("k0").alias("key"), F.col("k1").alias("up1"), F.lit("*").alias("up2"))
+    tree = tree.union(level.where(F.col("n1") >= least).select("k1", none, F.lit("*")).distinct())
+    tree = t.store(tree.union(level.where(F.col("n2") >= least).select(F.lit("*"), none, none).distinct()), "tree")
 
-    # a row helps to estimate every group it lies in that somebody uses
+    # a row helps to estimate every group it lies in
     each = good.select(*xs, F.explode(F.array("k0", "k1", "k2")).alias("key"))
-    each = t.store(each.join(fitted, "key"), "vectors")
+    each = t.store(each.join(tree.select("key"), "key"), "vectors")
     dims = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(x).alias("v")) for k, x in enumerate(xs)))).alias("d")
     long = each.select("key", dims).select("key", F.col("d.k").alias("k"), F.col("d.v").alias("v"))
     mid = t.store(_quantile(long, ["key", "k"], F.col("v"), 0.5), "medians")
     away = _quantile(long.join(mid, ["key", "k"]), ["key", "k"], F.abs(F.col("v") - F.col("at")), 0.5).withColumnRenamed("at", "mad")
-    both = mid.join(away, ["key", "k"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "at", "mad"))).alias("p"))  # _DIMS entries
+    cells = long.groupBy("key", "k", F.floor(F.col("v") * _STEP).cast("long").alias("g")).agg(F.count("*").alias("c"))
+    cells = cells.groupBy("key", "k").agg(F.sort_array(F.collect_list(F.struct("g", "c"))).alias("cells"))  # a few thousand entries
+    modes = cells.mapInPandas(_shortest_half, "key string, k int, mode double, width double")
+    both = mid.join(away, ["key", "k"]).join(modes, ["key", "k"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "at", "mad", "mode", "width"))).alias("p"))  # _DIMS entries
+    both = t.store(both, "places")
+    z = [(F.col(xs[k]) - F.col("p")[k]["at"]) / F.greatest(1.4826 * F.col("p")[k]["mad"], F.lit(FLOORS[k])) for k in range(_DIMS)]
+    turned = each.join(both.select("key", "p"), "key").select("key", *(v.alias(f"z{k}") for k, v in enumerate(z)))
+    zs = [F.col(f"z{k}") for k in range(_DIMS)]
+    norm2 = F.greatest(sum((v * v for v in zs), F.lit(0.0)), F.lit(1e-12))
+    pairs = [(i, j) for i in range(_DIMS) for j in range(i + 1)]
+    turned = turned.groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.sum(F.tanh(v)) for v in zs)).alias("ts"), F.array(*(F.sum(F.tanh(zs[i]) * F.tanh(zs[j])) for i, j in pairs)).alias("tq"), F.array(*(F.sum(zs[i] * zs[j] / norm2) for i, j in pairs)).alias("uq"))
+    first = t.store(both.join(turned, "key").mapInPandas(_starts, _SHAPE), "starts")
 
-    def start(frames):
-        for f in frames:
-            ps = [[(r["at"], r["mad"]) for r in p] for p in f["p"]]
-            whites = [np.diag([1 / max(1.4826 * m, fl) for (_, m), fl in zip(p, FLOORS, strict=True)]).ravel().tolist() for p in ps]
-            yield pd.DataFrame({"key": f["key"], "centre": [[a for a, _ in p] for p in ps], "white": whites})
-
-    shape = "key string, centre array<double>, white array<double>"
-    now = t.store(both.mapInPandas(start, shape), "shape")
     log_d = F.log1p(F.col("d2"))
-    for _ in range(steps):
-        far = each.join(now, "key").select("key", *xs, _distance().alias("d2"))
-        edge = _quantile(far, ["key"], log_d, support)
-        near = far.join(edge, "key").where(log_d <= F.col("at"))
-        cross = [F.sum(F.col(xs[i]) * F.col(xs[j])) for i in range(_DIMS) for j in range(i + 1)]
-        sums = near.groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.sum(x) for x in xs)).alias("s"), F.array(*cross).alias("q"))
-        now = t.store(sums.mapInPandas(_shapes, shape), "shape")
-    far = each.join(now, "key").select("key", _distance().alias("d2"))
-    scale = _quantile(far, ["key"], log_d, 0.5).select("key", F.greatest(F.expm1("at") / MEDIAN, F.lit(1.0)).alias("scale"))
-    final = t.store(level.join(now, "key").join(scale, "key").drop("key"), "verdicts")
+
+    def nearest(now: DataFrame, share: float | None) -> DataFrame:
+        far = each.join(now, "key").select("key", "start", *xs, _distance().alias("d2"))
+        return far.join(_quantile(far, ["key", "start"], log_d, share), ["key", "start"]).where(log_d <= F.col("at"))
+
+    shapes = ("centre", "white", "logdet")
+    now, best, moved = first, None, True
+    while moved:  # until no determinant falls any more; the least so far is kept
+        now = t.store(_fit(t.store(_estimates(nearest(now, None), tree), "sums")), "shape")
+        if best is None:
+            best = now
+            continue
+        new = now.select("key", "start", *(F.col(c).alias(f"new_{c}") for c in shapes))
+        less = F.col("new_logdet") < F.col("logdet") - 1e-3
+        best = t.store(best.join(new, ["key", "start"]).select("key", "start", *(F.when(less, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in shapes), less.alias("moved")), "best")
+        moved = best.where("moved").limit(1).count() > 0
+    best = best.groupBy("key").agg(F.min_by(F.struct("start", "centre", "white"), F.struct("logdet", "start")).alias("b")).select("key", "b.*")
+
+    def scaled(shape: DataFrame, inside: DataFrame) -> DataFrame:
+        scale = _quantile(inside, ["key"], log_d, 0.5).select("key", F.greatest(F.expm1("at") / MEDIAN, F.lit(1.0)).alias("scale"))
+        return t.store(shape.join(scale, "key").select("key", "centre", "white", "scale"), "scaled")
+
+    half = scaled(best, each.join(best, "key").select("key", _distance().alias("d2")))
+    for _ in range(2):  # again from all rows that are not rejected
+        inside = each.join(half, "key").where(_distance() <= CUT * F.col("scale")).select("key", F.lit(0).alias("start"), *xs)
+        shape = t.store(_fit(t.store(_estimates(inside, tree), "sums")), "shape")
+        half = scaled(shape, inside.drop("start").join(shape, "key").select("key", _distance().alias("d2")))
+
+    wide = first.where("start = 0")
+    for k in range(steps):
+        near = nearest(wide, support)
+        if k == steps - 1:
+            near = near.join(half, "key").withColumn("out", _distance() / F.col("scale"))
+            sums = t.store(_estimates(near, tree, F.max("out").alias("out")), "sums")
+            safe = sums.where(F.col("out") <= CUT).select("key")
+        else:
+            sums = t.store(_estimates(near, tree), "sums")
+        wide = t.store(_fit(sums), "shape")
+    wide = scaled(wide, each.join(wide, "key").select("key", _distance().alias("d2"))).join(safe, "key", "left_semi")
+    chosen = wide.union(half.join(safe, "key", "left_anti").select(*wide.columns))
+    final = t.store(level.select("k0", "key").join(chosen, "key").drop("key"), "verdicts")
 
     out = rows.join(final, "k0", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))

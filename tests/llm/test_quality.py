@@ -90,6 +90,20 @@ def test_rules_edges(spark):
     assert all(x.kept for x in qr.quality_rules(spark.createDataFrame(few, SCHEMA)).collect())
 
 
+def test_rules_reject_junk_up_to_nearly_half_of_a_source(spark):
+    r = random.Random(9)
+    data, bad = [], set()
+    for source, percent in (("a", 10), ("b", 30), ("c", 40), ("d", 45)):
+        for k in range(300):
+            text = clean(r, r.randint(50, 200))
+            if 100 * k < 300 * percent:
+                bad.add(len(data))
+                text = " ".join(w.upper() + "%%%" for w in text.split())
+            data.append((len(data), text, "en", source, "", 0, 0))
+    got = qr.quality_rules(spark.createDataFrame(data, SCHEMA)).collect()
+    assert {x.doc_id for x in got if not x.kept} == bad
+
+
 def test_classifier_learns_and_leaves_held_out_alone(spark):
     r = random.Random(7)
     docs, labels = [], []
