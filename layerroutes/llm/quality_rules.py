@@ -201,7 +201,7 @@ def _distance() -> Column:
     return total
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", support: float = 0.75, steps: int = 4, least: int = 200, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", support: float = 0.75, steps: int = 4, least: int = _DIMS + 1, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """Per row of ``docs``: id_col, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept and distance (squared, null if base_failed).
 

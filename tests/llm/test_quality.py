@@ -104,6 +104,19 @@ def test_rules_reject_junk_up_to_nearly_half_of_a_source(spark):
     assert {x.doc_id for x in got if not x.kept} == bad
 
 
+def test_rules_judge_small_groups_by_their_own_rows(spark):
+    r = random.Random(10)
+    small = [(i, clean(r, 100), "en", "s", "", 0, 0) for i in range(20)]
+    junk = [(20 + i, " ".join(w.upper() + "%%%" for w in clean(r, 100).split()), "en", "s", "", 0, 0) for i in range(6)]
+    got = qr.quality_rules(spark.createDataFrame(small + junk, SCHEMA)).collect()
+    assert {x.doc_id for x in got if not x.kept} == set(range(20, 26))
+    # a rare language with far longer words, beside a large one
+    many = [(100 + i, clean(r, 100), "en", "s", "", 0, 0) for i in range(300)]
+    rare = [(i, " ".join("".join(r.choice(VOCAB) for _ in range(12)) for _ in range(80)), "fi", "s", "", 0, 0) for i in range(20)]
+    got = qr.quality_rules(spark.createDataFrame(many + rare, SCHEMA)).collect()
+    assert all(x.kept for x in got)
+
+
 def test_classifier_learns_and_leaves_held_out_alone(spark):
     r = random.Random(7)
     docs, labels = [], []
