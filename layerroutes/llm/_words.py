@@ -25,13 +25,17 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _tables or len(_tables["up"]) < n:
-        size = max(n, CHUNK)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _tables[name] = np.cumprod(p, dtype=np.uint64)
-    return _tables["up"], _tables["down"]
+    """Powers of the base and of its inverse. A chunk's are kept; a longer stretch's are not."""
+    if n <= CHUNK and "up" in _tables:
+        return _tables["up"], _tables["down"]
+    made = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(max(n, CHUNK), base, dtype=np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p, dtype=np.uint64))
+    if n <= CHUNK:
+        _tables["up"], _tables["down"] = made
+    return made[0], made[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -79,15 +83,21 @@ def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def numbers(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of all words, the index of each text's first word (and one past the last),
-    and the words' starts and ends. A text beyond 4 chunks is cut at white space."""
+    and the words' starts and ends. A text beyond a chunk is cut at white space."""
     if not len(data):
         none = np.empty(0, np.int64)
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
     start, end = bounds(data, offsets)
+    return hashes(data, start, end, lower), np.searchsorted(start, offsets), start, end
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Numbers of the stretches start to end, which are in order and not empty. Stretches are
+    taken about a chunk of bytes at a time, a longer one alone."""
     out = np.empty(len(start), np.uint64)
     lo = 0
     while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + 4 * CHUNK, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + CHUNK, side="right")))
         a, b = int(start[lo]), int(end[hi - 1])
         up, down = _powers(b - a)
         part = data[a:b]
@@ -96,7 +106,7 @@ def numbers(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndar
         s, e = start[lo:hi] - a, end[lo:hi] - a
         out[lo:hi] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_INVERSE))
         lo = hi
-    return out, np.searchsorted(start, offsets), start, end
+    return out
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
