@@ -8,13 +8,16 @@ Texts become sets of word shingles. Two sets link when their Jaccard similarity
    another set's prefix.
 2. *Rarest first*, over the survivors. Tokens of one set only count as used up; a set with
    too few shared tokens goes. What stays is grouped by prefix token, and each group is
-   compared with one leader, so a group of m sets costs m - 1 comparisons, not m * m.
-3. *Order of differences from the leader.* Two members that one leader did not join can only
-   link if they share a difference from the leader, new tokens first, rarest first. Pairs
-   under a shared prefix difference and in different components are the remaining candidates,
-   less those whose counts of differences, or of differences yet to come, cannot give a link.
-4. A remaining candidate must also share a prefix token under ascending and under descending
-   numbers before its sets are intersected.
+   compared with one leader, its most central set, so a group of m sets costs m - 1
+   comparisons, not m * m.
+3. *Orders of differences from the leader.* Two members that one leader did not join can only
+   link if they share a difference from the leader. Differences that only one component has
+   are used up; the others come rarest in the leader's group first. Members that share a
+   prefix difference form a group again, which is compared with leaders of its own for a few
+   rounds. What is in different components then is paired, unless counts of differences rule
+   a link out or the prefixes under ascending numbers share no difference.
+4. Every pair so found must also share a prefix token under ascending and under descending
+   token numbers. All filters are intersected before any whole set is loaded to verify a pair.
 
 Every step is a necessary condition, so no link between different components is lost, and
 there is no cap on groups, partners or candidates.
@@ -23,7 +26,7 @@ Why step 3 is whole: for sets x, y and leader L write dx for the symmetric diffe
 and L. x and y link only if |x ^ y| <= m(x, y) = (1-t)/(1+t) * (|x|+|y|), and |x ^ y| =
 |dx| + |dy| - 2|dx & dy|. If x is not linked with L then |dx| > m(x, L), and m(x, y) -
 m(x, L) <= |dy|, so |dx & dy| > 0. It is also at least |dx| - (1-t)/t * |x|, which bounds the
-prefix of dx.
+prefix of dx. Leaders of rounds settle all their pairs in the group and leave it.
 """
 
 from __future__ import annotations
@@ -108,58 +111,83 @@ def _values(column: pa.Array) -> list[np.ndarray]:
 
 
 def _stars(percent: int):
-    """Rows (lead, rid, n, u, toks, ln, lu, ltoks): is the pair linked, and the prefix of the
-    member's differences from the leader. toks are the shared tokens, rarest first; u counts
-    the tokens no other survivor has. 0 stands for the leader's own such tokens, which come
-    last in the order and differ from every member alike."""
+    """Rows (lead, rid, linked, n, gap, lu, diffs): is the pair linked (never where its prefixes do
+    not ``agree``), and the member's differences from the leader. toks are the shared tokens. 0
+    stands for the leader's lu tokens that no other survivor has: every member differs in
+    these alike. gap counts all differences."""
 
     def run(batches):
         for b in batches:
-            n, u, ln, lu = (b.column(k).to_numpy() for k in (2, 3, 5, 6))
-            linked, heads, gaps = [], [], []
-            for i, (x, lead) in enumerate(zip(_values(b.column(4)), _values(b.column(7)), strict=True)):
+            n, ln, lu, agree = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 4, 5, 7))
+            linked, diffs, gaps = [], [], []
+            for i, (x, lead) in enumerate(zip(_values(b.column(3)), _values(b.column(6)), strict=True)):
                 new, gone = x[~np.isin(x, lead)], lead[~np.isin(lead, x)]
                 both = len(x) - len(new)
-                linked.append(100 * both >= percent * (int(n[i]) + int(ln[i]) - both))
-                gap = int(n[i]) + int(ln[i]) - 2 * both
-                gaps.append(gap)
-                q = min(gap, (100 - percent) * int(n[i]) // percent + 1) - int(u[i])
-                head = np.concatenate([new, gone])[: max(0, q)]
-                if q > len(new) + len(gone) and lu[i]:
-                    head = np.append(head, np.int64(0))
-                heads.append(head.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(gaps, pa.int64()), b.column(3), _lists(heads)], ["lead", "rid", "linked", "gap", "u", "diffs"])
+                linked.append(bool(agree[i]) and 100 * both >= percent * (int(n[i]) + int(ln[i]) - both))
+                gaps.append(int(n[i]) + int(ln[i]) - 2 * both)
+                d = np.concatenate([new, gone])
+                diffs.append((np.append(d, np.int64(0)) if lu[i] else d).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), b.column(2), pa.array(gaps, pa.int64()), b.column(5), _lists(diffs)], ["lead", "rid", "linked", "n", "gap", "lu", "diffs"])
 
     return run
 
 
-def _orders_agree(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
-    """Do the prefixes under ascending and under descending numbers both share a token? The
-    arrays hold only shared tokens, which leaves every common one in its prefix."""
-    p, q = n - _need(n, percent) + 1, m - _need(m, percent) + 1
-    return bool(np.intersect1d(x[:p], y[:q], assume_unique=True).size and np.intersect1d(x[-p:], y[-q:], assume_unique=True).size)
-
-
 def _verify(percent: int):
-    """Rows (a, b, n, toks, m, toks2): the pairs that are linked."""
+    """Rows (a, b) of rows (a, b, n, toks, m, toks2): the pairs that are linked."""
 
     def run(batches):
         for b in batches:
             n, m, keep = b.column(2).to_numpy(), b.column(4).to_numpy(), []
             for i, (x, y) in enumerate(zip(_values(b.column(3)), _values(b.column(5)), strict=True)):
-                a, c = int(n[i]), int(m[i])
-                x, y = np.sort(x), np.sort(y)
-                if not _orders_agree(x, y, a, c, percent):
-                    continue
                 both = np.intersect1d(x, y, assume_unique=True).size
-                if 100 * both >= percent * (a + c - both):
+                if 100 * both >= percent * (int(n[i]) + int(m[i]) - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def _agreeing(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with the column agree: do the prefixes of a and b share a token under
+    ascending and under descending token numbers? Only prefixes are read."""
+    one = sets.select(F.col("rid").alias(a), F.col("up").alias("up1"), F.col("down").alias("down1"))
+    two = sets.select(F.col("rid").alias(b), F.col("up").alias("up2"), F.col("down").alias("down2"))
+    agree = F.arrays_overlap("up1", "up2") & F.arrays_overlap("down1", "down2")
+    return pairs.join(one, a).join(two, b).withColumn("agree", agree).drop("up1", "down1", "up2", "down2")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of pairs(a, b)."""
+    pairs = _agreeing(pairs, sets, "a", "b").where("agree")
+    one = sets.select(F.col("rid").alias("a"), "n", "toks")
+    two = sets.select(F.col("rid").alias("b"), F.col("n").alias("m"), F.col("toks").alias("toks2"))
+    full = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "toks", "m", "toks2")
+    return full.mapInArrow(_verify(percent), "a long, b long")
+
+
+def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    comp = comp.select(F.col("node").alias("rid"), "comp")
+    return rows.join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+
+
+def _differences(t: Tables, stars: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Rows (lead, rid, n, gap, left, order, ups): the members of leaders that have more than
+    one component. ``left`` counts the differences that another component has too; order is
+    their prefix, rarest in the leader's group first, and ups that under ascending numbers."""
+    members = _with_comp(stars, comp)
+    several = members.groupBy("lead").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("lead")
+    each = members.join(several, "lead", "left_semi").select("lead", "rid", "n", "gap", "lu", "comp", F.explode("diffs").alias("tok"))
+    each = t.store(each, "differences")
+    met = each.groupBy("lead", "tok").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("lead", "tok", "c")
+    own = each.join(met, ["lead", "tok"]).groupBy("lead", "rid", "n", "gap", "lu").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("o"))  # one text's differences
+    own = own.withColumn("left", F.size("o") + F.when(F.array_contains("o.tok", 0), F.col("lu") - 1).otherwise(0))
+    room = F.least(F.col("gap"), F.floor(F.lit(100 - percent) * F.col("n") / percent) + 1) - (F.col("gap") - F.col("left"))
+    own = own.withColumn("p", room.cast("int")).where("p > 0")
+    ups = F.slice(F.sort_array("o.tok"), F.lit(1), F.col("p"))
+    return t.store(own.select("lead", "rid", "n", "gap", "left", F.slice("o.tok", F.lit(1), F.col("p")).alias("order"), ups.alias("ups")), "ordered")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """Per row of ``docs``: id_col, n_shingles (size of its set) and component_id (smallest id
     reachable by links, its own included).
 
@@ -171,7 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result. Input that is more than a selection from files is stored first.
 
     Partitioning: one pass over the texts, a shuffle of about a fifth of the shingle numbers,
-    and one of the texts for the sets that survive; everything after works on survivors.
+    and one of the texts for the sets that survive; everything after works on survivors. At
+    most ``rounds`` rounds of leaders come before pairs are formed inside groups.
     Copies meet only in aggregates with map-side combine and joins that may be split."""
     if not 0 < percent <= 100 or words < 1:
         raise ValueError("percent must be 1 to 100 and words at least 1")
@@ -199,37 +228,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = each.join(counts, "tok").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("o"))
     need = F.ceil(F.lit(percent) * F.col("n") / 100)
     s3 = s2.select("rid", "n").join(shared, "rid").where(F.size("o") >= need)
-    s3 = t.store(s3.select("rid", "n", (F.col("n") - F.size("o")).alias("u"), F.col("o.tok").alias("toks")), "rare")
+    central = F.aggregate("o.df", F.lit(0).cast("long"), lambda a, v: a + v) / F.col("n")
+    s3 = s3.select("rid", "n", (F.col("n") - F.size("o")).alias("u"), central.alias("central"), (F.col("n") - need + 1).cast("int").alias("p"), F.col("o.tok").alias("toks"), F.sort_array("o.tok").alias("s"))
+    first_p, last_p = F.slice("s", F.lit(1), F.col("p")), F.slice("s", F.greatest(F.size("s") - F.col("p"), F.lit(0)) + 1, F.col("p"))
+    s3 = t.store(s3.select("rid", "n", "u", "central", "p", "toks", first_p.alias("up"), last_p.alias("down")), "rare")
     t.drop(s2, counts)
 
-    prefix = (F.col("n") - need + 1 - F.col("u")).cast("int")
-    post = s3.where(prefix > 0).select("rid", F.explode(F.slice("toks", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("tok"))
-    leads = post.groupBy("tok").agg(F.min("rid").alias("lead"), F.count("*").alias("c")).where("c > 1").select("tok", "lead")
+    prefix = (F.col("p") - F.col("u")).cast("int")
+    post = s3.where(prefix > 0).select("rid", "central", F.explode(F.slice("toks", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("tok"))
+    leads = post.groupBy("tok").agg(F.max_by("rid", F.struct("central", "rid")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("tok", "lead")
     pairs = t.store(post.join(leads, "tok").where("rid <> lead").select("lead", "rid").distinct(), "pairs")
     lead = s3.select(F.col("rid").alias("lead"), F.col("n").alias("ln"), F.col("u").alias("lu"), F.col("toks").alias("ltoks"))
-    full = pairs.join(s3, "rid").join(lead, "lead").select("lead", "rid", "n", "u", "toks", "ln", "lu", "ltoks")
-    stars = t.store(full.mapInArrow(_stars(percent), "lead long, rid long, linked boolean, gap long, u long, diffs array<long>"), "stars")
-    links = stars.where("linked").select(F.col("lead").alias("a"), F.col("rid").alias("b"))
-    comp = t.store(components(t, links), "components")
-
-    diff = stars.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("lead", "rid", "gap", "u", F.coalesce("comp", "rid").alias("comp"), F.posexplode("diffs").alias("at", "tok"))
-    diff = t.store(diff, "differences")
-    mixed = diff.groupBy("lead", "tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("lead", "tok")
-    mixed = t.store(diff.join(mixed, ["lead", "tok"], "left_semi"), "mixed")
-    # what can still be shared: this difference and those after it, the text's own ones first
-    left = mixed.select("lead", "tok", "rid", "comp", "gap", (F.col("gap") - F.col("u") - F.col("at")).alias("after"))
-    mixed = t.store(left.join(s3.select("rid", "n"), "rid"), "sized")
-    other = mixed.select("lead", "tok", F.col("rid").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("m"), F.col("gap").alias("gap2"), F.col("after").alias("after2"))
+    full = _agreeing(pairs, s3, "lead", "rid").join(s3.select("rid", "n", "toks"), "rid").join(lead, "lead").select("lead", "rid", "n", "toks", "ln", "lu", "ltoks", "agree")
+    stars = t.store(full.mapInArrow(_stars(percent), "lead long, rid long, linked boolean, n long, gap long, lu long, diffs array<long>"), "stars")
+    comp = components(t, stars.where("linked").select(F.col("lead").alias("a"), F.col("rid").alias("b")))
+    comp = t.store(comp, "components")
+
+    ordered = _differences(t, stars, comp, percent)
+    group = ordered.select("lead", "rid", "n", "gap", "left", F.posexplode("order").alias("at", "tok"))
+    group = t.store(group.select("lead", "tok", "rid", "n", "gap", (F.col("left") - F.col("at")).alias("after")), "groups")
     most = F.lit(100 - percent) * (F.col("n") + F.col("m"))  # (100 + percent) * |x ^ y| is at most this in a link
     near = (F.lit(100) * F.least("n", "m")) >= (F.lit(percent) * F.greatest("n", "m"))
     near &= (F.lit(100 + percent) * F.abs(F.col("gap") - F.col("gap2"))) <= most
+    # what can still be shared: this difference and those after it
     near &= (F.lit(100 + percent) * (F.col("gap") + F.col("gap2") - 2 * F.least("after", "after2"))) <= most
-    rest = mixed.join(other, ["lead", "tok"]).where((F.col("comp") < F.col("comp2")) & near).select(F.col("rid").alias("a"), "b").distinct()
-    rest = t.store(rest, "rest")
-    right = s3.select(F.col("rid").alias("b"), F.col("n").alias("m"), F.col("toks").alias("toks2"))
-    pairs2 = rest.join(s3.withColumnRenamed("rid", "a"), "a").join(right, "b").select("a", "b", "n", "toks", "m", "toks2")
-    more = pairs2.mapInArrow(_verify(percent), "a long, b long")
-    comp = t.store(components(t, comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "all")
+    named = {"rid": "b", "comp": "comp2", "n": "m", "gap": "gap2", "after": "after2"}
+
+    for k in range(rounds + 1):
+        mixed = _with_comp(group, comp)
+        tops = mixed.groupBy("lead", "tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("rid", F.struct("gap", "rid")).alias("top"), F.count("*").alias("c")).where("x <> y").select("lead", "tok", "top", "c")
+        mixed = t.store(mixed.join(tops, ["lead", "tok"]), "mixed")
+        size, twos = mixed.agg(F.coalesce(F.count("*"), F.lit(0)), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)) / 2).first()
+        if not size:
+            break
+        last = k == rounds or twos <= 2 * size  # few pairs beside the rows themselves
+        left = mixed.select("lead", "tok", "rid", "comp", "n", "gap", "after") if last else mixed.where("rid <> top").drop("top", "c")
+        right = (left if last else mixed.where("rid = top")).select("lead", "tok", *(F.col(c).alias(d) for c, d in named.items()))
+        apart = (F.col("comp") < F.col("comp2")) if last else (F.col("comp") != F.col("comp2"))
+        found = left.join(right, ["lead", "tok"]).where(apart & near).select("lead", F.col("rid").alias("a"), "b").distinct()
+        one, two = (ordered.select("lead", F.col("rid").alias(x), F.col("ups").alias(f"ups_{x}")) for x in "ab")
+        found = found.join(one, ["lead", "a"]).join(two, ["lead", "b"]).where(F.arrays_overlap("ups_a", "ups_b"))
+        found = t.store(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        if last and found.isEmpty():
+            break
+        comp = t.store(components(t, comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(_links(found, s3, percent))), "components")
+        if last:
+            break
+        group = left.drop("comp")
 
     labelled = classes.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("key", "doc", F.coalesce("comp", "rid").alias("comp"))
     labelled = t.store(labelled, "labelled")
