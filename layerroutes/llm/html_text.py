@@ -1,10 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
 Each text node has a root-to-leaf tag path. Per path, text length and punctuation are summed
-and divided by its nodes; both ratios are smoothed along the page and fused, and paths above a
-threshold hold the content nodes. The container that holds them gives the article; inside it
-every block stays but marked parts that are no article: menus, page headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments."""
+and divided by its nodes, and text in links is taken off; a class name of advert or menu kind
+lowers what is below it. The ratios are smoothed along the page and fused with the plain ones,
+and paths that reach the threshold hold the content nodes.
+
+Content nodes give the article. To them come the other blocks of an article or main element
+that holds most of them; without such an element, what lies beside and between them and the
+heading before them. Low-scored marked parts and lists of links never come. Scripts, styles,
+menus, page headers, footers, asides and forms are out by their element alone."""
 
 from __future__ import annotations
 
@@ -22,51 +26,60 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul br".split())
 NO_TEXT = frozenset("script style head title nav footer aside form noscript template svg math button select textarea iframe object canvas audio video dialog menu".split())
-CONTAINER = frozenset("article main section div body td html".split())
+CONTAINER = frozenset("article main section div body td html blockquote center ul ol table".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("br option legend caption summary".split())
 SAME = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
+#: Words of class names and roles that lower a score, and words beside them that
+#: change nothing. A name counts if it has a word of the first list and none outside both.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social related widget login signup search form toolbar pagination".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social related widget login signup search form toolbar pagination complementary contentinfo toc".split()
 )
+BESIDE = frozenset("left right top bottom inner outer box block list item items area bar panel link links site page global user users reader section wrap wrapper container post posts article articles text".split())
 PUNCTUATION = frozenset(",.;:!?，。；：！？、…")
+PENALTY = 0.05
 _CUT = re.compile(r"[^a-z]+")
 _SPACES = re.compile(r"\s+")
 
 
-class _Nodes(HTMLParser):
-    """Text nodes of a page: path, is it marked as no article, text, and its block. Paths are
-    numbers in a tree, parents before children, so that deep nesting costs no more than its tags."""
+def _marked(names: str) -> bool:
+    for name in names.lower().split():
+        words = set(_CUT.split(name)) - {""}
+        if words & MARKS and words <= MARKS | BESIDE:
+            return True
+    return False
+
+
+class _Page(HTMLParser):
+    """Elements of a page, parents before children, and its text nodes. An element has its tag,
+    parent and path; paths are numbers in a tree of their own, so that deep nesting costs no
+    more than its tags. Text of elements that are out is not kept."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents = [""], [0]
+        self.tag, self.parent, self.path = [""], [0], [0]
+        self.out, self.named, self.mark, self.link, self.head = [False], [False], [False], [False], [False]
         self.numbers: dict[tuple[int, str], int] = {}
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, path, no article, in an article
+        self.stack = [0]
         self.open: dict[str, int] = defaultdict(int)
-        self.nodes: list[tuple[int, bool, str, int]] = []
+        self.nodes: list[tuple[int, str, int]] = []  # element, text, block
         self.block = 0
 
-    def _path(self, parent: int, tag: str, name: str) -> int:
-        n = self.numbers.setdefault((parent, name), len(self.tags))
-        if n == len(self.tags):
-            self.tags.append(tag)
-            self.parents.append(parent)
-        return n
-
     def _close(self, k: int) -> None:
-        for tag, *_ in self.stack[k:]:
-            self.open[tag] -= 1
-            self.block += tag in BLOCK
+        for e in self.stack[k:]:
+            self.open[self.tag[e]] -= 1
+            self.block += self.tag[e] in BLOCK
         del self.stack[k:]
 
     def _close_open(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
         if not any(self.open[t] for t in tags):
             return
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
+        for k in range(len(self.stack) - 1, 0, -1):
+            tag = self.tag[self.stack[k]]
+            if tag in tags:
                 self._close(k)
                 return
-            if self.stack[k][0] in stop:
+            if tag in stop:
                 return
 
     def handle_starttag(self, tag, attrs):
@@ -78,17 +91,20 @@ class _Nodes(HTMLParser):
             self._close_open(("p",), ("button", "td", "th", "table", "caption", "object", "template", "article", "div", "section", "body"))
         if tag in SAME:
             self._close_open(("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,), SAME[tag])
-        words = ""
-        for k, v in attrs:
-            if k in ("class", "id", "role") and v:
-                words += " " + v
-        marks = set(_CUT.split(words.lower()))
-        _, parent, inside, in_article = self.stack[-1] if self.stack else ("", 0, False, False)
-        if not inside:
-            body = tag in ("html", "body", "article", "main")
-            inside = tag in NO_TEXT or (tag == "header" and not in_article) or (not body and bool(marks & MARKS)) or any(k == "hidden" for k, _ in attrs)
-        name = tag + "".join("." + m for m in sorted(marks - {""}))
-        self.stack.append((tag, self._path(parent, tag, name), inside, in_article or tag in ("article", "main")))
+        up, given = self.stack[-1], {k: v or "" for k, v in attrs}
+        names = given.get("class", "") + " " + given.get("role", "")
+        if not self.named[up]:  # in an article an id is a place to jump to
+            names += " " + given.get("id", "")
+        name = tag + "".join("." + x for x in sorted(set(_CUT.split(names.lower())) - {""}))
+        self.tag.append(tag)
+        self.parent.append(up)
+        self.path.append(self.numbers.setdefault((self.path[up], name), len(self.numbers) + 1))
+        self.named.append(self.named[up] or tag in ("article", "main"))
+        self.out.append(self.out[up] or tag in NO_TEXT or (tag == "header" and not self.named[up]) or "hidden" in given)
+        self.mark.append(tag in CONTAINER and tag not in ("html", "body") and _marked(names))
+        self.link.append(self.link[up] or tag == "a")
+        self.head.append(self.head[up] or tag in HEADING)
+        self.stack.append(len(self.tag) - 1)
         self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
@@ -99,14 +115,28 @@ class _Nodes(HTMLParser):
             self.block += 1
         if not self.open[tag]:
             return
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.tag[self.stack[k]] == tag:
                 self._close(k)
                 return
 
     def handle_data(self, data):
-        _, path, out, _ = self.stack[-1] if self.stack else ("", 0, False, False)
-        self.nodes.append((path, out, data, self.block))
+        if not self.out[self.stack[-1]]:
+            self.nodes.append((self.stack[-1], data, self.block))
+
+    def below(self, own: list[int]) -> list[int]:
+        """Sums over each element and all below it."""
+        total = list(own)
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parent[e]] += total[e]
+        return total
+
+    def inherited(self, own: list[bool]) -> list[bool]:
+        """Is it so for the element or one above it?"""
+        out = list(own)
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parent[e]]
+        return out
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -115,55 +145,100 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(x, k)[2:-2] / np.convolve(np.ones(len(x)), k)[2:-2]
 
 
-def content_paths(nodes: list[tuple[int, str]]) -> set[int]:
-    """Paths whose fused ratio reaches the threshold. nodes: path and text in page order."""
+def content_paths(nodes: list[tuple[int, str, bool, bool]]) -> set[int]:
+    """Paths whose score reaches the threshold. nodes, in page order: path, text, is it in a
+    link, is it in a marked element.
+
+    A path's ratio is its characters outside links a node, times one and its punctuation marks a
+    node. A node fuses the ratio of its path with the smoothed ratios around it to their
+    geometric mean, and a path scores the mean of its nodes. The threshold is the standard
+    deviation over all nodes, or the greatest score if that is less."""
     count, chars, points = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text in nodes:
+    for path, text, link, _ in nodes:
         count[path] += 1
-        chars[path] += len(text)
+        chars[path] += 0 if link else len(text.strip())
         points[path] += sum(map(text.count, PUNCTUATION))
-    of = [p for p, _ in nodes]
-    length = _smooth(np.array([chars[p] / count[p] for p in of], float))
-    marks = _smooth(np.array([points[p] / count[p] for p in of], float))
-    fused = length * (1 + marks)
-    score: dict[int, float] = {}
-    for p, v in zip(of, fused.tolist(), strict=True):
-        score[p] = max(score.get(p, 0.0), v)
-    edge = min(float(fused.std()), float(fused.max()))
+    ratio = np.array([chars[p] / count[p] * (1 + points[p] / count[p]) * (PENALTY if m else 1) for p, _, _, m in nodes])
+    fused = np.sqrt(ratio * _smooth(ratio))
+    score: dict[int, float] = defaultdict(float)
+    for (p, *_), v in zip(nodes, fused.tolist(), strict=True):
+        score[p] += v / count[p]
+    edge = min(float(fused.std()), max(score.values()))
     return {p for p, v in score.items() if v >= edge}
 
 
-def _container(tags: list[str], parents: list[int], nodes: list[tuple[int, str]], chosen: set[int]) -> int:
-    """The path of the article or main element over most chosen text, else the deepest
-    container over nine tenths of it."""
-    weight, depth = [0] * len(tags), [0] * len(tags)
-    for path, text in nodes:
-        if path in chosen:
-            weight[path] += len(text)
-    for p in range(len(tags) - 1, 0, -1):
-        weight[parents[p]] += weight[p]
-    for p in range(1, len(tags)):
-        depth[p] = depth[parents[p]] + 1
-    named = [p for p, tag in enumerate(tags) if tag in ("article", "main") and 2 * weight[p] >= weight[0]]
-    if named:
-        return min(named, key=depth.__getitem__)
-    return max((p for p, tag in enumerate(tags) if (p == 0 or tag in CONTAINER) and 10 * weight[p] >= 9 * weight[0]), key=depth.__getitem__)
+def _kept(page: _Page) -> list[bool]:
+    """Which text nodes of the page are main text."""
+    n = len(page.tag)
+    full = [len(t.strip()) for _, t, _ in page.nodes]
+    chars, linked, links, holds = [0] * n, [0] * n, [0] * n, [0] * n
+    for (e, _, _), c in zip(page.nodes, full, strict=True):
+        chars[e] += c
+        linked[e] += c if page.link[e] else 0
+        links[e] += bool(c) and page.link[e]
+    for e, tag in enumerate(page.tag):
+        holds[page.parent[e]] += tag in ("article", "main")
+    chars, linked, links, holds = (page.below(x) for x in (chars, linked, links, holds))
+    # a mark means nothing on what holds an article, nor, on a page without one, most of the text
+    plain = page.inherited(page.mark)
+    article = any(tag in ("article", "main") and chars[e] and not plain[e] for e, tag in enumerate(page.tag))
+    marked = page.inherited([m and not holds[e] and (article or 2 * chars[e] <= chars[0]) for e, m in enumerate(page.mark)])
+    menu = page.inherited([tag in CONTAINER and links[e] > 1 and 10 * linked[e] >= 6 * chars[e] > 0 for e, tag in enumerate(page.tag)])
+    chosen = content_paths([(page.path[e], t, page.link[e], marked[e]) for (e, t, _), c in zip(page.nodes, full, strict=True) if c])
+    bad = [menu[e] or (marked[e] and page.path[e] not in chosen) for e in range(n)]
+    good = [c > 0 and page.path[e] in chosen and not bad[e] for (e, _, _), c in zip(page.nodes, full, strict=True)]
+    weight = [0] * n
+    sure = [g and not marked[e] for (e, _, _), g in zip(page.nodes, good, strict=True)]
+    if not any(sure):
+        sure = [c > 0 and not marked[e] and not bad[e] for (e, _, _), c in zip(page.nodes, full, strict=True)]
+    for (e, _, _), c, g in zip(page.nodes, full, sure, strict=True):
+        weight[e] += c if g else 0
+    weight = page.below(weight)
+    if not weight[0]:
+        return good
+
+    for kind in ("article", "main"):  # the outermost ones, if they hold most content
+        top = [tag == kind and not page.out[e] for e, tag in enumerate(page.tag)]
+        over = page.inherited(top)
+        if 2 * sum(weight[e] for e in range(1, n) if top[e] and not over[page.parent[e]]) >= weight[0]:
+            return [over[e] and not bad[e] for e, _, _ in page.nodes]
+
+    box = [0] * n  # nearest container
+    for e in range(1, n):
+        box[e] = e if page.tag[e] in CONTAINER else box[page.parent[e]]
+    region = max(e for e in range(n) if box[e] == e and weight[e] == weight[0])
+    within = page.inherited([e == region for e in range(n)])
+    beside = {box[e] for (e, _, _), g in zip(page.nodes, sure, strict=True) if g}
+    keep = [not bad[e] and (g or box[e] in beside) for (e, _, _), g in zip(page.nodes, good, strict=True)]
+    first, last = keep.index(True), len(keep) - 1 - keep[::-1].index(True)
+    for k in range(first, last + 1):
+        e = page.nodes[k][0]
+        keep[k] = keep[k] or (within[e] and not bad[e])
+    above, e = {region}, region
+    while e:
+        e = page.parent[e]
+        above.add(e)
+    for k in range(first - 1, -1, -1):  # the heading before it and what lies between
+        e = page.nodes[k][0]
+        if full[k] and bad[e]:
+            break
+        if full[k] and page.head[e] and box[e] in above:
+            inside = page.inherited([x == box[e] for x in range(n)])
+            for j in range(k, first):
+                keep[j] = inside[page.nodes[j][0]]
+            break
+    return keep
 
 
 def main_text(html: str) -> str:
-    parser = _Nodes()
-    parser.feed(html)
-    parser.close()
-    nodes = [(p, t) for p, out, t, _ in parser.nodes if not out and t.strip()]
-    if not nodes:
+    page = _Page()
+    page.feed(html)
+    page.close()
+    if not any(t.strip() for _, t, _ in page.nodes):
         return ""
-    top = _container(parser.tags, parser.parents, nodes, content_paths(nodes))
-    within = [False] * len(parser.tags)
-    for p, parent in enumerate(parser.parents):
-        within[p] = p == top or within[parent]
     blocks: dict[int, list[str]] = defaultdict(list)
-    for path, out, text, block in parser.nodes:
-        if not out and within[path]:
+    for (_, text, block), keep in zip(page.nodes, _kept(page), strict=True):
+        if keep:
             blocks[block].append(text)
     found = (_SPACES.sub(" ", "".join(b)).strip() for _, b in sorted(blocks.items()))
     return "\n".join(x for x in found if x)
