@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where a
-    session has none (tests, a laptop) one is made and set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where a local
+    session has none (tests, a laptop) one is made and set; a cluster must name its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="layerroutes-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -47,18 +49,21 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, new_path(spark, name), 0
-        self.paths: dict[int, str] = {}
 
-    def store(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def store(self, df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         with _clean_shuffles(self.spark):
-            df.write.parquet(path)
+            df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._layerroutes_path = path
         return out
 
+    def numbered(self, df: DataFrame, name: str = "rid") -> DataFrame:
+        """``df`` with a number of its own for each row, stored, so that a row keeps its number
+        whichever executors are lost or join. Zstandard, since texts are a table's bulk."""
+        return self.store(df.withColumn(name, F.monotonically_increasing_id()), "input", "zstd")
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -67,16 +72,6 @@ class Tables:
             path.getFileSystem(conf).delete(path, True)
 
 
-def steady(tables: Tables, df: DataFrame) -> DataFrame:
-    """``df`` such that each read gives the same rows in the same places: as it is if it only
-    selects from files, else stored."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    names = {line.lstrip(" :+-").split(" ")[0] for line in plan.splitlines() if line.strip()}
-    if names <= {"Project", "Filter", "Relation"} and not {"rand(", "randn(", "uuid("} & {x + "(" for x in plan.split("(")}:
-        return df
-    return tables.store(df, "input")
-
-
 def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``, both long: rows (node, comp) for every node
     of an edge between two different nodes, comp the smallest node reachable.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerroutes.llm._shared import Tables, steady
+from layerroutes.llm._shared import Tables
 
 BLOCK_CHARS = 4096
 
@@ -40,8 +40,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Partitioning: the blocks' texts are shuffled once, combined on the map side first, so hot
     copies shrink to a row a task. Names are joined back through digests only."""
     t = Tables(docs.sparkSession, "exact_dedup")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    rows = steady(t, rows).withColumn("text", normalised(F.col("text")))
+    rows = t.numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))).withColumn("text", normalised(F.col("text")))
     blocks = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
     cut = rows.select("rid", "doc", "text", blocks.alias("blocks"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerroutes.llm._shared import Tables, steady
+from layerroutes.llm._shared import Tables
 
 #: Names of licences as notices write them, by SPDX name.
 NAMES = {
@@ -237,8 +237,7 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     t = Tables(docs.sparkSession, "licenses")
     given = given or templates()
     vocab = frozenset(w for _, _, x in given for w in words(x))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc"), path.cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = steady(t, rows)
+    rows = docs.select(F.col(id_col).alias("doc"), path.cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def frequencies(batches):
         df: Counter = Counter()
@@ -256,11 +255,11 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     def found(batches):
         scanner = Scanner(given, idf, other, threshold, file_share)
         for b in batches:
-            got = [scanner.text(x.as_py()) for x in b.column(3)]
+            got = [scanner.text(x.as_py()) for x in b.column(2)]
             kinds = (pa.string(), pa.float64(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds))], ["rid", "doc", "path", "license", "similarity", "is_file", "unknown"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds))], ["doc", "path", "license", "similarity", "is_file", "unknown"])
 
-    fields = [T.StructField("rid", T.LongType()), T.StructField("doc", docs.schema[id_col].dataType), T.StructField("path", T.StringType())]
+    fields = [T.StructField("doc", docs.schema[id_col].dataType), T.StructField("path", T.StringType())]
     fields += [T.StructField(c, k) for c, k in (("license", T.StringType()), ("similarity", T.DoubleType()), ("is_file", T.BooleanType()), ("unknown", T.BooleanType()))]
     marked = t.store(rows.mapInArrow(found, T.StructType(fields)).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "marked")
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layerroutes.llm import _words
-from layerroutes.llm._shared import Tables, components, steady
+from layerroutes.llm._shared import Tables, components
 
 
 def _room(n: int) -> int:
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with nothing: its component_id is its own id. Rows with a null id take part; the
     smallest id ignores nulls, and a component of null ids only has null. Repeated rows are
     rows of their own in one component. Other columns are ignored. An empty table gives an
-    empty result. Input that is more than a selection from files is stored first.
+    empty result.
 
     Partitioning: one pass over the texts, a shuffle of about a fifth of the shingle numbers,
     and one of the texts for the sets that survive; everything after works on survivors. At
@@ -207,8 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     t = Tables(spark, "ngram_join")
     id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = steady(t, rows)
+    source = t.numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")))
+    rows = source.select("rid", "doc", "text")
     first = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc", id_type), T.StructField("n", T.LongType()), T.StructField("key", T.StringType()), T.StructField("room", T.IntegerType()), T.StructField("head", T.ArrayType(T.LongType()))])
     s1 = t.store(rows.mapInArrow(_first_pass(words, percent), first), "sets")
 
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s3 = s3.select("rid", "n", (F.col("n") - F.size("o")).alias("u"), central.alias("central"), (F.col("n") - need + 1).cast("int").alias("p"), F.col("o.tok").alias("toks"), F.sort_array("o.tok").alias("s"))
     first_p, last_p = F.slice("s", F.lit(1), F.col("p")), F.slice("s", F.greatest(F.size("s") - F.col("p"), F.lit(0)) + 1, F.col("p"))
     s3 = t.store(s3.select("rid", "n", "u", "central", "p", "toks", first_p.alias("up"), last_p.alias("down")), "rare")
-    t.drop(s2, counts)
+    t.drop(s2, counts, source)
 
     prefix = (F.col("p") - F.col("u")).cast("int")
     post = s3.where(prefix > 0).select("rid", "central", F.explode(F.slice("toks", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("tok"))

@@ -140,9 +140,10 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[:size] or b" " * 8
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """Per row of ``docs``: id_col, held_out, score (0 to 1, higher: good likelier), predicted
-    (1 if score >= 0.5) and the columns ``keep``.
+    (1 if score >= 0.5) and the columns ``keep``; ``prefix`` goes before held_out, score and
+    predicted, for columns to keep that are called the same.
 
     The score depends on the whole text only. Null and empty texts get the score of no
     difference. A null id is not held out. Repeated rows are scored alike; other columns are
@@ -150,4 +151,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     out = _differences(chosen, "_text", model.good, model.bad, model.piece)
     p = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("_diff") + F.lit(model.intercept))))
-    return out.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"), *(F.col(f"_keep_{c}").alias(c) for c in keep))
+    return out.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias(prefix + "held_out"), p.alias(prefix + "score"), (p >= 0.5).cast("int").alias(prefix + "predicted"), *(F.col(f"_keep_{c}").alias(c) for c in keep))

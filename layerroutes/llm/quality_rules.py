@@ -21,8 +21,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: 0.9999 quantile and median of chi-square with 5 degrees of freedom.
 CUT, MEDIAN = 25.745, 4.351
 #: Least standard deviation of each dimension, so that a group without spread in one still
-#: keeps what differs from it by little.
-FLOORS = (0.15, 0.05, 0.1, 0.1, 0.1)
+#: keeps what differs from it by little: a word length longer by 16 %, three signs in the
+#: shortest text that the base rules pass (50 words), and a tenth of lines, words or letters.
+FLOORS = (0.15, float(np.log1p(3 / 50)), 0.1, 0.1, 0.1)
 _DIMS = len(FLOORS)
 _STEP = 256  # quantiles are read from counts on a grid of 1 / 256
 

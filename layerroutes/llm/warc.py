@@ -18,32 +18,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerroutes.llm._shared import Tables, new_path, steady
+from layerroutes.llm._shared import Tables, new_path
 
 READ = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "archive string, record_type string, page string, uri string, refers string, payload_bytes long, payload_digest string, payload binary"
 
 
+READERS = 1 << 14
+
+
 def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page: str | None, uri: str | None, payload: bytes, payload_digest: str, refers: str | None, revisit: bool) -> bytes:
-    """One record: an HTTP response, or a revisit that has its head only."""
+def record(page: str | None, uri: str | None, payload: bytes, payload_digest: str, refers: str | None, revisit: bool, own: uuid.UUID | None = None, of: uuid.UUID | None = None) -> bytes:
+    """One record: an HTTP response, or a revisit that has its head only. ``own`` is its record
+    ID, ``of`` that of the response it revisits."""
     quote = lambda s: urllib.parse.quote(s, safe="")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if not revisit:
         block += payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{own or uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if uri is not None:
         lines.append("WARC-Target-URI: " + urllib.parse.quote(uri, safe=":/?#[]@!$&'()*+,;=%-._~"))
     if page is not None:
         lines.append(f"WARC-Page-ID: {quote(page)}")
     if revisit:
         lines.append(f"WARC-Profile: {PROFILE}")
+        if of is not None:
+            lines.append(f"WARC-Refers-To: <urn:uuid:{of}>")
         if refers is not None:
-            lines.append(f"WARC-Refers-To: <urn:page:{quote(refers)}>")
+            lines.append(f"WARC-Refers-To-Page-ID: {quote(refers)}")
     lines += [f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -128,7 +134,7 @@ def read_records(file, with_payload: bool = True) -> Iterator[dict]:
             "record_type": h["warc-type"],
             "page": unquote(h.get("warc-page-id")),
             "uri": h.get("warc-target-uri"),
-            "refers": unquote(h["warc-refers-to"][len("<urn:page:") : -1]) if "warc-refers-to" in h else None,
+            "refers": unquote(h.get("warc-refers-to-page-id")),
             "payload_bytes": int(fields.get("content-length", size)) if revisit else size,
             "payload_digest": h.get("warc-payload-digest", b32(payload)).partition(":")[2],
             "payload": b"".join(kept) if with_payload and not revisit else None,
@@ -143,7 +149,7 @@ def _open(path: str):
 
 def read_archives(spark: SparkSession, archives: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records of the archives at ``archives.archive`` (URIs); a task reads whole archives,
-    one after the other. Damaged archives fail."""
+    one after the other, and there are at most READERS tasks. Damaged archives fail."""
     n = archives.count()
 
     def run(batches):
@@ -161,7 +167,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, with_payload: bool =
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("archive").repartition(max(1, n)).mapInArrow(run, RECORD)
+    return archives.select("archive").repartition(min(max(1, n), READERS)).mapInArrow(run, RECORD)
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, roll_bytes: int = 64 << 20, level: int = 6) -> DataFrame:
@@ -179,24 +185,28 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     of copies are found by an aggregate with map-side combine."""
     t = Tables(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b"").cast("binary"))
-    rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("string").alias("page"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("uri"), payload.alias("payload"))
-    rows = steady(t, rows)
+    rows = t.numbered(pages.select(F.col(id_col).cast("string").alias("page"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("uri"), payload.alias("payload")))
     rows = rows.withColumn("key", F.sha2("payload", 256))
     last = F.max(F.struct("id", "rid")).alias("last")
     groups = rows.where(F.length("payload") >= min_bytes).groupBy("key").agg(last, F.count("*").alias("c")).where("c > 1")
     groups = t.store(groups.select("key", F.col("last.id").cast("string").alias("refers"), F.col("last.rid").alias("first")), "copies")
-    marked = rows.join(groups, "key", "left").select("page", "uri", "payload", "refers", F.coalesce(F.col("first") != F.col("rid"), F.lit(False)).alias("revisit"))
+    marked = rows.join(groups, "key", "left").select("page", "uri", "payload", "refers", F.coalesce(F.col("first") != F.col("rid"), F.lit(False)).alias("revisit"), "rid", "first")
+
+    space = uuid.uuid5(uuid.NAMESPACE_URL, folder)
+
+    def named(rid: int) -> uuid.UUID:  # the same in every attempt
+        return uuid.uuid5(space, str(rid))
 
     def run(batches):
         store, at = _open(folder)
         store.create_dir(at, recursive=True)
         attempt, out, n, size, done = uuid.uuid4().hex, None, 0, 0, []
         for b in batches:
-            for page, uri, data, refers, revisit in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for page, uri, data, refers, revisit, rid, first in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
                 if out is None:
                     name, n, size = f"{attempt}-{len(done):05d}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{at}/{name}")
-                z = member(record(page, uri, data, digest(data), refers, revisit), level)
+                z = member(record(page, uri, data, digest(data), refers, revisit, named(rid), named(first) if revisit else None), level)
                 out.write(z)
                 n, size = n + 1, size + len(z)
                 if size >= roll_bytes:
