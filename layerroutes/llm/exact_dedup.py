@@ -40,7 +40,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Partitioning: the blocks' texts are shuffled once, combined on the map side first, so hot
     copies shrink to a row a task. Names are joined back through digests only."""
     t = Tables(docs.sparkSession, "exact_dedup")
-    rows = t.numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))).withColumn("text", normalised(F.col("text")))
+    source = t.numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
+    rows = source.withColumn("text", normalised(F.col("text")))
     blocks = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
     cut = rows.select("rid", "doc", "text", blocks.alias("blocks"))
 
@@ -62,6 +63,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     level, done = 0, None
     current = t.store(names, "level")  # rid, at, and the pair (a, b) that is to be named
+    t.drop(source)
     while True:
         named = _named(t, current.select("a", "b").distinct(), ["a", "b"])
         got = t.store(current.join(named, ["a", "b"]).select("rid", "at", "name"), "named")

@@ -215,9 +215,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows like any other; columns with other names are ignored. With too few rows for any
     estimate all that pass the base rules are kept. An empty table gives an empty result.
 
-    Up to half of a group may be junk: four deterministic starts take concentration steps over
-    just more than half of the rows until no determinant falls, the least wins, and it is
-    estimated again from all rows it does not reject. Where the ``steps`` steps over ``support``
+    Up to half of a group may be junk: four deterministic starts take two concentration steps
+    over just more than half of the rows, the two of less determinant go on until it falls no
+    more, the least wins, and it is estimated again from all rows it does not reject. Where the ``steps`` steps over ``support``
     of the rows learn from no row that it rejects, their estimates, of more rows, are used.
 
     One pass over the texts; then only counts move. Each concentration step is two aggregates
@@ -270,16 +270,22 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return far.join(_quantile(far, ["key", "start"], log_d, share), ["key", "start"]).where(log_d <= F.col("at"))
 
     shapes = ("centre", "white", "logdet")
-    now, best, moved = first, None, True
-    while moved:  # until no determinant falls any more; the least so far is kept
-        now = t.store(_fit(t.store(_estimates(nearest(now, None), tree), "sums")), "shape")
+    now, sums, best, k, pair = first, None, None, 0, ["key", "start"]
+    while k == 0 or not now.isEmpty():  # until no determinant falls any more; the least so far is kept
+        new = t.store(_estimates(nearest(now, None), tree), "sums")
+        sums = new if sums is None else t.store(sums.join(new.select(pair), pair, "left_anti").unionByName(new), "sums")
+        shape = t.store(_fit(sums), "shape")
+        k += 1
         if best is None:
-            best = now
+            best = now = shape
             continue
-        new = now.select("key", "start", *(F.col(c).alias(f"new_{c}") for c in shapes))
+        new = shape.select("key", "start", *(F.col(c).alias(f"new_{c}") for c in shapes))
         less = F.col("new_logdet") < F.col("logdet") - 1e-3
-        best = t.store(best.join(new, ["key", "start"]).select("key", "start", *(F.when(less, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in shapes), less.alias("moved")), "best")
-        moved = best.where("moved").limit(1).count() > 0
+        best = t.store(best.join(new, pair).select("key", "start", *(F.when(less, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in shapes), less.alias("moved")), "best")
+        if k == 2:  # the two better starts go on
+            place = F.row_number().over(Window.partitionBy("key").orderBy("logdet", "start"))  # four rows a key
+            best = t.store(best.withColumn("place", place).where("place <= 2").drop("place"), "best")
+        now = t.store(shape.join(best.where("moved").select(pair), pair, "left_semi"), "moved")
     best = best.groupBy("key").agg(F.min_by(F.struct("start", "centre", "white"), F.struct("logdet", "start")).alias("b")).select("key", "b.*")
 
     def scaled(shape: DataFrame, inside: DataFrame) -> DataFrame:

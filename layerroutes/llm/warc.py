@@ -185,8 +185,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     of copies are found by an aggregate with map-side combine."""
     t = Tables(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b"").cast("binary"))
-    rows = t.numbered(pages.select(F.col(id_col).cast("string").alias("page"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("uri"), payload.alias("payload")))
-    rows = rows.withColumn("key", F.sha2("payload", 256))
+    source = t.numbered(pages.select(F.col(id_col).cast("string").alias("page"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("uri"), payload.alias("payload")))
+    rows = source.withColumn("key", F.sha2("payload", 256))
     last = F.max(F.struct("id", "rid")).alias("last")
     groups = rows.where(F.length("payload") >= min_bytes).groupBy("key").agg(last, F.count("*").alias("c")).where("c > 1")
     groups = t.store(groups.select("key", F.col("last.id").cast("string").alias("refers"), F.col("last.rid").alias("first")), "copies")
@@ -217,7 +217,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             done.append((f"{folder}/{name}", n))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["archive", "records"])
 
-    return t.store(marked.mapInArrow(run, "archive string, records long"), "archives")
+    written = t.store(marked.mapInArrow(run, "archive string, records long"), "archives")
+    t.drop(source)
+    return written
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:

@@ -68,3 +68,27 @@ def test_classifier_stage_decides(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for some in (docs, docs.where("doc_id < 300"), docs.where("doc_id >= 300")):
         assert {x.doc_id for x in stage(spark, some, str(tmp_path)).collect()} == {x.doc_id for x in some.collect() if x.doc_id < 300}
+
+
+def test_stages_with_odd_tables(spark, tmp_path):
+    """Empty tables, null and repeated ids, and columns called like those used inside."""
+    r = random.Random(3)
+    text, other = clean(r, 100), clean(r, 100)
+    more = DOCS + ", _row long, _id string, _doc int, score double, predicted int, rid long, text_sha256 string"
+    rows = [(i, t, "en", "s", 1, 5, "x", 7, 0.5, 0, 9, "y") for i, t in ((None, text), (5, text), (5, text), (3, other), (3, other), (None, None), (1, ""), (None, None))]
+    for name, schema in (("documents", more), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows if name == "documents" else [], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs, stages = spark.read.parquet(str(tmp_path / "documents.parquet")), dict(corpus_pipeline.STAGES)
+    for where in ("file", "memory"):
+        some = docs if where == "file" else spark.createDataFrame(rows, more)
+        for name, want in (("exact_dedup", [(None, None), (3, other), (5, text)]), ("ngram_join", [(None, None), (None, None), (1, ""), (3, other), (5, text)])):
+            got = stages[name](spark, some, str(tmp_path))
+            assert got.columns == docs.columns
+            if name == "exact_dedup":  # null and empty are one text; the row with an id stays
+                want = [(1, ""), (3, other), (5, text)]
+            assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == sorted(want, key=repr)
+            assert all(x._row == 5 and x._id == "x" and x.rid == 9 for x in got.collect())
+        assert sorted(x.doc_id or 0 for x in stages["quality_rules"](spark, some, str(tmp_path)).collect()) == [0, 3, 3, 5, 5]
+        assert stages["quality_classifier"](spark, some, str(tmp_path)).columns == docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("doc_id = 77"), str(tmp_path)).count() == 0, name
