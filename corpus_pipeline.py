@@ -1,13 +1,14 @@
 """The corpus pipeline: quality rules, quality classifier, exact dedup, near duplicates, packing.
 
-Each stage works on all rows its predecessor kept. While a stage runs, a row is known by a
-number of its own, stored beside it, so that null and repeated ids are no trouble. Of equal or
+Each stage works on all rows its predecessor kept. While a stage runs, a row is known by its
+place in the files, so that null and repeated ids are no trouble. Of equal or
 near-equal texts the row with the smallest doc_id stays; a null doc_id comes last, and of rows
 with one doc_id the first stays. All stages but the last return the columns of their input,
 whatever these are called besides; an empty table gives an empty result in each."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +24,19 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _numbered(docs: DataFrame, stage: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells its rows apart, the same in every read: the place of a
+    row in its file, which needs no copy. Rows that come from no file are stored with a number."""
+    row = _free(docs, "_row")
+    try:
+        return docs.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))), row
+    except AnalysisException:
+        return Tables(docs.sparkSession, stage).numbered(docs, row), row
+
+
 def _kept(docs: DataFrame, stage: str, judge) -> DataFrame:
-    """The rows of ``docs`` whose number is among ``judge(rows, name of the number)``."""
-    t, row = Tables(docs.sparkSession, stage), _free(docs, "_row")
-    rows = t.numbered(docs, row)
+    """The rows of ``docs`` whose place is among ``judge(rows, name of the place)``."""
+    rows, row = _numbered(docs, stage)
     kept = judge(rows, row).toDF(row)
     return rows.join(kept.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)
 
@@ -48,7 +58,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _order(rows: DataFrame, row: str) -> tuple[DataFrame, str]:
-    """``rows`` with an id that sorts by doc_id, null last, then by number."""
+    """``rows`` with an id that sorts by doc_id, null last, then by place."""
     name = _free(rows, "_id")
     return rows.withColumn(name, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col(row).alias("row"))), name
 
