@@ -18,3 +18,12 @@ def fold(salt: str, group: Column, k: int) -> Column:
         part = F.conv(F.substring(text, 8 * i + 1, 8), 16, 10).cast("long")
         r = (r * F.lit(2**32 % k) + part) % k
     return r.cast("int")
+
+
+#: Distribution function of a Poisson draw with mean 1.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402)
+
+
+def poisson(u: Column) -> Column:
+    """A Poisson draw with mean 1 from a uniform one."""
+    return sum(((u >= c).cast("int") for c in POISSON), F.lit(0))

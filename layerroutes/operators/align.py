@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerroutes.functions import arrays as A
@@ -10,9 +10,10 @@ from layerroutes.functions import arrays as A
 
 def similarities(centers: DataFrame, metric: str = "cosine") -> DataFrame:
     """Similarities of consecutive layers' centres: (layer, a, b, sim); layer is the later."""
-    nxt = centers.select((F.col("layer") - 1).alias("layer"), F.col("state").alias("b"), F.col("mu").alias("y"))
+    before = centers.select("layer").distinct().select("layer", F.lag("layer").over(Window.orderBy("layer")).alias("prev"))  # a row a layer
+    nxt = centers.join(before, "layer").select(F.col("prev").alias("layer"), F.col("layer").alias("later"), F.col("state").alias("b"), F.col("mu").alias("y"))
     sim = A.cosine(F.col("mu"), F.col("y")) if metric == "cosine" else 1 / (1 + F.sqrt(A.sq_dist(F.col("mu"), F.col("y"))))
-    return centers.withColumnRenamed("state", "a").join(nxt, "layer").select((F.col("layer") + 1).alias("layer"), "a", "b", sim.alias("sim"))
+    return centers.withColumnRenamed("state", "a").join(nxt, "layer").select(F.col("later").alias("layer"), "a", "b", sim.alias("sim"))
 
 
 def greedy(sims: DataFrame, by: list[str], threshold: float = 0.0) -> DataFrame:
@@ -62,13 +63,15 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def optimal(sims: DataFrame, threshold: float = 0.0, allow_negative: bool = False) -> DataFrame:
-    """Optimal one-to-one matching per layer; pairs under the threshold go after matching."""
+    """Optimal one-to-one matching per layer; negative similarities count as 0 unless allowed.
+    Pairs whose own similarity is under the threshold go after matching."""
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         a, b = np.sort(f["a"].unique()), np.sort(f["b"].unique())
-        s = np.full((len(a), len(b)), -1e6)
-        s[np.searchsorted(a, f["a"]), np.searchsorted(b, f["b"])] = f["sim"] if allow_negative else f["sim"].clip(lower=0)
-        rows = [(int(f["layer"].iloc[0]), int(a[i]), int(b[j]), float(s[i, j])) for i, j in assignment(-s) if s[i, j] >= threshold]
+        raw = np.full((len(a), len(b)), -1e6)
+        raw[np.searchsorted(a, f["a"]), np.searchsorted(b, f["b"])] = f["sim"]
+        s = raw if allow_negative else np.where(raw > -1e6, np.maximum(raw, 0), raw)
+        rows = [(int(f["layer"].iloc[0]), int(a[i]), int(b[j]), float(raw[i, j])) for i, j in assignment(-s) if raw[i, j] >= threshold]
         return pd.DataFrame(rows, columns=["layer", "a", "b", "sim"])
 
     return sims.groupBy("layer").applyInPandas(one, "layer int, a int, b int, sim double")  # K x K a group
@@ -83,9 +86,10 @@ def align_layers(centers: DataFrame, matches: DataFrame) -> DataFrame:
         local.setdefault(r.layer, []).append(r.state)
     pairs = {(r.layer, r.b): r.a for r in matches.collect()}
     vocab, new = {}, 0
-    for k, layer in enumerate(sorted(local)):
+    order = sorted(local)
+    for k, layer in enumerate(order):
         for s in sorted(local[layer]):
-            old = vocab.get((layer - 1, pairs[layer, s])) if k and (layer, s) in pairs else None
+            old = vocab.get((order[k - 1], pairs[layer, s])) if k and (layer, s) in pairs else None
             if old is None:
                 old, new = new, new + 1
             vocab[layer, s] = old

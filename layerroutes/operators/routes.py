@@ -30,22 +30,22 @@ def with_share(edges: DataFrame, by: list[str], name: str = "prob") -> DataFrame
 
 
 def births_deaths(edges: DataFrame, min_count: int = 1) -> DataFrame:
-    """Births: states seen in layer l + 1 as targets but never as sources there; deaths the
-    other way. The next layer is layer_from + 1."""
-    seen_in = edges.groupBy((F.col("layer_from") + 1).alias("layer"), F.col("state_to").alias("state")).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    seen_out = edges.groupBy(F.col("layer_from").alias("layer"), F.col("state_from").alias("state")).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    both = seen_in.agg(F.max("layer").alias("hi")).crossJoin(seen_out.agg(F.min("layer").alias("lo")))  # one row
-    births = seen_out.join(both).where("layer > lo").join(seen_in.select("layer", "state"), ["layer", "state"], "left_anti").select(F.lit("birth").alias("kind"), "layer", "state", "n")
-    deaths = seen_in.join(both).where("layer < hi").join(seen_out.select("layer", "state"), ["layer", "state"], "left_anti").select(F.lit("death").alias("kind"), "layer", "state", "n")
-    return births.union(deaths)
+    """Births: targets of layer_from that are no sources there, at the next layer; deaths:
+    sources that are no targets, at layer_from. The count is tested after the difference."""
+    to = edges.groupBy("layer_from", F.col("state_to").alias("state")).agg(F.max("layer_to").alias("layer"), F.sum("n").alias("n"))
+    out = edges.groupBy("layer_from", F.col("state_from").alias("state")).agg(F.sum("n").alias("n")).withColumn("layer", F.col("layer_from"))
+    births = to.join(out.select("layer_from", "state"), ["layer_from", "state"], "left_anti").select(F.lit("birth").alias("kind"), "layer", "state", "n")
+    deaths = out.join(to.select("layer_from", "state"), ["layer_from", "state"], "left_anti").select(F.lit("death").alias("kind"), "layer", "state", "n")
+    return births.union(deaths).where(F.col("n") >= min_count)
 
 
 def splits_merges(edges: DataFrame, min_prob: float = 0.05, min_total: int = 20) -> DataFrame:
+    """States with two or more branches: splits at the earlier layer, merges at the later."""
     out = []
     for kind, own, other in (("split", "state_from", "state_to"), ("merge", "state_to", "state_from")):
         by = ["layer_from", "layer_to", own]
         p = with_share(edges, by).withColumn("total", F.sum("n").over(Window.partitionBy(*by))).where((F.col("prob") >= min_prob) & (F.col("total") >= min_total))
-        g = p.groupBy("layer_from", F.col(own).alias("state")).agg(F.count("*").alias("branches"), F.array_join(F.sort_array(F.collect_list(other)), ",").alias("targets"), F.max("prob").alias("max_prob"))  # at most K
+        g = p.groupBy(F.col("layer_from" if kind == "split" else "layer_to").alias("layer"), F.col(own).alias("state")).agg(F.count("*").alias("branches"), F.array_join(F.sort_array(F.collect_list(other)), ",").alias("targets"), F.max("prob").alias("max_prob"))  # at most K
         out.append(g.where("branches >= 2").select(F.lit(kind).alias("kind"), "*"))
     return out[0].union(out[1])
 

@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from layerroutes.plans import evaluation, readouts, tables, trajectories, vectors
+from layerroutes.plans import evaluation, readouts, studies, tables, trajectories, vectors
 from layerroutes.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "readouts", "tables", "trajectories", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "readouts", "studies", "tables", "trajectories", "vectors"]

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from layerroutes.functions.hashing import fold, uniform
+from layerroutes.functions.hashing import POISSON, fold, poisson, uniform
 from layerroutes.functions.stats import auroc, running
 from layerroutes.operators import monitor
 from layerroutes.plans import fixtures as fx
@@ -11,6 +11,7 @@ from layerroutes.plans.fixtures import sql, uniform_sql
 from layerroutes.plans.registry import query
 
 r6 = lambda c, name=None: F.round(c, 6).alias(name or c)
+POISSON_SQL = "(" + " + ".join(f"(u >= {c!r})::INT" for c in POISSON) + ")"
 AUC = "sum(pos * (below - 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0)"
 
 
@@ -69,12 +70,13 @@ def e06_macro_auroc(spark, d):
     return auroc(fx.doc(spark, d), "a", "label", ["level"]).agg(r6(F.avg("auroc"), "macro_auroc"), F.count("auroc").alias("groups"))
 
 
-@query(sql(f"d AS (SELECT a AS s, label AS y, rep, floor({uniform_sql('boot', chr(39) + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || doc_id')} * 3)::INT AS w FROM doc, range(8) t(rep)), {auc_sql('d', 'rep', 'w')}, a AS (SELECT rep, {AUC} AS a FROM o GROUP BY rep) SELECT round(avg(a), 6) AS mean, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.975), 6) AS high FROM a", "doc"))
+@query(sql(f"b AS (SELECT *, {uniform_sql('boot', chr(39) + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || doc_id')} AS u FROM doc, range(200) t(rep)), d AS (SELECT a AS s, label AS y, rep, {POISSON_SQL} AS w FROM b), {auc_sql('d', 'rep', 'w')}, a AS (SELECT rep, {AUC} AS a FROM o GROUP BY rep) SELECT round(avg(a), 6) AS mean, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.975), 6) AS high FROM a", "doc"))
 def e08_bootstrap_auroc(spark, d):
-    """Replicates with hash weights of 0, 1 or 2 for each row."""
-    x = fx.doc(spark, d).select("doc_id", "a", "label", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("rep"))
-    x = x.withColumn("w", F.floor(uniform("boot", F.col("rep"), F.col("doc_id")) * 3))
-    a = auroc(x, "a", "label", ["rep"], weight=F.col("w"))
+    """200 replicates in which each row counts as often as a Poisson draw says: the bootstrap
+    whose draws need no common total, so that rows never meet."""
+    x = fx.doc(spark, d).select("doc_id", "a", "label", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep"))
+    w = poisson(uniform("boot", F.col("rep"), F.col("doc_id")))
+    a = auroc(x.withColumn("w", w).where("w > 0"), "a", "label", ["rep"], weight=F.col("w"))
     return a.agg(r6(F.avg("auroc"), "mean"), r6(F.percentile("auroc", F.lit(0.025)), "low"), r6(F.percentile("auroc", F.lit(0.975)), "high"))
 
 
@@ -163,7 +165,7 @@ def e22_coverage(spark, d):
 
 def far_sql(final: bool) -> str:
     m = "max(score)" if final else "max(score) FILTER (NOT is_final)"
-    return f"t AS (SELECT sample, {m} AS m FROM evt WHERE label = 1 GROUP BY sample), f AS (SELECT coalesce(m, (SELECT min(m) FROM t) - 1) AS m, row_number() OVER (ORDER BY m) AS i, count(*) OVER () AS n FROM t), th AS (SELECT m AS threshold FROM f WHERE i = greatest(0, n - floor(0.1 * n) - 1) + 1)"
+    return f"t AS (SELECT sample, {m} AS m FROM evt WHERE label = 1 GROUP BY sample), f AS (SELECT coalesce(m, (SELECT min(score) - 1e-9 FROM evt)) AS m, row_number() OVER (ORDER BY coalesce(m, (SELECT min(score) - 1e-9 FROM evt))) AS i, count(*) OVER () AS n FROM t), th AS (SELECT m AS threshold FROM f WHERE i = greatest(0, n - floor(0.1 * n) - 1) + 1)"
 
 
 @query(sql(far_sql(True) + " SELECT round(threshold, 6) AS threshold FROM th", "evt"))
@@ -171,21 +173,21 @@ def w01_far_threshold(spark, d):
     return monitor.far_threshold(fx.evt(spark, d), 0.1).select(r6("threshold"))
 
 
-CASES = far_sql(False) + ", k AS (SELECT sample, max(label) AS label, max((score > threshold)::INT) AS alarm, min(token_end) FILTER (score > threshold AND NOT is_final) AS fe, max(n_tokens) AS n, arg_max(score, token_end) FILTER (token_end <= 0.5 * n_tokens) AS half_score, max(score) FILTER (is_final) AS final_score FROM evt, th GROUP BY sample)"
+CASES = far_sql(False) + ", k AS (SELECT sample, max(label) AS label, max((score > threshold AND NOT is_final)::INT) AS alarm, max((NOT is_final)::INT) AS covered, min(token_end) FILTER (score > threshold AND NOT is_final) AS fe, max(n_tokens) AS n, arg_max(score, token_end) FILTER (token_end <= 0.5 * n_tokens) AS half_score, max(score) FILTER (is_final) AS final_score FROM evt, th GROUP BY sample)"
 
 
 @query(sql(CASES + " SELECT sample, label, alarm, fe IS NOT NULL AS early, round(coalesce(1 - fe / n, 0), 6) AS saved, round(half_score, 6) AS half_score, round(final_score, 6) AS final_score FROM k", "evt"))
 def w02_cases(spark, d):
     e = fx.evt(spark, d)
-    c = monitor.cases(e.join(monitor.far_threshold(e, 0.1, final=False)), F.col("threshold"))
+    c = monitor.cases(e.join(monitor.far_threshold(e, 0.1, final=False)), F.col("threshold"), final=False)
     return c.select("sample", "label", "alarm", "early", r6("saved"), r6("half_score"), r6("final_score"))
 
 
-@query(sql(CASES + " SELECT count(*) AS n, round(avg(alarm) FILTER (label = 1), 6) AS far, round(avg(alarm) FILTER (label = 0), 6) AS detected, round(avg((fe IS NOT NULL)::INT) FILTER (label = 0), 6) AS early, round(avg(coalesce(1 - fe / n, 0)) FILTER (label = 0), 6) AS saved FROM k", "evt"))
+@query(sql(CASES + " SELECT count(*) AS n, round(avg(alarm) FILTER (label = 1), 6) AS far, round(avg(alarm) FILTER (label = 0), 6) AS detected, round(avg((fe IS NOT NULL)::INT) FILTER (label = 0), 6) AS early, round(avg(coalesce(1 - fe / n, 0)) FILTER (label = 0), 6) AS saved, round(avg(coalesce(1 - fe / n, 0)), 6) AS saved_all, round(avg(covered), 6) AS coverage, round(avg((half_score IS NOT NULL)::INT), 6) AS half_coverage FROM k", "evt"))
 def w04_metrics(spark, d):
     e = fx.evt(spark, d)
-    m = monitor.metrics(monitor.cases(e.join(monitor.far_threshold(e, 0.1, final=False)), F.col("threshold")))
-    return m.select("n", *(r6(c) for c in ("far", "detected", "early", "saved")))
+    m = monitor.metrics(monitor.cases(e.join(monitor.far_threshold(e, 0.1, final=False)), F.col("threshold"), final=False))
+    return m.select("n", *(r6(c) for c in ("far", "detected", "early", "saved", "saved_all", "coverage", "half_coverage")))
 
 
 @query(sql("b AS (SELECT sample, n_tokens, unnest([10, 20, 40]) AS pos FROM evt WHERE token_end = 1), s AS (SELECT b.sample, pos, n_tokens, score FROM b LEFT JOIN evt e ON e.sample = b.sample AND e.token_end = pos), f AS (SELECT sample, max(n_tokens) AS n, min(pos) FILTER (score > 400) AS first, count(score) AS present FROM s GROUP BY sample) SELECT sample, first, present, greatest(coalesce(n - first, 0), 0)::BIGINT AS saved FROM f".replace("n_tokens, unnest", "max(n_tokens) OVER (PARTITION BY sample) AS n_tokens, unnest").replace("s AS (SELECT b.sample, pos, n_tokens", "s AS (SELECT b.sample, pos, b.n_tokens"), "evt"))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from layerroutes.operators.cluster import lloyd_step
 from layerroutes.operators.distances import nearest
 
 LAYERS, WIDTH = 8, 8
@@ -37,6 +38,11 @@ def routes(spark, d) -> DataFrame:
     return nearest(states(spark, d), centers(spark, d)).select("row_id", "layer", "state", "dist")
 
 
+def means(spark, d) -> DataFrame:
+    """Centres learnt from all rows: the mean of the rows of each state."""
+    return lloyd_step(states(spark, d), centers(spark, d)).select("layer", "state", "mu")
+
+
 def rt(spark, d) -> DataFrame:
     return routes(spark, d).join(emb(spark, d).select("row_id", "label", "category", "level", "n_tokens", "finish_reason"), "row_id")
 
@@ -71,12 +77,13 @@ SQL = {
     "states": "SELECT vec_id AS row_id, l::INT AS layer, embedding[l * 8 + 1 : l * 8 + 8]::DOUBLE[] AS x FROM embeddings, range(8) t(l)",
     "centers": "SELECT layer, row_id::INT AS state, x AS mu FROM states WHERE row_id < 4 + layer % 3",
     "routes": f"SELECT row_id, layer, state, dist FROM (SELECT s.row_id, s.layer, c.state, {_DIST} AS dist, row_number() OVER (PARTITION BY s.row_id, s.layer ORDER BY {_DIST}, c.state) AS i FROM states s JOIN centers c ON s.layer = c.layer) WHERE i = 1",
+    "means": "SELECT layer, state, list(m ORDER BY i) AS mu FROM (SELECT layer, state, i, avg(x[i]) AS m FROM states JOIN routes USING (row_id, layer), range(1, 9) t(i) GROUP BY ALL) GROUP BY ALL",
     "rt": "SELECT routes.*, label, category, level, n_tokens, finish_reason FROM routes JOIN emb USING (row_id)",
     "evt": "SELECT user_id AS sample, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS token_end, count(*) OVER (PARTITION BY user_id) AS n_tokens, value AS score, event_id, value / 500 AS entropy, -value / 500 AS logprob, event_type, 'g' || (user_id % 4) AS category, CASE WHEN (user_id * 7919) % 3 > 0 THEN 1 ELSE 0 END AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = count(*) OVER (PARTITION BY user_id) AS is_final FROM events",
     "doc": "SELECT d.doc_id, text, lang, source, n_chars::DOUBLE AS a, quality::INT AS label, (1 + d.doc_id % 5)::INT AS level FROM documents d JOIN labels USING (doc_id)",
     "scan": "SELECT l_linenumber::INT AS layer, (2 + l_suppkey % 12)::INT AS k, round(avg(l_extendedprice), 4)::DOUBLE AS icl, round(avg(l_discount), 6)::DOUBLE AS silhouette, round(avg(l_tax) * 10, 6)::DOUBLE AS stability, (2 + l_suppkey % 12) % 5 <> 0 AS converged FROM lineitem GROUP BY ALL",
 }
-_NEEDS = {"centers": ["states"], "routes": ["states", "centers"], "rt": ["states", "centers", "routes", "emb"]}
+_NEEDS = {"centers": ["states"], "routes": ["states", "centers"], "rt": ["states", "centers", "routes", "emb"], "means": ["states", "centers", "routes"]}
 
 
 def sql(body: str, *views: str) -> str:

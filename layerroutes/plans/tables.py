@@ -184,17 +184,17 @@ def u17_clean_selection(spark, d):
     return f.orderBy(uniform("clean", F.col("doc_id"))).limit(100).select("doc_id")
 
 
-SIM = "sim AS (SELECT b.layer, a.state AS a, b.state AS b, list_sum(list_transform(list_zip(a.mu, b.mu), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a.mu, lambda v: v * v))) * sqrt(list_sum(list_transform(b.mu, lambda v: v * v)))) AS sim FROM centers a JOIN centers b ON b.layer = a.layer + 1)"
+SIM = "sim AS (SELECT b.layer, a.state AS a, b.state AS b, list_sum(list_transform(list_zip(a.mu, b.mu), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a.mu, lambda v: v * v))) * sqrt(list_sum(list_transform(b.mu, lambda v: v * v)))) AS sim FROM means a JOIN means b ON b.layer = a.layer + 1)"
 
 
-@query(sql(SIM + " SELECT layer, a, b, round(sim, 6) AS sim FROM sim", "centers"))
+@query(sql(SIM + " SELECT layer, a, b, round(sim, 6) AS sim FROM sim", "means"))
 def a00_similarities(spark, d):
-    return align.similarities(fx.centers(spark, d)).select("layer", "a", "b", r6("sim"))
+    return align.similarities(fx.means(spark, d)).select("layer", "a", "b", r6("sim"))
 
 
 @query(None)
 def a01_optimal(spark, d):
-    return align.optimal(align.similarities(fx.centers(spark, d)), 0.2)
+    return align.optimal(align.similarities(fx.means(spark, d)), 0.2)
 
 
 def _rounds(n: int) -> str:
@@ -205,14 +205,21 @@ def _rounds(n: int) -> str:
     return out + " " + " UNION ALL ".join(f"SELECT layer, a, b, round(sim, 6) AS sim FROM m{k}" for k in range(n))
 
 
-@query(sql(_rounds(6), "centers"))
+@query(sql(_rounds(6), "means"))
 def a02_greedy(spark, d):
-    return align.greedy(align.similarities(fx.centers(spark, d)), ["layer"], 0.2).select("layer", "a", "b", r6("sim"))
+    return align.greedy(align.similarities(fx.means(spark, d)), ["layer"], 0.2).select("layer", "a", "b", r6("sim"))
 
 
-@query(None)
+def _chain(n: int) -> str:
+    """Matches handed on from layer to layer in SQL: what has none is born, in layer and local order."""
+    m, last = _rounds(n).split(" SELECT layer, a, b, round", 1)
+    m += ", m AS (SELECT layer, a, b, round" + last + "), born AS (SELECT layer, state, row_number() OVER (ORDER BY layer, state) - 1 AS id FROM means c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.layer = c.layer AND m.b = c.state))"
+    return m + ", chain AS (SELECT layer, state, id FROM born UNION ALL SELECT m.layer, m.b, id FROM chain JOIN m ON m.layer = chain.layer + 1 AND m.a = chain.state) SELECT layer, state AS local_state, id::INT AS state FROM chain"
+
+
+@query(sql(_chain(6), "means").replace("WITH ", "WITH RECURSIVE ", 1))
 def a03_align_layers(spark, d):
-    c = fx.centers(spark, d)
+    c = fx.means(spark, d)
     return align.align_layers(c, align.greedy(align.similarities(c), ["layer"], 0.2))
 
 
@@ -247,7 +254,12 @@ def f03_user_selector(spark, d):
 def _streamed(spark, d, make, mode="append"):
     """Runs a stream over the events table to its end, into the shared folder."""
     schema = fx.table(spark, d, "events").schema
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="layerroutes-")).rstrip("/") + f"/streams/{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="layerroutes-")
+    base = shared.rstrip("/") + f"/streams/{uuid.uuid4().hex}"
     src = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     q = make(src).writeStream.outputMode(mode).format("parquet").option("checkpointLocation", base + "/log").option("path", base + "/out").trigger(availableNow=True).start()
     q.awaitTermination()

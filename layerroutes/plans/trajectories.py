@@ -28,20 +28,20 @@ def j02_transitions(spark, d):
     return R.transitions(fx.rt(spark, d))
 
 
-@query(sql(EDGES + """, i AS (SELECT layer_from + 1 AS layer, state_to AS state, sum(n)::BIGINT AS n FROM edges WHERE state_from <> 2 GROUP BY ALL HAVING sum(n) >= 3),
- o AS (SELECT layer_from AS layer, state_from AS state, sum(n)::BIGINT AS n FROM edges WHERE state_from <> 2 GROUP BY ALL HAVING sum(n) >= 3)
-SELECT 'birth' AS kind, * FROM o WHERE layer > (SELECT min(layer) FROM o) AND (layer, state) NOT IN (SELECT (layer, state) FROM i)
-UNION ALL SELECT 'death', * FROM i WHERE layer < (SELECT max(layer) FROM i) AND (layer, state) NOT IN (SELECT (layer, state) FROM o)""", "rt"))
+@query(sql(EDGES + """, i AS (SELECT layer_from, layer_from + 1 AS layer, state_to AS state, sum(n)::BIGINT AS n FROM edges GROUP BY ALL),
+ o AS (SELECT layer_from, layer_from AS layer, state_from AS state, sum(n)::BIGINT AS n FROM edges GROUP BY ALL)
+SELECT 'birth' AS kind, layer, state, n FROM i WHERE (layer_from, state) NOT IN (SELECT (layer_from, state) FROM o) AND n >= 3
+UNION ALL SELECT 'death', layer, state, n FROM o WHERE (layer_from, state) NOT IN (SELECT (layer_from, state) FROM i) AND n >= 3""", "rt"))
 def j03_births_deaths(spark, d):
-    return R.births_deaths(R.transitions(fx.rt(spark, d)).where("state_from <> 2"), 3)
+    return R.births_deaths(R.transitions(fx.rt(spark, d)), 3)
 
 
 @query(sql(EDGES + """, p AS (SELECT *, n / sum(n) OVER w AS prob, sum(n) OVER w AS total FROM edges WINDOW w AS (PARTITION BY layer_from, state_from)),
  q AS (SELECT *, n / sum(n) OVER w AS prob, sum(n) OVER w AS total FROM edges WINDOW w AS (PARTITION BY layer_from, state_to))
-SELECT 'split' AS kind, layer_from, state_from AS state, count(*) AS branches, string_agg(state_to::VARCHAR, ',' ORDER BY state_to) AS targets, round(max(prob), 6) AS max_prob FROM p WHERE prob >= 0.05 AND total >= 20 GROUP BY ALL HAVING count(*) >= 2
-UNION ALL SELECT 'merge', layer_from, state_to, count(*), string_agg(state_from::VARCHAR, ',' ORDER BY state_from), round(max(prob), 6) FROM q WHERE prob >= 0.05 AND total >= 20 GROUP BY ALL HAVING count(*) >= 2""", "rt"))
+SELECT 'split' AS kind, layer_from AS layer, state_from AS state, count(*) AS branches, string_agg(state_to::VARCHAR, ',' ORDER BY state_to) AS targets, round(max(prob), 6) AS max_prob FROM p WHERE prob >= 0.05 AND total >= 20 GROUP BY ALL HAVING count(*) >= 2
+UNION ALL SELECT 'merge', layer_from + 1, state_to, count(*), string_agg(state_from::VARCHAR, ',' ORDER BY state_from), round(max(prob), 6) FROM q WHERE prob >= 0.05 AND total >= 20 GROUP BY ALL HAVING count(*) >= 2""", "rt"))
 def j04_splits_merges(spark, d):
-    return R.splits_merges(R.transitions(fx.rt(spark, d))).select("kind", "layer_from", "state", "branches", "targets", r6("max_prob"))
+    return R.splits_merges(R.transitions(fx.rt(spark, d))).select("kind", "layer", "state", "branches", "targets", r6("max_prob"))
 
 
 @query(sql(f"s AS (SELECT row_id FROM emb ORDER BY {uniform_sql('hamming', 'row_id')}, row_id LIMIT 60), r AS (SELECT * FROM routes WHERE row_id IN (SELECT row_id FROM s)) SELECT a.row_id, b.row_id AS other, round(count(*) / 8, 6) AS similarity FROM r a JOIN r b ON a.layer = b.layer AND a.state = b.state AND a.row_id < b.row_id GROUP BY ALL", "routes", "emb"))
