@@ -144,3 +144,27 @@ def test_classifier_edges(spark):
     model = qc.fit(docs, none)
     assert qc.score(docs, model).first().score is not None
     assert qc.score(docs.limit(0), model).count() == 0
+
+
+def test_classifier_scores_match_brute_force(spark):
+    """Sizes of every piece with both dictionaries, and the logistic curve, redone."""
+    import zstandard
+
+    r = random.Random(12)
+    docs = [(i, clean(r, r.randint(20, 900)) if i % 2 else clean(r, r.randint(20, 300)).upper(), "en", "s", "", 0, 0) for i in range(300)] + [(300, None, "", "", "", 0, 0), (301, "", "", "", "", 0, 0), (302, "é日" * 5000, "", "", "", 0, 0)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    model = qc.fit(frame, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int"))
+    params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0)
+    dicts = [zstandard.ZstdCompressionDict(raw) for raw in (model.good, model.bad)]
+    for held in dicts:  # level 3 is set with the dictionary, digested once
+        held.precompute_compress(level=3)
+    tools = [zstandard.ZstdCompressor(dict_data=held, compression_params=params) for held in dicts]
+    assert model.slope > 0
+    got = {x.doc_id: x for x in qc.score(frame, model).collect()}
+    for i, t, *_ in docs:
+        raw = (t or "").encode()
+        good, bad = (sum(len(tool.compress(raw[k : k + model.piece])) for k in range(0, len(raw), model.piece)) for tool in tools)
+        x = (bad - good) / (bad + good) if raw else 0.0
+        p = 1 / (1 + np.exp(-(model.slope * x + model.intercept)))
+        assert abs(got[i].score - p) < 1e-9
+        assert got[i].predicted == int(p >= 0.5)
