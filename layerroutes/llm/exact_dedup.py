@@ -1,10 +1,10 @@
 """Exact dedup by deterministic block naming.
 
-Each text is cut into blocks of a fixed number of characters. Distinct blocks are sorted and
-take their place as an integer name; adjacent names are paired, distinct pairs are sorted and
-named, and so on until each text has one name. Equal names at equal block counts mean equal
-texts, whatever a hash would say: digests only carry blocks to their names, and blocks whose
-digest meets another content are told apart by content."""
+Each text is cut into blocks of a fixed number of characters. Distinct blocks are sorted by
+their 64-bit digest, and by content where several contents share one, and take their place as
+an integer name; adjacent names are paired, distinct pairs are sorted and named, and so on
+until each text has one name. Equal names at equal block counts mean equal texts, whatever a
+digest would say: a digest of two contents is found by comparing contents."""
 
 from __future__ import annotations
 
