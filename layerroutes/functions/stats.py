@@ -68,3 +68,29 @@ def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     h = [F.log("n") - F.col(f"l{i}") / F.col("n") for i in (0, 1)]
     mi = h[0] + h[1] - (F.log("n") - F.col("lc") / F.col("n"))
     return all_.select(ari.alias("ari"), F.when(h[0] + h[1] > 0, 2 * mi / (h[0] + h[1])).otherwise(1.0).alias("nmi"))
+
+
+def normal_tail(z: Column) -> Column:
+    """The chance that a standard normal is above ``z`` (0 or more): by the series of the
+    distribution function, and beyond 5 by the continued fraction of the tail."""
+    pdf = F.exp(-z * z / 2) / 2.5066282746310002
+    step = lambda a, k: a["t"] * z * z / (2 * k + 1)
+    start = F.struct(z.alias("t"), z.alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, lambda a, k: F.struct(step(a, k).alias("t"), (a["s"] + step(a, k)).alias("s")), lambda a: a["s"])
+    fraction = F.aggregate(F.sequence(F.lit(40), F.lit(1), F.lit(-1)), z, lambda a, k: z + k / a)
+    return F.when(z < 5, 0.5 - pdf * series).otherwise(pdf / fraction)
+
+
+def mann_whitney(df: DataFrame, value: str, label: str, by: list[str]) -> DataFrame:
+    """Two-sided p-value of the rank-sum test per ``by``: normal approximation with the tie
+    term and continuity correction. Columns u (of label 1) and p, null with one class only."""
+    one = (F.col(label) == 1).cast("double")
+    at = df.groupBy(*by, F.col(value).alias("_v")).agg(F.sum(one).alias("_p"), F.count("*").cast("double").alias("_t"))
+    run = running(at, by, "_v", {"_upto": "_t"})
+    t, n1, n = F.col("_t"), F.col("n1"), F.col("n")
+    g = run.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("_upto") - (t - 1) / 2)).alias("_r"), F.sum("_p").alias("n1"), F.sum("_t").alias("n"), F.sum(t * t * t - t).alias("_ties"))
+    n0 = n - n1
+    u = F.col("_r") - n1 * (n1 + 1) / 2
+    sd = F.sqrt(n1 * n0 / 12 * (n + 1 - F.col("_ties") / (n * (n - 1))))
+    z = F.greatest(F.abs(u - n1 * n0 / 2) - 0.5, F.lit(0.0)) / sd
+    return g.where(n1 * n0 > 0).select(*by, u.alias("u"), z.alias("z"), F.least(F.lit(1.0), 2 * normal_tail(z)).alias("p"))

@@ -26,12 +26,21 @@ def kmeans(states: DataFrame, centers: DataFrame, iterations: int = 10, toleranc
     return centers, history
 
 
-def em_step(states: DataFrame, model: DataFrame, floor: float = 1e-6) -> DataFrame:
-    """One E and M step of a diagonal mixture: (layer, state, nk, weight, mu, var)."""
+def em_step(states: DataFrame, model: DataFrame, floor: float = 1e-6, covariance: str = "diag") -> DataFrame:
+    """One E and M step of a mixture: (layer, state, nk, weight, mu, var). The variances are
+    each component's own (diag), one vector for a layer (tied) or one number a component
+    (spherical)."""
     joint = gaussian_log_joint(states, model)
     r = responsibilities(joint, ["row_id", "layer"]).select("layer", "state", "resp", F.posexplode("x").alias("i", "v"))
     g = r.groupBy("layer", "state", "i").agg(F.sum("resp").alias("nk"), F.sum(F.col("resp") * F.col("v")).alias("s"), F.sum(F.col("resp") * F.col("v") * F.col("v")).alias("q"))
     m = g.withColumn("m", F.col("s") / F.col("nk")).withColumn("var", F.greatest(F.col("q") / F.col("nk") - F.col("m") * F.col("m"), F.lit(0.0)) + floor)
     n = states.groupBy("layer").agg(F.count("*").alias("n"))
     pick = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("i", c))), lambda s: s[c])
+    if covariance == "tied":
+        tied = m.groupBy("layer", "i").agg((F.sum(F.col("nk") * F.col("var")) / F.sum("nk")).alias("var"))
+        m = m.drop("var").join(tied, ["layer", "i"])
+    elif covariance == "spherical":
+        m = m.drop("var").join(m.groupBy("layer", "state").agg(F.avg("var").alias("var")), ["layer", "state"])
+    elif covariance != "diag":
+        raise ValueError(f"no such covariance: {covariance}")
     return m.groupBy("layer", "state").agg(F.max("nk").alias("nk"), pick("m").alias("mu"), pick("var").alias("var")).join(n, "layer").withColumn("weight", F.col("nk") / F.col("n")).drop("n")

@@ -1,7 +1,7 @@
 """Monitoring with a calibrated false-alarm rate. Rows are boundaries of responses: sample,
 token_end, n_tokens, is_final, label (1 success) and score (danger)."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerroutes.functions.stats import running
@@ -39,3 +39,20 @@ def metrics(c: DataFrame) -> DataFrame:
     fail, ok = F.col("label") == 0, F.col("label") == 1
     rate = lambda when, what: F.avg(F.when(when, what.cast("double")))
     return c.agg(F.count("*").alias("n"), rate(ok, F.col("alarm")).alias("far"), rate(fail, F.col("alarm")).alias("detected"), rate(fail, F.col("early").cast("int")).alias("early"), rate(fail, F.col("saved")).alias("saved"), F.avg("saved").alias("saved_all"), F.avg("covered").alias("coverage"), F.avg(F.col("half_score").isNotNull().cast("int")).alias("half_coverage"))
+
+
+def baselines(rows: DataFrame, methods: list[tuple[str, str, int]], far: float, held: Column, final: bool = False) -> DataFrame:
+    """Frozen baselines on boundaries: for (name, column, sign), the prefix mean of the column
+    times the sign is the danger; its threshold comes from rows where ``held`` is false, its
+    metrics from the others. A method whose column is not there is listed, not filled in."""
+    w = Window.partitionBy("sample").orderBy("token_end").rowsBetween(Window.unboundedPreceding, 0)
+    out = None
+    for name, column, sign in methods:
+        if column not in rows.columns:
+            part = rows.sparkSession.createDataFrame([(name, "unavailable")], "method string, status string")
+        else:
+            b = rows.withColumn("score", sign * F.avg(column).over(w))
+            c = cases(b.where(held).join(far_threshold(b.where(~held), far, final)), F.col("threshold"), final)
+            part = metrics(c).withColumns({"method": F.lit(name), "status": F.lit("measured")})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
