@@ -27,3 +27,9 @@ POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 def poisson(u: Column) -> Column:
     """A Poisson draw with mean 1 from a uniform one."""
     return sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
+
+
+def normal(salt: str, *ids: Column) -> Column:
+    """A standard normal draw from two uniform ones."""
+    u, v = uniform(salt + "|r", *ids), uniform(salt + "|a", *ids)
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(6.283185307179586 * v)

@@ -62,8 +62,8 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(i), int(j)) for j, i in enumerate(owner) if i >= 0]
 
 
-def optimal(sims: DataFrame, threshold: float = 0.0, allow_negative: bool = False) -> DataFrame:
-    """Optimal one-to-one matching per layer; negative similarities count as 0 unless allowed.
+def optimal(sims: DataFrame, threshold: float = 0.0, allow_negative: bool = False, by: tuple[str, ...] = ("layer",)) -> DataFrame:
+    """Optimal one-to-one matching per ``by``; negative similarities count as 0 unless allowed.
     Pairs whose own similarity is under the threshold go after matching."""
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
@@ -71,10 +71,10 @@ def optimal(sims: DataFrame, threshold: float = 0.0, allow_negative: bool = Fals
         raw = np.full((len(a), len(b)), -1e6)
         raw[np.searchsorted(a, f["a"]), np.searchsorted(b, f["b"])] = f["sim"]
         s = raw if allow_negative else np.where(raw > -1e6, np.maximum(raw, 0), raw)
-        rows = [(int(f["layer"].iloc[0]), int(a[i]), int(b[j]), float(raw[i, j])) for i, j in assignment(-s) if raw[i, j] >= threshold]
-        return pd.DataFrame(rows, columns=["layer", "a", "b", "sim"])
+        rows = [(*(int(f[c].iloc[0]) for c in by), int(a[i]), int(b[j]), float(raw[i, j])) for i, j in assignment(-s) if raw[i, j] >= threshold]
+        return pd.DataFrame(rows, columns=[*by, "a", "b", "sim"])
 
-    return sims.groupBy("layer").applyInPandas(one, "layer int, a int, b int, sim double")  # K x K a group
+    return sims.groupBy(*by).applyInPandas(one, ", ".join(f"{c} int" for c in by) + ", a int, b int, sim double")  # K x K a group
 
 
 def align_layers(centers: DataFrame, matches: DataFrame) -> DataFrame:
@@ -94,3 +94,38 @@ def align_layers(centers: DataFrame, matches: DataFrame) -> DataFrame:
                 old, new = new, new + 1
             vocab[layer, s] = old
     return spark.createDataFrame([(a, b, c) for (a, b), c in sorted(vocab.items())], "layer int, local_state int, state int")
+
+
+def _centres(centers: DataFrame) -> dict[int, tuple[list[int], np.ndarray]]:
+    """K centres a layer, on the driver."""
+    out: dict[int, list] = {}
+    for r in centers.orderBy("layer", "state").collect():
+        out.setdefault(r.layer, []).append((r.state, r.mu))
+    return {k: ([s for s, _ in v], np.array([m for _, m in v])) for k, v in out.items()}
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    return unit(a) @ unit(b).T
+
+
+def to_pool(centers: DataFrame, threshold: float | None = None, anchor: int | None = None) -> DataFrame:
+    """Global ids (layer, local_state, state, pool): each layer is matched with all centres seen
+    so far, or with the ``anchor`` layer alone. What finds no partner of ``threshold`` is born;
+    pool is the number of known ids after the layer. Works on K centres a layer."""
+    given = _centres(centers)
+    order = sorted(given) if anchor is None else [anchor, *(k for k in sorted(given) if k != anchor)]
+    pool, out, born = np.zeros((0, 0)), [], 0
+    for layer in order:
+        local, mu = given[layer]
+        pairs = {}
+        if len(pool):
+            sim = _cosines(pool, mu)
+            pairs = {j: i for i, j in assignment(-sim) if threshold is None or sim[i, j] >= threshold}
+        fresh = [j for j in range(len(local)) if j not in pairs]
+        ids = pairs | {j: born + k for k, j in enumerate(fresh)}
+        if anchor is None or layer == anchor:
+            pool = mu if not len(pool) else np.vstack([pool, mu[fresh]])
+        born += len(fresh)
+        out += [(layer, s, int(ids[j]), born) for j, s in enumerate(local)]
+    return centers.sparkSession.createDataFrame(out, "layer int, local_state int, state int, pool int")

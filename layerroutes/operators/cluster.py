@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerroutes.functions.hashing import uniform
 from layerroutes.operators.distances import gaussian_log_joint, nearest, responsibilities
 
 
@@ -44,3 +45,70 @@ def em_step(states: DataFrame, model: DataFrame, floor: float = 1e-6, covariance
     elif covariance != "diag":
         raise ValueError(f"no such covariance: {covariance}")
     return m.groupBy("layer", "state").agg(F.max("nk").alias("nk"), pick("m").alias("mu"), pick("var").alias("var")).join(n, "layer").withColumn("weight", F.col("nk") / F.col("n")).drop("n")
+
+
+def plus_plus(states: DataFrame, sizes: dict[int, int], seed: int = 0) -> DataFrame:
+    """First centres for each layer, as many as ``sizes`` says: rows drawn one a round with
+    chances in proportion to the squared distance from the nearest drawn one. A draw is the
+    least of -ln(u) / distance over the rows, u a hash of the id: one aggregate a round."""
+    spark, got = states.sparkSession, []
+    schema = "layer int, state int, mu array<double>"
+    for k in range(max(sizes.values())):
+        live = states.where(F.col("layer").isin([a for a, n in sizes.items() if n > k]))
+        u = -F.log(1 - uniform(f"{seed}|{k}", F.col("layer"), F.col("row_id")))
+        if got:
+            live = nearest(live, spark.createDataFrame(got, schema)).where("dist > 0")
+            u = u / F.col("dist")
+        draw = live.groupBy("layer").agg(F.min_by("x", F.struct(u.alias("u"), F.col("row_id"))).alias("mu"))
+        got += [(r.layer, k, r.mu) for r in draw.collect()]  # a row a layer
+    return spark.createDataFrame(got, schema)
+
+
+def hard_model(states: DataFrame, centers: DataFrame, floor: float = 1e-6) -> DataFrame:
+    """The diagonal mixture of a hard assignment: (layer, state, weight, mu, var)."""
+    a = nearest(states, centers).select("layer", "state", F.posexplode("x").alias("i", "v"))
+    g = a.groupBy("layer", "state", "i").agg(F.avg("v").alias("m"), (F.var_pop("v") + floor).alias("s2"), F.count("*").alias("n"))
+    pick = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("i", c))), lambda s: s[c])
+    m = g.groupBy("layer", "state").agg(F.max("n").alias("n"), pick("m").alias("mu"), pick("s2").alias("var"))
+    return m.join(states.groupBy("layer").agg(F.count("*").alias("_n")), "layer").withColumn("weight", F.col("n") / F.col("_n")).drop("n", "_n")
+
+
+def em(states: DataFrame, model: DataFrame, iterations: int = 10) -> DataFrame:
+    """EM of a diagonal mixture from a model; K rows a layer come to the driver each time."""
+    for _ in range(iterations):
+        rows = em_step(states, model).select("layer", "state", "weight", "mu", "var").collect()
+        model = states.sparkSession.createDataFrame([tuple(r) for r in rows], "layer int, state int, weight double, mu array<double>, var array<double>")
+    return model
+
+
+def information(states: DataFrame, model: DataFrame) -> DataFrame:
+    """(layer, k, bic, icl) of a diagonal mixture."""
+    j = responsibilities(gaussian_log_joint(states, model), ["row_id", "layer"])
+    h = F.when(F.col("resp") > 0, -F.col("resp") * F.log("resp")).otherwise(0.0)
+    per = j.groupBy("layer", "row_id").agg(F.first("logp").alias("l"), F.sum(h).alias("h"))
+    g = per.groupBy("layer").agg(F.sum("l").alias("ll"), F.sum("h").alias("h"), F.count("*").alias("n"))
+    k = model.groupBy("layer").agg(F.count("*").alias("k"), F.max(F.size("mu")).alias("d"))
+    bic = -2 * F.col("ll") + (2 * F.col("k") * F.col("d") + F.col("k") - 1) * F.log("n")
+    return g.join(k, "layer").select("layer", "k", bic.alias("bic"), (bic + 2 * F.col("h")).alias("icl"))
+
+
+def rand_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """Adjusted Rand index of two labellings per ``by``, from their contingency table."""
+    two = lambda c: c * (c - 1) / 2
+    cells = df.groupBy(*by, a, b).agg(F.count("*").cast("double").alias("c"))
+    side = lambda k: cells.groupBy(*by, k).agg(F.sum("c").alias("c")).groupBy(*by).agg(F.sum(two(F.col("c"))).alias(f"s_{k}"))
+    g = cells.groupBy(*by).agg(F.sum(two(F.col("c"))).alias("s"), F.sum("c").alias("n")).join(side(a), by).join(side(b), by)
+    expected = F.col(f"s_{a}") * F.col(f"s_{b}") / two(F.col("n"))
+    top = (F.col(f"s_{a}") + F.col(f"s_{b}")) / 2 - expected
+    return g.select(*by, F.when(top == 0, 1.0).otherwise((F.col("s") - expected) / F.when(top != 0, top)).alias("ari"))
+
+
+def stability(states: DataFrame, sizes: dict[int, int], repeats: int = 2, seed: int = 0, iterations: int = 5) -> DataFrame:
+    """(layer, stability): mean adjusted Rand index over pairs of refits with other seeds."""
+    fits = [nearest(states, kmeans(states, plus_plus(states, sizes, seed + 10007 * r), iterations)[0]).select("row_id", "layer", F.col("state").alias(f"l{r}")) for r in range(repeats)]
+    out = None
+    for i in range(repeats):
+        for j in range(i + 1, repeats):
+            one = rand_by(fits[i].join(fits[j], ["row_id", "layer"]), ["layer"], f"l{i}", f"l{j}")
+            out = one if out is None else out.union(one)
+    return out.groupBy("layer").agg(F.avg("ari").alias("stability"))
