@@ -92,9 +92,9 @@ def x01_reconstruct(spark, d):
     """Held-out rows rebuilt by seven methods."""
     g = fits.packed(fits.bases(fx.states(spark, d).where(TRAIN), ["layer"], 4), ["layer"]).select("layer", F.col("mean").alias("gm"), F.col("basis").alias("gb"))
     n = distances.nearest(fx.states(spark, d).where(TEST), fx.centers(spark, d)).select("row_id", "layer", "state", "x", "mu")
-    t = n.join(g, "layer").join(local_bases(spark, d, 2), ["layer", "state"])
+    t = n.join(g, "layer").join(local_bases(spark, d, 2).withColumnRenamed("mean", "em"), ["layer", "state"])
     around = lambda c, b: fits.restored(fits.scores(F.col("x"), F.col(c), F.col(b)), F.col(c), F.col(b))
-    return _errors(t, ["layer"], {"identity": F.col("x"), "zero": F.transform("x", lambda v: F.lit(0.0)), "mean": F.col("gm"), "centroid": F.col("mu"), "global_pca": around("gm", "gb"), "local_pca": around("mu", "basis"), "empirical_pca": around("mean", "basis")})
+    return _errors(t, ["layer"], {"identity": F.col("x"), "zero": F.transform("x", lambda v: F.lit(0.0)), "mean": F.col("gm"), "centroid": F.col("mu"), "global_pca": around("gm", "gb"), "local_pca": around("mu", "basis"), "empirical_pca": around("em", "basis")})
 
 
 @query()
@@ -318,13 +318,13 @@ def l16_residuals(spark, d):
 
 @query()
 def l17_ridge_direction(spark, d):
-    """Ridge directions of label, level and length on the last layer, their cosines with the
+    """Ridge directions of label and length on the last layer, their cosines with the
     label's, and the share of the variance that each explains on held-out rows."""
-    x = labelled(spark, d).withColumn("targets", F.array(*(F.col(c).cast("double") for c in ("label", "level", "n_tokens"))))
+    x = labelled(spark, d).withColumn("targets", F.array(*(F.col(c).cast("double") for c in ("label", "n_tokens"))))
     w = fits.ridge(x.where(TRAIN).withColumn("x", F.concat("x", "targets")), ["layer"], fx.WIDTH, 100.0)
     first = w.where("target = 0").select("layer", F.col("w").alias("w0"))
     t = x.where(TEST).join(w, "layer").withColumn("t", F.get("targets", F.col("target"))).withColumn("e", F.col("t") - A.dot(F.col("x"), F.col("w")) - F.col("intercept"))
-    r2 = t.groupBy("target").agg(r6(1 - F.sum(F.col("e") * F.col("e")) / (F.var_pop("t") * F.count("*")), "r2"))
+    r2 = t.groupBy("target").agg(r6(1 - F.sum(F.col("e") * F.col("e")) / F.nullif(F.var_pop("t") * F.count("*"), F.lit(0.0)), "r2"))
     return w.join(first, "layer").select("target", r6(A.cosine(F.col("w"), F.col("w0")), "cosine")).join(r2, "target")
 
 
@@ -346,7 +346,7 @@ def l18_platt(spark, d):
 def a05_threshold_sweep(spark, d):
     """Optimal matches kept from several thresholds on: the share kept and the ids in all."""
     c = fx.means(spark, d)
-    m = align.optimal(align.similarities(c), -1.0, allow_negative=True).checkpoint()  # K rows a layer
+    m = align.optimal(align.similarities(c), -1.0, allow_negative=True)
     parts = []
     for t in (-1.0, 0.2, 0.5):
         kept = m.where(F.col("sim") >= t)
@@ -378,6 +378,23 @@ def a11_compare_results(spark, d):
     return m.join(rand, "layer").join(ari, "layer").select("layer", "matched_distance", "pair_distance", (F.col("ka") - F.col("matched")).alias("unmatched_a"), (F.col("kb") - F.col("matched")).alias("unmatched_b"), "ari")
 
 
+@query()
+def a13_variants(spark, d):
+    """Agreement of every pair of variants of the assignment, per layer."""
+    s, c = fx.states(spark, d), fx.centers(spark, d)
+    unit, whitened = ([{"step": "l2"}], [STANDARD])
+    made = {"plain": distances.nearest(s, c), "refit": distances.nearest(s, fx.means(spark, d)), "cosine": distances.nearest(s, c, "cosine")}
+    for name, steps in (("unit", unit), ("standardised", whitened)):
+        t = Chain(steps).fit(s)
+        made[name] = distances.nearest(t.transform(s), t.transform(c.withColumnRenamed("mu", "x")).withColumnRenamed("x", "mu"))
+    labels = {n: r.select("row_id", "layer", F.col("state").alias(n)) for n, r in made.items()}
+    wide = reduce(lambda a, b: a.join(b, ["row_id", "layer"]), labels.values())
+    names = list(labels)
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("la"), F.col(b).alias("lb")) for i, a in enumerate(names) for b in names[i + 1 :]]
+    each = wide.select("layer", F.explode(F.array(*pairs)).alias("p")).select("layer", "p.*")
+    return cluster.rand_by(each, ["layer", "a", "b"], "la", "lb").select("layer", "a", "b", r6("ari"))
+
+
 @query()
 def g14_uniform_control(spark, d):
     """Centres of rows dealt out at random, matched with the fitted ones: five repeats."""

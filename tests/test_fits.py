@@ -109,3 +109,15 @@ def test_pool_and_anchor(spark):
     assert got == {(0, 0): 0, (0, 1): 1, (1, 0): 1, (1, 1): 2, (2, 0): 2}
     anchored = {(r.layer, r.local_state): r.state for r in align.to_pool(c, threshold=0.5, anchor=0).collect()}
     assert anchored[2, 0] != anchored[1, 1]
+
+
+def test_discover(spark, tmp_path):
+    from layerroutes.sources.tables import discover
+
+    for name, done in (("b", True), ("a", True), ("c", False), ("failed/d", True), ("incoming/e", True)):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "part-0").write_text("x")
+        if done:
+            (tmp_path / name / "SUCCESS").write_text("")
+    assert [p.rsplit("/", 1)[1] for p in discover(spark, str(tmp_path))] == ["a", "b"]
+    assert [p.rsplit("/", 1)[1] for p in discover(spark, str(tmp_path), most=1)] == ["a"]
