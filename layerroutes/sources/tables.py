@@ -66,11 +66,12 @@ def view_columns(samples: DataFrame, prefix: str = "sample__") -> list[Column]:
     return [F.col(c).alias(prefix + c) for c, t in samples.dtypes if t in kinds]
 
 
-def discover(spark, root: str, marker: str = "SUCCESS", drop: tuple[str, ...] = ("incoming", "failed"), most: int | None = None) -> list[str]:
-    """Finished shards under ``root``: folders that hold the marker file (whose name starts with
-    neither an underscore nor a dot, since Spark's readers do not list such files), none of whose path
-    parts says that they are on their way or failed; sorted, at most ``most``."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", marker).option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "/[^/]*$", "").alias("shard"))
-    below = F.split(F.substring_index("shard", root.rstrip("/"), -1), "/")
-    rows = found.where(~F.arrays_overlap(below, F.array(*map(F.lit, drop)))).orderBy("shard").limit(most or 2**31 - 1).collect()  # a name a shard
-    return [r.shard for r in rows]
+def discover(spark, pattern: str, marker: str = "_SUCCESS", drop: tuple[str, ...] = ("incoming", "failed"), most: int | None = None) -> list[str]:
+    """Finished shards: folders matching ``pattern`` that hold the marker file and are not named
+    as on their way or failed; sorted, at most ``most``. Listed through Hadoop's file systems,
+    since Spark's readers hide files with a leading underscore and empty ones."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern.rstrip("/") + "/" + marker)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    shards = sorted(f.getPath().getParent().toString() for f in found if f.isFile())
+    return [s for s in shards if s.rsplit("/", 1)[1] not in drop][:most]

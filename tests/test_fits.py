@@ -114,10 +114,10 @@ def test_pool_and_anchor(spark):
 def test_discover(spark, tmp_path):
     from layerroutes.sources.tables import discover
 
-    for name, done in (("b", True), ("a", True), ("c", False), ("failed/d", True), ("incoming/e", True)):
+    for name, done in (("b", True), ("a", True), ("c", False), ("failed", True), ("incoming", True)):
         (tmp_path / name).mkdir(parents=True)
         (tmp_path / name / "part-0").write_text("x")
         if done:
-            (tmp_path / name / "SUCCESS").write_text("")
-    assert [p.rsplit("/", 1)[1] for p in discover(spark, str(tmp_path))] == ["a", "b"]
-    assert [p.rsplit("/", 1)[1] for p in discover(spark, str(tmp_path), most=1)] == ["a"]
+            (tmp_path / name / "_SUCCESS").write_text("")
+    assert [p.rsplit("/", 1)[1] for p in discover(spark, f"{tmp_path}/*")] == ["a", "b"]
+    assert [p.rsplit("/", 1)[1] for p in discover(spark, f"{tmp_path}/*", most=1)] == ["a"]
