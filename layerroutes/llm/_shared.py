@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -72,6 +72,24 @@ class Tables:
             path.getFileSystem(conf).delete(path, True)
 
 
+def places(t: Tables, rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with pos, the place from 0 within ``group`` in ascending ``order`` (null first),
+    and n, the size of the group; null is a group like any other. Rows are sorted in range
+    partitions, which cut through a large group; a place is the place in the partition plus the
+    rows of the group in the partitions before. The window is over one row a partition."""
+    keys = [*group, *order]
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = t.store(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged", "zstd").withColumn("_part", F.shiftright("_at", 33))
+    counts = ranged.groupBy(*group, "_part").agg(F.count("*").alias("_c"), F.min("_at").alias("_first"))
+    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = F.sum("_c").over(w.orderBy("_part")) - F.col("_c")
+    counts = counts.select(*(F.col(g).alias(f"_{g}") for g in group), F.col("_part").alias("_p"), (before - F.col("_first")).alias("_shift"), F.sum("_c").over(w).alias("n"))
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return ranged.join(t.store(counts, "counts"), same).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("pos"), "n")
+
+
 def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``, both long: rows (node, comp) for every node
     of an edge between two different nodes, comp the smallest node reachable.
