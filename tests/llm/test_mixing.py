@@ -72,19 +72,16 @@ def test_targets_and_totals(spark):
 
 
 def test_draws_are_fair(spark):
-    rows = [(i, "w " * (1 + i % 7 * i % 40), s) for s in "ab" for i in range(60)]
-    total, want = targets(rows)
-    seen = Counter()
-    n = 60
-    for seed in range(n):
-        for x in mix(frame(spark, rows).coalesce(1), seed=seed).collect():
-            seen[x.doc_id, x.source] += x.copies
-    for s in "ab":
-        per = float(want[s] / total[s])
-        frac = per % 1
-        sd = (frac * (1 - frac) / n) ** 0.5
-        off = [(seen[i, s] / n - per) / sd for i in range(60)]
-        assert max(map(abs, off)) < 5 and abs(sum(off) / 60) < 0.5
+    sizes, n = [1, 2, 2, 3, 5, 8, 40, 41, 90] + [4] * 80, 250
+    rows = [(1000 * k + i, "w " * z, f"s{k:03}") for k in range(n) for i, z in enumerate(sizes)]
+    got = mix(frame(spark, rows), weights=(1,), percent=130).collect()
+    copies = Counter()
+    for x in got:
+        copies[x.doc_id % 1000] += x.copies
+    sd = (0.3 * 0.7 / n) ** 0.5
+    off = [(copies[i] / n - 1.3) / sd for i in range(len(sizes))]
+    assert max(map(abs, off)) < 4.5 and abs(sum(off) / len(off)) < 0.5
+    assert {x.copies for x in got} == {1, 2}
 
 
 def test_repeated_rows_share_copies(spark):
