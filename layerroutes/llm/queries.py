@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerroutes.llm import exact_dedup, html_text, licenses, merkle, mixing, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_bpe, sharding, warc
+from layerroutes.llm import exact_dedup, html_text, licenses, merkle, mixing, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_bpe, sharding, warc, whitening
 from layerroutes.llm._shared import table
 
 SHARD_BYTES = 1 << 20
@@ -62,6 +62,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long is null here."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -83,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_licenses, op4_quality_classifier, op5_exact_dedup, op6_ngram_join, op7_packing, op8_html_text, op9_sharding, op10_quality_rules, op12_mixing, op13_merkle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_licenses, op4_quality_classifier, op5_exact_dedup, op6_ngram_join, op7_packing, op8_html_text, op9_sharding, op10_quality_rules, op11_whitening, op12_mixing, op13_merkle, pipeline)}
 
 _LETTERS = f"'{_UPPER}', '{_UPPER.lower()}'"
 
