@@ -1,6 +1,5 @@
 """Queries of sources, units, alignment, streams and user functions (S, U, A, W, F)."""
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -14,6 +13,7 @@ from layerroutes.plans import fixtures as fx
 from layerroutes.plans.fixtures import sql, uniform_sql
 from layerroutes.plans.registry import query
 from layerroutes.sources import tables as S
+from layerroutes.sources.scratch import shared_dir
 from layerroutes.streaming import monitor as stream
 
 r6 = lambda c, name=None: F.round(c, 6).alias(name or c)
@@ -254,12 +254,7 @@ def f03_user_selector(spark, d):
 def _streamed(spark, d, make, mode="append"):
     """Runs a stream over the events table to its end, into the shared folder."""
     schema = fx.table(spark, d, "events").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="layerroutes-")
-    base = shared.rstrip("/") + f"/streams/{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     src = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     q = make(src).writeStream.outputMode(mode).format("parquet").option("checkpointLocation", base + "/log").option("path", base + "/out").trigger(availableNow=True).start()
     q.awaitTermination()
