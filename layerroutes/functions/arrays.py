@@ -36,3 +36,18 @@ def unit(x: Column) -> Column:
 
 def rounded(x: Column, digits: int = 6) -> Column:
     return F.transform(x, lambda v: F.round(v, digits))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def numbers(n: Column) -> Column:
+    """0 to n - 1, for n of at least 1."""
+    return F.sequence(F.lit(0), n - 1)
+
+
+def log_sum_exp(x: Column) -> Column:
+    """The log of the sum of exponentials of an array."""
+    return let(x, lambda v: let(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda a: F.exp(a - top))))))

@@ -416,24 +416,6 @@ def _paths(spark, d):
     return latent.paths(r), sizes
 
 
-def _route_losses(scored):
-    return scored.select("row_id", F.round(A.total(F.col("losses")) / F.size("losses"), 4).alias("mean"), F.round(A.total(F.slice(F.sort_array("losses", asc=False), 1, 4)) / 4, 4).alias("top4"))
-
-
-@query()
-def r05_markov_mixture(spark, d):
-    rows, sizes = _paths(spark, d)
-    p, _ = latent.mixture(rows.where(TRAIN), sizes, iterations=4)
-    return _route_losses(latent.mixture_losses(rows.where(TEST), p))
-
-
-@query()
-def r06_layer_hmm(spark, d):
-    rows, sizes = _paths(spark, d)
-    p, _ = latent.hidden(rows.where(TRAIN), sizes, iterations=4)
-    return _route_losses(latent.hidden_losses(rows.where(TEST), p))
-
-
 @query()
 def r08_one_hot_pca(spark, d):
     """What four components of the one-hot routes of training rows leave of a route."""

@@ -1,5 +1,7 @@
 """Fitted models against direct computations on small tables."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,38 @@ def test_latent_models(spark):
         flat = [sum(r.losses) for r in score(df, p).collect()]
         assert sum(np.exp(-sum(r.losses)) for r in score(spark.createDataFrame([(i, [(i >> b) & 1 for b in range(4)]) for i in range(16)], df.schema), p).collect()) == pytest.approx(1.0)
         assert len(flat) == 120
+        # the parameters of the last step explain the rows no worse than those before it
+        assert -sum(flat) / 120 >= history[-1] - 1e-3
+
+
+def brute_hidden(z, p):
+    """Chance of a route by summing over all paths of classes."""
+    m, depth = len(p["w"]), len(z)
+    total = 0.0
+    for path in itertools.product(range(m), repeat=depth):
+        v = p["w"][path[0]] + sum(p["e"][l][j][z[l]] for l, j in enumerate(path))
+        total += np.exp(v + sum(p["t"][l][path[l]][path[l + 1]] for l in range(depth - 1)))
+    return total
+
+
+def test_hidden_chain_against_all_paths(spark):
+    rng = np.random.default_rng(7)
+    data = [(i, [int(v) for v in rng.integers(0, [3, 2, 4])]) for i in range(60)]
+    df = spark.createDataFrame(data, "row_id long, z array<int>")
+    p, history = latent.hidden(df, [3, 2, 4], m=2, iterations=1)
+    got = {r.row_id: r.losses for r in latent.hidden_losses(df, p).collect()}
+    for i, z in data:
+        assert np.exp(-sum(got[i])) == pytest.approx(brute_hidden(z, p))
+        assert np.exp(-got[i][0]) == pytest.approx(sum(np.exp(p["w"][j] + p["e"][0][j][z[0]]) for j in range(2)))
+    # one more step is the expectation over all paths
+    q, after = latent.hidden(df, [3, 2, 4], m=2, iterations=2)
+    assert after[1] == pytest.approx(np.mean([np.log(brute_hidden(z, p)) for _, z in data]))
+    c = np.full((2, 2), 0.1)
+    for _, z in data:
+        for path in itertools.product(range(2), repeat=3):
+            v = p["w"][path[0]] + sum(p["e"][l][j][z[l]] for l, j in enumerate(path)) + p["t"][0][path[0]][path[1]] + p["t"][1][path[1]][path[2]]
+            c[path[0], path[1]] += np.exp(v) / brute_hidden(z, p)
+    assert np.allclose(np.exp(q["t"][0]), c / c.sum(1, keepdims=True))
 
 
 def test_pool_and_anchor(spark):
