@@ -16,11 +16,18 @@ def lloyd_step(states: DataFrame, centers: DataFrame) -> DataFrame:
 
 def kmeans(states: DataFrame, centers: DataFrame, iterations: int = 10, tolerance: float = 1e-6) -> tuple[DataFrame, list[float]]:
     """Lloyd's algorithm from given centres for all layers at once. The driver sees K rows a
-    layer in each iteration and the inertia."""
-    spark, history = states.sparkSession, []
+    layer in each iteration and the inertia. A centre without rows starts anew from a row far
+    from its own, so K centres come out."""
+    spark, history, schema = states.sparkSession, [], "layer int, state int, mu array<double>"
+    wanted = {(r.layer, r.state) for r in centers.select("layer", "state").collect()}  # K a layer
     for _ in range(iterations):
         rows = lloyd_step(states, centers).collect()  # K rows a layer
-        centers = spark.createDataFrame([(r.layer, r.state, r.mu) for r in rows], "layer int, state int, mu array<double>")
+        made = {(r.layer, r.state): r.mu for r in rows}
+        if empty := wanted - made.keys():
+            far = nearest(states, centers).groupBy("layer").agg(*(F.max_by("x", F.col("dist") * uniform(f"empty|{s}", F.col("row_id"))).alias(f"s{s}") for s in sorted({s for _, s in empty}))).collect()  # a row a layer
+            far = {r.layer: r for r in far}
+            made |= {(layer, s): far[layer][f"s{s}"] for layer, s in empty if layer in far}
+        centers = spark.createDataFrame([(*k, mu) for k, mu in sorted(made.items())], schema)
         history.append(sum(r.inertia for r in rows))
         if len(history) > 1 and history[-2] - history[-1] <= tolerance * max(history[-2], 1e-300):
             break

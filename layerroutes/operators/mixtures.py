@@ -256,7 +256,7 @@ def fit(states: DataFrame, fits: list[Fit], iterations: int = 200, tolerance: fl
     live = list(range(len(now)))
     for _ in range(iterations):
         for i, f in zip(live, step(states, [now[i] for i in live], regular, seed)):
-            now[i] = dataclasses.replace(f, converged=len(f.history) > 1 and abs(f.history[-1] - f.history[-2]) <= tolerance)
+            now[i] = dataclasses.replace(f, converged=bool(len(f.history) > 1 and abs(f.history[-1] - f.history[-2]) <= tolerance))
         live = [i for i in live if not now[i].converged]
         if not live:
             break
@@ -311,7 +311,7 @@ def minibatch(states: DataFrame, sizes: dict[int, int], batch: int = 1024, steps
             smooth[i] = score if smooth[i] is None else smooth[i] * (1 - part) + score * part
             idle[i] = 0 if smooth[i] > peak[i] else idle[i] + 1
             peak[i] = max(peak[i], smooth[i])
-            fits[i] = dataclasses.replace(f, means=means, weights=met[i] / met[i].sum(), steps=t + 1, history=[*f.history, score], converged=idle[i] >= patience)
+            fits[i] = dataclasses.replace(f, means=means, weights=met[i] / met[i].sum(), steps=t + 1, history=[*f.history, score], converged=bool(idle[i] >= patience))
         live = [i for i in live if not fits[i].converged]
         for c in range(max(f.k for f in fits)) if t % 10 == 0 else ():
             low = [i for i in live if c < fits[i].k and met[i][c] < 0.01 * met[i].max()]

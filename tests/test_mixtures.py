@@ -97,3 +97,28 @@ def test_minibatch(states):
     for f in M.minibatch(states, {0: 3, 1: 3}, batch=100, steps=60):
         (whole,) = M.fit(states, [M.Fit(f.layer, 3, kind="kmeans", means=f.means)])
         assert f.score >= 1.2 * whole.score and f.steps == len(f.history) and f.weights.sum() == pytest.approx(1)
+
+
+def test_refits_and_their_distances(states, spark):
+    from layerroutes.operators import reliability as R
+
+    made = R.refits(states, [R.Variant("base"), R.Variant("other", 1), R.Variant("part", 0, 0.6)], [2, 3, 4])
+    assert len(made) == 18
+    for layer in (0, 1):
+        assert R.k_curve(made, "base")[layer] == min((2, 3, 4), key=lambda k: made["base", layer, k][1])
+        assert R.k_curve(made, "base", 2)[layer] == 2
+    f, c = made["base", 0, 3]
+    assert c == pytest.approx(-2 * np.log(np.exp(density(CLOUD, f)).sum(1)).sum() + 20 * np.log(270))
+    rows = {(v, layer): dist for v, layer, _, dist in R.persistence(made, "base")}
+    assert rows["other", 0] < 1e-3 and rows["part", 0] < 1e-3 < rows["random0", 0]
+    pairs = spark.createDataFrame([("base", "x", 1), ("y", "base", 2), ("x", "y", 3), ("base", "base", 4)], "a string, b string, d int")
+    assert {(r.other, r.d) for r in R.against(pairs, "base").collect()} == {("x", 1), ("y", 2)}
+
+
+def test_lloyd_keeps_all_centres(states, spark):
+    from layerroutes.operators.cluster import kmeans
+
+    far = [(layer, s, [v] * 3) for layer in (0, 1) for s, v in ((0, 1000.0 * (1 + layer)), (1, 1e9), (2, -1e9))]
+    got, _ = kmeans(states, spark.createDataFrame(far, "layer int, state int, mu array<double>"), 10)
+    rows = got.collect()
+    assert len(rows) == 6 and max(abs(v) for r in rows for v in r.mu) < 1e4
