@@ -4,19 +4,25 @@ counted first, and running sums go over value ranges with offsets."""
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+QUANTILES, PARTS = 32, 32
 
 
 def running(df: DataFrame, by: list[str], order: str, cols: dict[str, str], descending: bool = False) -> DataFrame:
     """``df`` with a column for each of ``cols`` (new name: summed column): the sum over rows
-    at or before this one in the order, within ``by``. The order is cut into value ranges; a
-    range has a window of its own, and ranges have theirs over one row each."""
+    at or before this one in the order, within ``by``. The order is cut at approximate quantiles
+    and each stretch between them into equal parts, so that neither an outlier nor a dense spot
+    puts most rows into one; a part has a window of its own, and parts have theirs over one row
+    each."""
     keys = [F.lit(1).alias("_all")] if not by else []
     work = df.withColumn("_all", F.lit(1)) if keys else df
     by_ = by or ["_all"]
-    ends = work.groupBy(*by_).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
-    cut = work.join(ends, by_).withColumn("_b", F.floor((F.col(order) - F.col("_lo")) / width * (BUCKETS - 1)).cast("int")).drop("_lo", "_hi")
+    v = F.col(order).cast("double")
+    cuts = F.percentile_approx(v, [i / QUANTILES for i in range(1, QUANTILES)], 1000)
+    ends = work.groupBy(*by_).agg(F.concat(F.array(F.min(v)), cuts, F.array(F.max(v))).alias("_ends"))
+    at = F.size(F.filter(F.slice("_ends", 2, QUANTILES - 1), lambda c: c < v))
+    lo, hi = F.get("_ends", F.col("_q")), F.get("_ends", F.col("_q") + 1)
+    part = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * PARTS), F.lit(PARTS - 1))).otherwise(0)
+    cut = work.join(ends, by_).withColumn("_q", at).withColumn("_b", (F.col("_q") * PARTS + part).cast("int")).drop("_ends", "_q")
     sums = cut.groupBy(*by_, "_b").agg(*(F.sum(c).alias(f"_s_{n}") for n, c in cols.items()))
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     w = Window.partitionBy(*by_).orderBy(way("_b"))
@@ -27,6 +33,32 @@ def running(df: DataFrame, by: list[str], order: str, cols: dict[str, str], desc
     return out.drop("_b", *(f"_o_{n}" for n in cols), *([] if by else ["_all"]))
 
 
+def place(df: DataFrame, by: list[str], order: Column, name: str) -> DataFrame:
+    """``df`` with the place (from 1) of each row within ``by`` in ascending ``order``, a number
+    whose values differ. A group of any size is ranked in parts."""
+    ranked = running(df.withColumns({"_order": order, "_one": F.lit(1)}), by, "_order", {name: "_one"})
+    return ranked.drop("_order", "_one")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, q0, q1, ...): interpolated quantiles of ``value``, null left out. Distinct values are
+    counted, their running counts give the two values around each position, and no group's
+    values meet in one task."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    run = running(counts, by, "_v", {"_upto": "_n"})
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    run = run.join(total, by) if by else run.join(F.broadcast(total))  # one row
+    pick = []
+    for i, q in enumerate(shares):
+        at = q * (F.col("_all") - 1)
+        for k, rank in (("lo", F.floor(at) + 1), ("hi", F.ceil(at) + 1)):
+            here = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
+            pick.append(F.max(F.when(here, F.col("_v"))).alias(f"_{k}{i}"))
+    g = run.groupBy(*by).agg(F.max("_all").alias("_all"), *pick)
+    part = lambda q: q * (F.col("_all") - 1) - F.floor(q * (F.col("_all") - 1))
+    return g.select(*by, *((F.col(f"_lo{i}") + part(q) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}") for i, q in enumerate(shares)))
+
+
 def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """Area under the ROC curve per ``by``, ties counting half; null with one class only."""
     by = by or []
@@ -70,6 +102,49 @@ def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     return all_.select(ari.alias("ari"), F.when(h[0] + h[1] > 0, 2 * mi / (h[0] + h[1])).otherwise(1.0).alias("nmi"))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!, by the product up to 20 and Stirling's series beyond (error below 1e-14)."""
+    x = F.greatest(n, F.lit(1)).cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
+def adjusted_information(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
+    """(by, mi, expected, ami): mutual information in nats of two labellings, its mean over all
+    pairings with the same margins, and the adjusted value (arithmetic mean of the entropies).
+
+    The mean is a hypergeometric sum for each pair of margins; equal pairs are summed once. A
+    sum runs over counts within twelve standard deviations (and twelve) of its centre: beyond
+    them the chance is below 1e-30."""
+    by = by or []
+    cells = df.groupBy(*by, a, b).agg(F.count("*").alias("m"))
+    side = lambda k, n: cells.groupBy(*by, k).agg(F.sum("m").alias(n))
+    left, right = side(a, "x"), side(b, "y")
+    total = cells.groupBy(*by).agg(F.sum("m").alias("n"))
+    with_n = (lambda t: t.join(total, by)) if by else (lambda t: t.join(F.broadcast(total)))  # one row
+    m, x, y, n, k = (F.col(c) for c in "mxynk")
+    mi = with_n(cells.join(left, [*by, a]).join(right, [*by, b])).groupBy(*by).agg(F.sum(m / n * F.log(n * m / (x * y))).alias("mi"), F.max("n").alias("n"))
+    entropy = lambda t, c, name: with_n(t).groupBy(*by).agg(F.sum(-F.col(c) / n * F.log(F.col(c) / n)).alias(name), F.count("*").alias(f"{name}_k"))
+    margins = lambda t, c: t.groupBy(*by, c).agg(F.count("*").alias(f"n{c}"))
+    pairs = margins(left, "x").join(margins(right, "y"), by) if by else margins(left, "x").crossJoin(margins(right, "y"))  # distinct margins
+    mean, var = x * y / n, x * y * (n - x) * (n - y) / (n * n * F.greatest(n - 1, F.lit(1)))
+    far = 12 * F.sqrt(var) + 12
+    low = F.greatest(F.lit(1), x + y - n, F.floor(mean - far)).cast("long")
+    high = F.least(x, y, F.ceil(mean + far)).cast("long")
+    terms = with_n(pairs).withColumn("k", F.explode(F.sequence(low, F.greatest(low, high)))).where(k <= F.least(x, y))
+    choose = lambda p, q: log_factorial(p) - log_factorial(q) - log_factorial(p - q)
+    chance = F.exp(choose(y, k) + choose(n - y, x - k) - choose(n, x))
+    expected = terms.groupBy(*by).agg(F.sum(F.col("nx") * F.col("ny") * chance * k / n * F.log(n * k / (x * y))).alias("expected"))
+    parts = [mi, expected, entropy(left, "x", "ha"), entropy(right, "y", "hb")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, by) if by else out.join(F.broadcast(p))  # one row each
+    one = (F.col("ha_k") == F.col("hb_k")) & F.col("ha_k").isin(1) | (F.col("ha_k") == n) & (F.col("hb_k") == n)
+    room = (F.col("ha") + F.col("hb")) / 2 - F.col("expected")
+    ami = F.when(one, 1.0).otherwise((F.col("mi") - F.col("expected")) / F.when(F.abs(room) < 2.2e-16, F.signum(room) * 2.2e-16).otherwise(room))
+    return out.select(*by, "mi", "expected", ami.alias("ami"))
+
+
 def normal_tail(z: Column) -> Column:
     """The chance that a standard normal is above ``z`` (0 or more): by the series of the
     distribution function, and beyond 5 by the continued fraction of the tail."""

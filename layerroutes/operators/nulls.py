@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerroutes.functions.hashing import uniform
+from layerroutes.functions.stats import log_factorial, place
+from layerroutes.sources.scratch import cut
 
 
 def js_bits(p: Column, q: Column) -> Column:
@@ -25,25 +27,40 @@ def conditional_js(steps: DataFrame, by: list[str], group: list[str], least: int
 
 def permuted_labels(rows: DataFrame, group: list[str], ident: str, replicates: int, salt: str) -> DataFrame:
     """``rows`` once per replicate (column rep), labels dealt anew within each group: the rows
-    first in a hash order take the ones. Group sizes and class counts stay."""
+    first in a hash order take the ones. Group sizes and class counts stay. A group of any size
+    is ranked in parts of the hash's range."""
     ones = rows.groupBy(*group).agg(F.sum("label").alias("_ones"))
     each = rows.join(ones, group).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rank = F.row_number().over(Window.partitionBy(*group, "rep").orderBy(uniform(salt, F.col("rep"), F.col(ident)), ident))
-    return each.withColumn("label", (rank <= F.col("_ones")).cast("int")).drop("_ones")
+    ranked = place(each, [*group, "rep"], uniform(salt, F.col("rep"), F.col(ident)), "_rank")
+    return ranked.withColumn("label", (F.col("_rank") <= F.col("_ones")).cast("int")).drop("_ones", "_rank")
 
 
 def shuffled(rows: DataFrame, group: list[str], ident: str, value: str, salt: str) -> DataFrame:
     """``rows`` with ``value`` dealt anew within each group, by two orders joined on their rank."""
-    own, other = Window.partitionBy(*group).orderBy(ident), Window.partitionBy(*group).orderBy(uniform(salt, *map(F.col, group), F.col(ident)), ident)
-    given = rows.select(*group, F.row_number().over(other).alias("_rank"), value)
-    return rows.drop(value).withColumn("_rank", F.row_number().over(own)).join(given, [*group, "_rank"]).drop("_rank")
+    given = place(rows.select(*group, ident, value), group, uniform(salt, *map(F.col, group), F.col(ident)), "_rank").drop(ident)
+    return place(rows.drop(value), group, F.col(ident), "_rank").join(given, [*group, "_rank"]).drop("_rank")
 
 
-def log_factorial(n: Column) -> Column:
-    """ln n!, by the product up to 20 and Stirling's series beyond (error below 1e-14)."""
-    x = F.greatest(n, F.lit(1)).cast("double") + 1
-    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+def suffixes_exchanged(routes: DataFrame, folds: DataFrame, salt: str) -> DataFrame:
+    """``routes(row_id, layer, state)`` with whole suffixes dealt anew among the rows that share
+    a state and a fold (``folds``: row_id, fold) at an inner layer, layer after layer. Every
+    layer's edge counts stay, and so does each row's fold; longer associations go.
+
+    A row only carries the id of the row whose states it goes on with: at a layer rows are
+    grouped by the state that this row has there, ranked by id and by hash, and take over the
+    pointer of the row of the same rank. States are looked up once a layer."""
+    layers = [r.layer for r in routes.select("layer").distinct().orderBy("layer").collect()]  # a row a layer
+    cut_ = cut(routes.select(F.col("row_id").alias("source"), "layer", "state"))
+    at = lambda l: cut_.where(F.col("layer") == l).select("source", "state")
+    now = cut(folds.select("row_id", "fold").withColumn("source", F.col("row_id")))
+    out = None
+    for i, l in enumerate(layers):
+        here = now.join(at(l), "source")
+        made = here.select("row_id", F.lit(l).alias("layer"), "state")
+        out = made if out is None else out.unionByName(made)
+        if 0 < i < len(layers) - 1:
+            now = cut(shuffled(here, ["state", "fold"], "row_id", "source", f"{salt}|{l}").select("row_id", "fold", "source"))
+    return out
 
 
 def exact_mean(steps: DataFrame, by: list[str], group: list[str], least: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from layerroutes.functions.hashing import POISSON, fold, poisson, uniform
-from layerroutes.functions.stats import auroc, running
+from layerroutes.functions.stats import auroc, quantiles, running
 from layerroutes.operators import monitor
 from layerroutes.plans import fixtures as fx
 from layerroutes.plans.fixtures import sql, uniform_sql
@@ -145,7 +145,7 @@ def e17_heavy_tail(spark, d):
     cut = cut.withColumn("top", top)
     v, c = F.col("v"), F.col("c")
     out = cut.agg(F.sum(F.when(v > 0, c).otherwise(0)).alias("pos"), F.sum(c).alias("n"), F.sum(v * F.col("top")).alias("ts"), F.sum(v * c).alias("s"), F.sum(v * (c - F.col("top"))).alias("rs"), F.sum(c - F.col("top")).alias("rn"))
-    return out.join(x.agg(F.round(F.percentile("v", F.lit(0.5)), 4).alias("median"))).select("median", r6(F.col("pos") / F.col("n"), "positive"), r6(F.col("ts") / F.col("s"), "top_share"), F.round(F.col("rs") / F.col("rn"), 4).alias("rest_mean"))
+    return out.join(quantiles(x, [], "v", [0.5]).select(F.round("q0", 4).alias("median"))).select("median", r6(F.col("pos") / F.col("n"), "positive"), r6(F.col("ts") / F.col("s"), "top_share"), F.round(F.col("rs") / F.col("rn"), 4).alias("rest_mean"))
 
 
 @query(sql("w AS (SELECT sample, avg(score) FILTER (token_end = 1) AS first, avg(score) FILTER (token_end <= 16) AS w16, avg(score) FILTER (token_end BETWEEN 2 AND 16) AS w2_16, avg(score) FILTER (token_end > 16) AS after, avg(score) AS whole FROM evt GROUP BY sample) SELECT sample, round(first, 6) AS first, round(w16, 6) AS w16, round(w2_16, 6) AS w2_16, round(after, 6) AS after, round(whole, 6) AS whole, round(whole - first, 6) AS delta FROM w", "evt"))

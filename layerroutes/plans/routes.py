@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from layerroutes.functions import arrays as A
 from layerroutes.functions.hashing import uniform
-from layerroutes.operators import latent, neighbours
+from layerroutes.operators import latent, neighbours, nulls
 from layerroutes.plans import fixtures as fx
 from layerroutes.plans.fixtures import sql, uniform_sql
 from layerroutes.plans.registry import query
@@ -77,3 +77,24 @@ def r06_layer_hmm(spark, d):
     rows = latent.paths(routes)
     p, _ = latent.hidden(rows.where(TRAIN), sizes_of(routes), iterations=30)
     return losses(latent.hidden_losses(rows.where(TEST), p))
+
+
+def _exchanged_sql() -> str:
+    """A pointer a row: at each inner layer it moves to the row of the same rank in a hash order
+    of those with its state and fold."""
+    views = ["p0 AS (SELECT DISTINCT row_id, row_id % 3 AS fold, row_id AS source FROM routes)"]
+    picks = ["SELECT p0.row_id, layer, state FROM p0 JOIN routes ON routes.row_id = source WHERE layer = 0", "SELECT p0.row_id, layer, state FROM p0 JOIN routes ON routes.row_id = source WHERE layer = 1"]
+    for l in range(1, 7):
+        salt = uniform_sql(f"suffix|{l}", "state || '|' || fold || '|' || p.row_id")
+        views.append(f"h{l} AS MATERIALIZED (SELECT p.row_id, fold, source, state, row_number() OVER (PARTITION BY state, fold ORDER BY p.row_id) AS a, row_number() OVER (PARTITION BY state, fold ORDER BY {salt}) AS b FROM p{l - 1} p JOIN routes ON routes.row_id = source AND layer = {l})")
+        views.append(f"p{l} AS MATERIALIZED (SELECT x.row_id, x.fold, y.source FROM h{l} x JOIN h{l} y ON x.state = y.state AND x.fold = y.fold AND x.a = y.b)")
+        picks.append(f"SELECT p{l}.row_id, layer, state FROM p{l} JOIN routes ON routes.row_id = source WHERE layer = {l + 1}")
+    return ", ".join(views) + " " + " UNION ALL ".join(picks)
+
+
+@query(sql(_exchanged_sql(), "routes"))
+def n04_suffix_exchange(spark, d):
+    """Routes whose suffixes changed hands at shared inner states within three folds."""
+    r = fx.routes(spark, d).select("row_id", "layer", "state")
+    folds = r.select("row_id").distinct().withColumn("fold", F.col("row_id") % 3)
+    return nulls.suffixes_exchanged(r, folds, "suffix")

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from layerroutes.functions.hashing import uniform
-from layerroutes.functions.stats import entropy_bits, rand_index, wilson
+from layerroutes.functions.stats import adjusted_information, entropy_bits, quantiles, rand_index, wilson
 from layerroutes.operators import routes as R
 from layerroutes.plans import fixtures as fx
 from layerroutes.plans.fixtures import sql, uniform_sql
@@ -170,7 +170,8 @@ SELECT grp, yr, n, round(p, 6) AS rate, round(e, 6) AS expected, round((p + 3.84
 def j21_adjusted_profile(spark, d):
     x = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.year("l_shipdate").cast("long").alias("yr"), F.col("l_linestatus").alias("cat"), (F.col("l_quantity") > 25).cast("int").alias("y"), F.col("l_extendedprice").cast("double").alias("v"))
     e = x.groupBy("cat", "yr").agg(F.avg("y").alias("expected"))  # a row per stratum, joined instead of a window over rows
-    g = x.join(e, ["cat", "yr"]).groupBy("grp", "yr").agg(F.count("*").alias("n"), F.avg("y").alias("p"), F.avg("expected").alias("e"), F.percentile("v", F.lit(0.5)).alias("q"))
+    g = x.join(e, ["cat", "yr"]).groupBy("grp", "yr").agg(F.count("*").alias("n"), F.avg("y").alias("p"), F.avg("expected").alias("e"))
+    g = g.join(quantiles(x, ["grp", "yr"], "v", [0.5]).withColumnRenamed("q0", "q"), ["grp", "yr"])
     low, high = wilson(F.col("p"), F.col("n"))
     return g.select("grp", "yr", "n", r6("p", "rate"), r6("e", "expected"), r6(low, "low"), r6(high, "high"), F.round("q", 4).alias("median"))
 
@@ -210,6 +211,20 @@ def i04_agreement(spark, d):
     return out.select(F.round("ari", 9).alias("ari"), F.round("nmi", 9).alias("nmi"))
 
 
+_AMI = """c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS m FROM lineitem GROUP BY ALL), l AS (SELECT a, sum(m)::BIGINT AS x FROM c GROUP BY a), r AS (SELECT b, sum(m)::BIGINT AS y FROM c GROUP BY b), t AS (SELECT sum(m)::BIGINT AS n FROM c),
+ mi AS (SELECT sum(m / n * ln(n * m / (x * y))) AS mi FROM c JOIN l USING (a) JOIN r USING (b), t), h AS (SELECT (SELECT -sum(x / n * ln(x / n)) FROM l, t) AS ha, (SELECT -sum(y / n * ln(y / n)) FROM r, t) AS hb),
+ k AS (SELECT x, y, n, unnest(range(greatest(1, x + y - n)::BIGINT, least(x, y)::BIGINT + 1)) AS k FROM l, r, t),
+ e AS (SELECT sum(k / n * ln(n * k / (x * y)) * exp(lgamma(y + 1) - lgamma(k + 1) - lgamma(y - k + 1) + lgamma(n - y + 1) - lgamma(x - k + 1) - lgamma(n - y - x + k + 1) - lgamma(n + 1) + lgamma(x + 1) + lgamma(n - x + 1))) AS e FROM k)
+SELECT round(mi, 7) AS mi, round(e, 7) AS expected, round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM mi, h, e"""
+
+
+@query("WITH " + _AMI)
+def i04_adjusted_information(spark, d):
+    """Mutual information adjusted for chance."""
+    out = adjusted_information(fx.table(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
+    return out.select(F.round("mi", 7).alias("mi"), F.round("expected", 7).alias("expected"), F.round("ami", 6).alias("ami"))
+
+
 @query(sql("e AS (SELECT r.layer, r.state, i, s.x[i] AS v FROM routes r JOIN states s USING (row_id, layer), range(1, 9) t(i)), g AS (SELECT layer, state, i, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL), t AS (SELECT layer, i, avg(v) AS gm, sum(v * v) - count(*) * avg(v) * avg(v) AS total, count(*) AS n FROM e GROUP BY ALL), b AS (SELECT g.layer, sum(g.n * (m - gm) * (m - gm)) AS b, count(DISTINCT state) AS k FROM g JOIN t USING (layer, i) GROUP BY g.layer) SELECT b.layer, round(b / sum(total), 6) AS between_share, round((k - 1) / (max(n) - 1), 6) AS chance_share FROM b JOIN t USING (layer) GROUP BY b.layer, b, k", "routes"))
 def i05_anova(spark, d):
     e = fx.routes(spark, d).join(fx.states(spark, d), ["row_id", "layer"]).select("layer", "state", F.posexplode("x").alias("i", "v"))

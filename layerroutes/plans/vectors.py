@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from layerroutes.functions import arrays as A
+from layerroutes.functions.stats import quantiles
 from layerroutes.functions.hashing import uniform
 from layerroutes.operators import cluster, distances, surprise
 from layerroutes.operators import routes as R
@@ -143,7 +144,9 @@ def m01_criteria(spark, d):
 @query(sql(LONG + f", m AS (SELECT layer, i, avg(v) AS m, var_pop(v) AS s2 FROM e GROUP BY ALL), n AS (SELECT layer, {norm_sql('x')} AS r FROM states), q AS (SELECT layer, avg(r) AS mean_norm, stddev_pop(r) / avg(r) AS cv, quantile_cont(r, 0.5) AS med, quantile_cont(r, 0.05) AS lo, quantile_cont(r, 0.95) AS hi, avg(r * r) AS energy FROM n GROUP BY layer) SELECT layer, round(sum(s2), 6) AS trace, round(max(mean_norm), 6) AS mean_norm, round(max(cv), 6) AS cv, round(max(med), 6) AS median, round(max(lo), 6) AS q05, round(max(hi), 6) AS q95, round(sum(m * m) / max(energy), 6) AS mean_energy_share FROM m JOIN q USING (layer) GROUP BY layer", "states"))
 def g01_moments(spark, d):
     m = longs(spark, d).groupBy("layer", "i").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s2")).groupBy("layer").agg(F.sum("s2").alias("trace"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-    q = fx.states(spark, d).select("layer", A.norm(F.col("x")).alias("r")).groupBy("layer").agg(F.avg("r").alias("mean_norm"), (F.stddev_pop("r") / F.avg("r")).alias("cv"), *(F.percentile("r", F.lit(p)).alias(n) for p, n in ((0.5, "median"), (0.05, "q05"), (0.95, "q95"))), F.avg(F.col("r") * F.col("r")).alias("energy"))
+    norms = fx.states(spark, d).select("layer", A.norm(F.col("x")).alias("r"))
+    q = norms.groupBy("layer").agg(F.avg("r").alias("mean_norm"), (F.stddev_pop("r") / F.avg("r")).alias("cv"), F.avg(F.col("r") * F.col("r")).alias("energy"))
+    q = q.join(quantiles(norms, ["layer"], "r", [0.5, 0.05, 0.95]).toDF("layer", "median", "q05", "q95"), "layer")
     return m.join(q, "layer").select("layer", *(r6(c) for c in ("trace", "mean_norm", "cv", "median", "q05", "q95")), r6(F.col("mm") / F.col("energy"), "mean_energy_share"))
 
 
