@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from layerroutes.functions import arrays as A
 from layerroutes.functions.hashing import uniform
-from layerroutes.operators import align
+from layerroutes.operators import align, monitor
 from layerroutes.plans import fixtures as fx
+from layerroutes.plans.evaluation import far_sql
 from layerroutes.plans.fixtures import sql, uniform_sql
 from layerroutes.plans.registry import query
 from layerroutes.sources import tables as S
@@ -252,11 +253,13 @@ def f03_user_selector(spark, d):
 
 
 def _streamed(spark, d, make, mode="append"):
-    """Runs a stream over the events table to its end, into the shared folder."""
+    """Runs a stream over the events table, beside each response's number of units, to its end,
+    into the shared folder."""
     schema = fx.table(spark, d, "events").schema
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    units = fx.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_tokens"))
     src = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
-    q = make(src).writeStream.outputMode(mode).format("parquet").option("checkpointLocation", base + "/log").option("path", base + "/out").trigger(availableNow=True).start()
+    q = make(src.join(units, "user_id")).writeStream.outputMode(mode).format("parquet").option("checkpointLocation", base + "/log").option("path", base + "/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(base + "/out")
 
@@ -266,9 +269,11 @@ def w06_stream_prefix_mean(spark, d):
     return _streamed(spark, d, stream.prefix_means).select("user_id", "token_end", F.round(F.col("mean") + 1e-9, 6).alias("mean"))
 
 
-@query(sql("SELECT sample AS user_id, min(token_end)::BIGINT AS token_end, arg_min(score, token_end) AS score FROM evt WHERE score > 400 GROUP BY sample", "evt"))
+@query(sql(far_sql(True) + " SELECT sample AS user_id, min(token_end)::BIGINT AS token_end, arg_min(score, token_end) AS score FROM evt, th WHERE score > threshold GROUP BY sample", "evt"))
 def w07_stream_alarms(spark, d):
-    return _streamed(spark, d, lambda s: stream.alarms(s, 400.0))
+    """Alarms over the threshold calibrated on the stored responses."""
+    threshold = monitor.far_threshold(fx.evt(spark, d), 0.1).first()[0]  # one number
+    return _streamed(spark, d, lambda s: stream.alarms(s, threshold))
 
 
 @query(sql("SELECT event_type AS a, b, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY sample ORDER BY token_end) AS b FROM evt) WHERE b IS NOT NULL GROUP BY ALL", "evt"))

@@ -1,67 +1,91 @@
-"""Streaming forms of monitoring: causal prefix means, one alarm a response, transitions."""
+"""Streaming forms of monitoring in event order: causal prefix means, one alarm a response,
+transitions between adjacent units.
+
+Units of a response may arrive in any order and more than once. They wait in its state until
+their place is certain: until the watermark has passed them, or the response is complete. So
+the results are those of the sorted table, however rows are dealt to files and batches."""
+
+import json
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+OUT = "user_id long, token_end long, event_id long, value double, mean double, before string, event_type string, alarm boolean"
 
-def _clock(key_pdfs):
-    return pd.concat(list(key_pdfs)).sort_values(["ts", "event_id"])
 
+def ordered_units(events: DataFrame, threshold: float = math.inf, delay: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """Each unit of ``events(user_id, event_id, ts, value, event_type, n_tokens)`` once, in the
+    order of (ts, event_id) within its response: token_end (its place from 1), mean of all values
+    up to it, the event type before, and alarm, true at the first value over ``threshold``.
 
-def prefix_means(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Rows (user_id, token_end, mean) as units arrive. events: user_id, event_id, ts, value.
-    State of a response is a count and a sum; it goes when the watermark passes its timeout."""
+    n_tokens is the number of units of the whole response, or null where it is not known: with
+    it, the response is told as soon as all units are there, and its state shrinks to a mark
+    that goes when the watermark passes its last unit (older rows never arrive). A unit whose
+    (ts, event_id) is waiting or was told before is a repetition and is dropped, and so is one
+    that comes after a later unit was told. State is the waiting units, bounded by the watermark's
+    ``delay``, and a few numbers; a response that gets no units for ``idle`` of event time goes."""
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
+        s = json.loads(state.get[0]) if state.exists else {"n": 0, "sum": 0.0, "last": None, "told": False, "mark": None, "total": None, "wait": []}
+        if "done" in s:  # what still comes of a told response is a repetition
+            if state.hasTimedOut:
+                state.remove()
+            else:
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, s["done"]))
             return
-        n, s = state.get if state.exists else (0, 0.0)
-        f = _clock(pdfs)
-        run = s + f["value"].cumsum()
-        ends = n + pd.Series(range(1, len(f) + 1), index=f.index)
-        state.update((int(n + len(f)), float(run.iloc[-1])))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(f["ts"].max().timestamp() * 1000)) + 86_400_000)
-        yield pd.DataFrame({"user_id": key[0], "token_end": ends.astype("int64"), "mean": run / ends})
-
-    return events.withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(step, "user_id long, token_end long, mean double", "n long, s double", "append", GroupStateTimeout.EventTimeTimeout)
-
+        wait = {(t, i): (v, k) for t, i, v, k in s["wait"]}
+        latest = s.get("seen", 0)
+        for f in pdfs:
+            at = f["ts"].astype("datetime64[us]").astype("int64")
+            for t, i, v, k, n in zip(at, f["event_id"], f["value"], f["event_type"], f["n_tokens"]):
+                latest = max(latest, int(t))
+                if s["mark"] is None or (t, i) > tuple(s["mark"]):
+                    wait.setdefault((int(t), int(i)), (float(v), k))
+                if not pd.isna(n):
+                    s["total"] = int(n)
+        now = state.getCurrentWatermarkMs()
+        whole = s["total"] is not None and s["n"] + len(wait) >= s["total"]
+        told = sorted(u for u in wait if whole or u[0] <= now * 1000)
+        out = []
+        for u in told:
+            v, k = wait.pop(u)
+            s["n"], s["sum"] = s["n"] + 1, s["sum"] + v
+            alarm = v > threshold and not s["told"]
+            out.append((key[0], s["n"], u[1], v, s["sum"] / s["n"], s["last"], k, alarm))
+            s["told"], s["last"], s["mark"] = s["told"] or alarm, k, u
+        if whole:
+            state.update((json.dumps({"done": latest // 1000 + 1}),))
+            state.setTimeoutTimestamp(max(now + 1, latest // 1000 + 1))
+        elif state.hasTimedOut and not wait and not told:
+            state.remove()
+        else:
+            s["wait"], s["seen"] = [[t, i, v, k] for (t, i), (v, k) in wait.items()], latest
+            state.update((json.dumps(s),))
+            due = min(wait)[0] // 1000 if wait else latest // 1000 + pause
+            state.setTimeoutTimestamp(max(now + 1, due))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
-def alarms(events: DataFrame, threshold: float, delay: str = "1 hour") -> DataFrame:
-    """One row (user_id, token_end, score) for each response at its first score over the
-    threshold. State is a count and a flag."""
+    units = events.withWatermark("ts", delay).select("user_id", "event_id", "ts", "value", "event_type", "n_tokens")
+    return units.groupBy("user_id").applyInPandasWithState(step, OUT, "packed string", "append", GroupStateTimeout.EventTimeTimeout)
 
-    def step(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, told = state.get if state.exists else (0, False)
-        f = _clock(pdfs)
-        over = (f["value"] > threshold).to_numpy()
-        if not told and over.any():
-            at = int(over.argmax())
-            told = True
-            yield pd.DataFrame({"user_id": [key[0]], "token_end": [n + at + 1], "score": [f["value"].iloc[at]]})
-        state.update((int(n + len(f)), bool(told)))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(f["ts"].max().timestamp() * 1000)) + 86_400_000)
 
-    return events.withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(step, "user_id long, token_end long, score double", "n long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+def prefix_means(events: DataFrame, **kw) -> DataFrame:
+    """Rows (user_id, token_end, mean): the mean of a response up to each of its units."""
+    return ordered_units(events, **kw).select("user_id", "token_end", "mean")
 
 
-def transition_pairs(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Adjacent states of each response (user_id, a, b); repeated units are dropped within the
-    watermark. Counting them is a groupBy downstream."""
+def alarms(events: DataFrame, threshold: float, **kw) -> DataFrame:
+    """One row (user_id, token_end, score) for each response at its first score over the
+    threshold."""
+    return ordered_units(events, threshold, **kw).where("alarm").select("user_id", "token_end", F.col("value").alias("score"))
 
-    def step(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        f = _clock(pdfs)
-        seq = ([state.get[0]] if state.exists else []) + f["event_type"].tolist()
-        state.update((seq[-1],))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(f["ts"].max().timestamp() * 1000)) + 86_400_000)
-        yield pd.DataFrame({"user_id": key[0], "a": seq[:-1], "b": seq[1:]})
 
-    unique = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "event_id"])
-    return unique.groupBy("user_id").applyInPandasWithState(step, "user_id long, a string, b string", "last string", "append", GroupStateTimeout.EventTimeTimeout)
+def transition_pairs(events: DataFrame, **kw) -> DataFrame:
+    """Adjacent states of each response (user_id, a, b), repeated units dropped. Counting them is
+    a groupBy downstream."""
+    return ordered_units(events, **kw).where("before is not null").select("user_id", F.col("before").alias("a"), F.col("event_type").alias("b"))
