@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from layerroutes.functions import arrays as A
 from layerroutes.functions.hashing import uniform
-from layerroutes.operators import align, monitor
+from layerroutes.operators import align, monitor, units
 from layerroutes.plans import fixtures as fx
 from layerroutes.plans.evaluation import far_sql
 from layerroutes.plans.fixtures import sql, uniform_sql
@@ -116,6 +116,37 @@ def u02_boundaries(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", (n(r"[.!?](\s|\z)") + n("[。！？]") + n(r"\n+")).cast("long").alias("boundaries"))
 
 
+_CHARS = """ch AS MATERIALIZED (SELECT doc_id, unnest(string_split(coalesce(text, ''), '')) AS c, generate_subscripts(string_split(coalesce(text, ''), ''), 1) AS i FROM documents),
+ nx AS (SELECT doc_id, i, c, lead(c) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM ch),
+ mk AS (SELECT doc_id, i AS place FROM nx WHERE (c IN ('.', '!', '?') AND (n IS NULL OR n IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) OR c IN ('。', '！', '？') OR (c = chr(10) AND (n IS NULL OR n <> chr(10)))),
+ tk AS MATERIALIZED (SELECT doc_id, token, pos, (sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos) + pos - 1)::BIGINT AS char_end FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS token, generate_subscripts(string_split(coalesce(text, ''), ' '), 1)::INT AS pos FROM documents)),
+ en AS MATERIALIZED (SELECT DISTINCT doc_id, token_end FROM (SELECT mk.doc_id, tk.pos AS token_end FROM mk ASOF JOIN (SELECT * FROM tk WHERE token <> '') tk ON mk.doc_id = tk.doc_id AND mk.place <= tk.char_end UNION ALL SELECT doc_id, max(pos) FROM tk GROUP BY doc_id))"""
+
+
+@query("WITH " + _CHARS + " SELECT doc_id, token_end FROM en")
+def u02_sentence_ends(spark, d):
+    """Tokens at which a sentence ends, the last one included."""
+    docs = fx.table(spark, d, "documents")
+    return units.sentence_ends(docs, units.spaced_tokens(docs, "doc_id"), "doc_id")
+
+
+@query("WITH " + _CHARS + ", sp AS (SELECT tk.doc_id, en.token_end, length(token) AS a, coalesce(unicode(nullif(token, '')), 0) AS b FROM tk ASOF JOIN en ON tk.doc_id = en.doc_id AND tk.pos <= en.token_end) SELECT doc_id, token_end, count(*) AS n, round(avg(a) + 1e-9, 6) AS length, round(avg(b) + 1e-9, 6) AS first_code FROM sp GROUP BY ALL")
+def u04_sentence_vectors(spark, d):
+    """Mean vector of each sentence; a token's vector is its length and its first code point."""
+    docs = fx.table(spark, d, "documents")
+    t = units.spaced_tokens(docs, "doc_id")
+    v = t.select("doc_id", "pos", F.array(F.length("token"), F.ascii("token")).cast("array<double>").alias("x"))
+    m = units.span_means(v, units.sentence_ends(docs, t, "doc_id"), "doc_id")
+    return m.select("doc_id", "token_end", "n", F.round(F.col("x")[0] + 1e-9, 6).alias("length"), F.round(F.col("x")[1] + 1e-9, 6).alias("first_code"))
+
+
+@query(sql("SELECT sample, arg_max(score, token_end) AS value, arg_max(event_id % 7, token_end)::DOUBLE AS kind FROM evt WHERE NOT is_final GROUP BY sample", "evt"))
+def u01_prompt_last(spark, d):
+    """The vector of each sample's last unit before the final one, which stands for its prompt."""
+    v = fx.evt(spark, d).select("sample", F.col("token_end").alias("pos"), (~F.col("is_final")).alias("prompt"), F.array(F.col("score"), (F.col("event_id") % 7).cast("double")).alias("x"))
+    return units.last_vectors(v, "sample", "prompt").select("sample", F.col("x")[0].alias("value"), F.col("x")[1].alias("kind"))
+
+
 @query(sql("SELECT sample, token_end, round(avg(score) OVER (PARTITION BY sample ORDER BY token_end) + 1e-9, 6) AS mean FROM evt QUALIFY token_end % 10 = 0 OR is_final", "evt"))
 def u03_prefix_mean(spark, d):
     w = Window.partitionBy("sample").orderBy("token_end").rowsBetween(Window.unboundedPreceding, 0)
