@@ -4,6 +4,8 @@ counted first, and running sums go over value ranges with offsets."""
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from layerroutes.functions.arrays import let
+
 QUANTILES, PARTS = 32, 32
 
 
@@ -169,3 +171,39 @@ def mann_whitney(df: DataFrame, value: str, label: str, by: list[str]) -> DataFr
     sd = F.sqrt(n1 * n0 / 12 * (n + 1 - F.col("_ties") / (n * (n - 1))))
     z = F.greatest(F.abs(u - n1 * n0 / 2) - 0.5, F.lit(0.0)) / sd
     return g.where(n1 * n0 > 0).select(*by, u.alias("u"), z.alias("z"), F.least(F.lit(1.0), 2 * normal_tail(z)).alias("p"))
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x over 0: ten steps up, then Stirling's series."""
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0.0), lambda a, k: a + F.log(x + k))
+    z = x + 10
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - steps
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """Chance that Student's t with ``df`` degrees of freedom is farther from 0 than ``t``: the
+    incomplete beta function at df / (df + t^2), by its continued fraction on the side where it
+    converges fast."""
+    a, x = df / 2, df / (df + t * t)
+
+    def fraction(p: Column, q: Column, y: Column) -> Column:
+        tiny = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+
+        def once(s: Column, term: Column) -> Column:
+            s = let(s, lambda s: F.struct(tiny(1 + term / s["c"]).alias("c"), (1 / tiny(1 + term * s["d"])).alias("d"), s["h"].alias("h")))
+            return let(s, lambda s: F.struct(s["c"].alias("c"), s["d"].alias("d"), (s["h"] * s["c"] * s["d"]).alias("h")))
+
+        def two(s: Column, m: Column) -> Column:
+            even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+            return once(once(s, even), odd)
+
+        d = 1 / tiny(1 - (p + q) * y / (p + 1))
+        start = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(200)).cast("array<double>"), start, two, lambda s: s["h"])
+
+    half = F.lit(0.5)
+    front = F.exp(log_gamma(a + 0.5) - log_gamma(a) - 0.5723649429247001 + a * F.log(x) + 0.5 * F.log(1 - x))
+    low = front / a * fraction(a, half, x)
+    high = 1 - front / half * fraction(half, a, 1 - x)
+    return F.when(t == 0, 1.0).when(x < (a + 1) / (a + 2.5), low).otherwise(high)
