@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from layerroutes.functions import arrays as A
+from layerroutes.operators import conditional, reliability
 from layerroutes.operators import mixtures as M
-from layerroutes.operators import reliability
 from layerroutes.plans import fixtures as fx
 from layerroutes.plans.fixtures import sql
 from layerroutes.plans.registry import query
@@ -147,3 +148,32 @@ def a12_k_curves(spark, d):
     base = curves["base"]
     rows = [(n, layer, k, k - base[layer]) for n, c in curves.items() for layer, k in sorted(c.items())]
     return frame(spark, rows, "variant string, layer int, k int, apart int")
+
+
+def _conditions(spark, d):
+    """The last layer's rows: category, level, state and whether cut; logs of length, vector
+    size and distance from the centre."""
+    rt = fx.rt(spark, d).where(F.col("layer") == fx.LAYERS - 1)
+    x = fx.states(spark, d).where(F.col("layer") == fx.LAYERS - 1).select("row_id", F.log1p(A.norm(F.col("x"))).alias("norm"))
+    return rt.join(x, "row_id").select("row_id", "label", "level", "state", "finish_reason", F.log1p("n_tokens").alias("length"), "norm", F.log1p(F.sqrt("dist")).alias("euclidean"))
+
+
+_KINDS = ["level", "state", "finish_reason"]
+
+
+def _rounded(t):
+    return t.select("config", "n", *(F.round(c, 4).alias(c) for c in ("auroc", "log_loss", "auroc_gain", "loss_gain")))
+
+
+@query()
+def l19_conditional(spark, d):
+    """What the distance tells of the label beyond composition, length and size: splines."""
+    configs = {"composition": ["length"], "composition_norm": ["length", "norm"], "plus_euclidean": ["length", "norm", "euclidean"]}
+    return _rounded(conditional.compared(conditional.cross_fitted(_conditions(spark, d), "row_id", "label", _KINDS, configs), "label", "composition_norm"))
+
+
+@query()
+def l19_boosted(spark, d):
+    """The same question put to boosted trees, in three folds."""
+    configs = {"composition_norm": ["length", "norm"], "plus_euclidean": ["length", "norm", "euclidean"]}
+    return _rounded(conditional.compared(conditional.cross_fitted(_conditions(spark, d), "row_id", "label", _KINDS, configs, 3, "trees"), "label", "composition_norm"))
