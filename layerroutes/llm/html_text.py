@@ -1,14 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
 Each text node has a root-to-leaf tag path. Per path, text length and punctuation are summed
-and divided by its nodes, and text in links is taken off; a class name of advert or menu kind
-lowers what is below it. The ratios are smoothed along the page and fused with the plain ones,
-and paths that reach the threshold hold the content nodes.
+and divided by its nodes, and text in links is taken off. The ratios are smoothed along the page
+and fused with the plain ones; a class name of advert or menu kind lowers what is below it. Paths
+that reach a share of the typical content's score hold the content nodes.
 
 Content nodes give the article. To them come the other blocks of an article or main element
 that holds most of them; without such an element, what lies beside and between them and the
-heading before them. Low-scored marked parts and lists of links never come. Scripts, styles,
-menus, page headers, footers, asides and forms are out by their element alone."""
+heading before them. Low-scored marked parts, reader comments and lists of links never come. Scripts, styles,
+menus, page headers, footers, asides, forms and hidden parts are out by their element alone."""
 
 from __future__ import annotations
 
@@ -35,19 +35,28 @@ SAME = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table"
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social related widget login signup search form toolbar pagination complementary contentinfo toc".split()
 )
-BESIDE = frozenset("left right top bottom inner outer box block list item items area bar panel link links site page global user users reader section wrap wrapper container post posts article articles text".split())
+BESIDE = frozenset("left right top bottom inner outer box block list item items area bar panel link links site page global user users reader section wrap wrapper container post posts article articles text thread slot unit".split())
+READERS = frozenset("comment comments disqus reply replies respond".split())
+#: Words of the lists above written as one.
+_JOINED = re.compile(r"(ad|advert|comment|promo|newsletter|cookie|share|social|sidebar)s?(list|box|area|form|section|thread|slot|unit|banner|bar|wrap|wrapper|container|block|signup|widget|item)s?")
 PUNCTUATION = frozenset(",.;:!?，。；：！？、…")
 PENALTY = 0.05
+SHARE = 0.2  # of the content's typical score: what a path must reach
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CUT = re.compile(r"[^a-z]+")
 _SPACES = re.compile(r"\s+")
 
 
-def _marked(names: str) -> bool:
+def _marked(names: str) -> int:
+    """0 if no name marks an element, 2 if one marks it as readers' comments, else 1."""
+    kind = 0
     for name in names.lower().split():
         words = set(_CUT.split(name)) - {""}
-        if words & MARKS and words <= MARKS | BESIDE:
-            return True
-    return False
+        joined = {m.group(1) for m in map(_JOINED.fullmatch, words) if m}
+        plain = {w for w in words if not _JOINED.fullmatch(w)}
+        if (joined or plain & MARKS) and plain <= MARKS | BESIDE:
+            kind = max(kind, 2 if "comment" in joined or plain & READERS else 1)
+    return kind
 
 
 class _Page(HTMLParser):
@@ -58,7 +67,7 @@ class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.path = [""], [0], [0]
-        self.out, self.named, self.mark, self.link, self.head = [False], [False], [False], [False], [False]
+        self.out, self.named, self.mark, self.link, self.head = [False], [False], [0], [False], [False]
         self.numbers: dict[tuple[int, str], int] = {}
         self.stack = [0]
         self.open: dict[str, int] = defaultdict(int)
@@ -93,15 +102,15 @@ class _Page(HTMLParser):
             self._close_open(("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,), SAME[tag])
         up, given = self.stack[-1], {k: v or "" for k, v in attrs}
         names = given.get("class", "") + " " + given.get("role", "")
-        if not self.named[up]:  # in an article an id is a place to jump to
+        if not self.named[up] or tag != "section":  # in an article a section's id is a place to jump to
             names += " " + given.get("id", "")
         name = tag + "".join("." + x for x in sorted(set(_CUT.split(names.lower())) - {""}))
         self.tag.append(tag)
         self.parent.append(up)
         self.path.append(self.numbers.setdefault((self.path[up], name), len(self.numbers) + 1))
         self.named.append(self.named[up] or tag in ("article", "main"))
-        self.out.append(self.out[up] or tag in NO_TEXT or (tag == "header" and not self.named[up]) or "hidden" in given)
-        self.mark.append(tag in CONTAINER and tag not in ("html", "body") and _marked(names))
+        self.out.append(self.out[up] or tag in NO_TEXT or (tag == "header" and not self.named[up]) or "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", ""))))
+        self.mark.append(_marked(names) if tag in CONTAINER and tag not in ("html", "body") else 0)
         self.link.append(self.link[up] or tag == "a")
         self.head.append(self.head[up] or tag in HEADING)
         self.stack.append(len(self.tag) - 1)
@@ -151,19 +160,28 @@ def content_paths(nodes: list[tuple[int, str, bool, bool]]) -> set[int]:
 
     A path's ratio is its characters outside links a node, times one and its punctuation marks a
     node. A node fuses the ratio of its path with the smoothed ratios around it to their
-    geometric mean, and a path scores the mean of its nodes. The threshold is the standard
-    deviation over all nodes, or the greatest score if that is less."""
+    geometric mean, a marked one's counts a twentieth, and a path scores the mean of its nodes.
+    The threshold is a fifth of the content's typical score: the median over the unmarked nodes,
+    each with the weight of its characters outside links (over all nodes where these have none);
+    or the greatest score, if that is less."""
     count, chars, points = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text, link, _ in nodes:
         count[path] += 1
         chars[path] += 0 if link else len(text.strip())
         points[path] += sum(map(text.count, PUNCTUATION))
-    ratio = np.array([chars[p] / count[p] * (1 + points[p] / count[p]) * (PENALTY if m else 1) for p, _, _, m in nodes])
-    fused = np.sqrt(ratio * _smooth(ratio))
+    ratio = np.array([chars[p] / count[p] * (1 + points[p] / count[p]) for p, *_ in nodes])
+    marks = np.array([m for *_, m in nodes], dtype=bool)
+    fused = np.sqrt(ratio * _smooth(ratio)) * np.where(marks, PENALTY, 1.0)
+    weight = np.array([0 if link else len(t.strip()) for _, t, link, _ in nodes])
+    if weight[~marks].sum():
+        weight = np.where(marks, 0, weight)
+    order = np.argsort(fused, kind="stable")
+    run = np.cumsum(weight[order])
+    typical = float(fused[order[np.searchsorted(run, run[-1] / 2)]])
     score: dict[int, float] = defaultdict(float)
     for (p, *_), v in zip(nodes, fused.tolist(), strict=True):
         score[p] += v / count[p]
-    edge = min(float(fused.std()), max(score.values()))
+    edge = min(SHARE * typical, max(score.values()))
     return {p for p, v in score.items() if v >= edge}
 
 
@@ -179,13 +197,17 @@ def _kept(page: _Page) -> list[bool]:
     for e, tag in enumerate(page.tag):
         holds[page.parent[e]] += tag in ("article", "main")
     chars, linked, links, holds = (page.below(x) for x in (chars, linked, links, holds))
-    # a mark means nothing on what holds an article, nor, on a page without one, most of the text
-    plain = page.inherited(page.mark)
+    # a mark means nothing on what holds an article, nor, on a page without one, on what holds
+    # nearly all of the text; readers' comments never are the text
+    plain = page.inherited([bool(m) for m in page.mark])
     article = any(tag in ("article", "main") and chars[e] and not plain[e] for e, tag in enumerate(page.tag))
-    marked = page.inherited([m and not holds[e] and (article or 2 * chars[e] <= chars[0]) for e, m in enumerate(page.mark)])
+    free = sum(c for (e, _, _), c in zip(page.nodes, full, strict=True) if not plain[e] and not page.link[e])
+    counts = [m and not holds[e] and (m == 2 or article or 10 * free >= chars[e]) for e, m in enumerate(page.mark)]
+    marked = page.inherited([bool(c) for c in counts])
+    readers = page.inherited([bool(c) and page.mark[e] == 2 for e, c in enumerate(counts)])
     menu = page.inherited([tag in CONTAINER and links[e] > 1 and 10 * linked[e] >= 6 * chars[e] > 0 for e, tag in enumerate(page.tag)])
     chosen = content_paths([(page.path[e], t, page.link[e], marked[e]) for (e, t, _), c in zip(page.nodes, full, strict=True) if c])
-    bad = [menu[e] or (marked[e] and page.path[e] not in chosen) for e in range(n)]
+    bad = [menu[e] or readers[e] or (marked[e] and page.path[e] not in chosen) for e in range(n)]
     good = [c > 0 and page.path[e] in chosen and not bad[e] for (e, _, _), c in zip(page.nodes, full, strict=True)]
     weight = [0] * n
     sure = [g and not marked[e] for (e, _, _), g in zip(page.nodes, good, strict=True)]
@@ -200,7 +222,11 @@ def _kept(page: _Page) -> list[bool]:
     for kind in ("article", "main"):  # the outermost ones, if they hold most content
         top = [tag == kind and not page.out[e] for e, tag in enumerate(page.tag)]
         over = page.inherited(top)
-        if 2 * sum(weight[e] for e in range(1, n) if top[e] and not over[page.parent[e]]) >= weight[0]:
+        outer = [e for e in range(1, n) if top[e] and not over[page.parent[e]]]
+        if outer and 2 * sum(weight[e] for e in outer) >= weight[0]:
+            # teasers of other articles are much shorter than the article
+            most = max(weight[e] for e in outer)
+            over = page.inherited([top[e] and not over[page.parent[e]] and 4 * weight[e] >= most for e in range(n)])
             return [over[e] and not bad[e] for e, _, _ in page.nodes]
 
     box = [0] * n  # nearest container

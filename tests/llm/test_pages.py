@@ -93,6 +93,34 @@ TRIED = [
 ]
 
 
+COMMENT = "I liked this post a lot, thank you. Really. "
+POST = f"<h1>T</h1><p>{LONG}</p><p>{LONG}</p>"
+ONLY = "\n".join(["T", LONG.strip(), LONG.strip()])
+BESIDE_THE_POST = [
+    f"<body><main>{POST}<ol class='commentlist'><li>{COMMENT}</li><li>{COMMENT * 3}</li></ol></main></body>",
+    f"<body><main>{POST}<div id='disqus_thread'><p>{COMMENT * 9}</p></div></main></body>",
+    f"<body><article>{POST}<div id='comments'><p>{COMMENT * 9}</p></div></article></body>",
+    f"<body><div class='post'>{POST}</div><div class='comments-area'><p>{LONG * 5}</p><p>{LONG * 5}</p></div></body>",
+    f"<body><div class='post'>{POST}</div><div class='comments'><ul><li>{LONG * 9}</li><li>{LONG * 9}</li></ul></div></body>",
+    f"<body><article><h1>T</h1><p>{LONG}</p><div class='newsletter-signup'>Get our news, every week, by mail. Sign up now.</div><p>{LONG}</p></article></body>",
+    f"<body><article><h1>T</h1><p>{LONG}</p><div class='adbox'><p>{LONG}</p></div><p>{LONG}</p></article></body>",
+    f"<body><article>{POST}<div style='display: none'>{LONG}</div><p aria-hidden='true'>{LONG}</p></article></body>",
+    f"<body><article>{POST}</article><article class='teaser'><h2>Other</h2><p>Read this, too.</p></article></body>",
+    f"<body><div class='no-sidebar'><div class='cookie-notice'>We use cookies, ok?</div>{POST}</div></body>",
+]
+
+
+@pytest.mark.parametrize("html", BESIDE_THE_POST)
+def test_comments_adverts_and_hidden_parts_stay_out(html):
+    assert main_text(html) == ONLY
+
+
+def test_comments_alone_are_no_article_and_equal_articles_all_stay():
+    assert main_text(f"<body><div class='comments'><p>{LONG}</p></div></body>") == ""
+    assert main_text(f"<article><p>{LONG}</p></article><article><p>{LONG}</p></article>") == "\n".join([LONG.strip()] * 2)
+    assert main_text(f"<article><h2 id='comments'>Comments</h2><section id='search'><p>{LONG}</p></section></article>") == "Comments\n" + LONG.strip()
+
+
 @pytest.mark.parametrize(("html", "want"), TRIED)
 def test_names_alone_do_not_decide(html, want):
     assert main_text(html) == "\n".join(x.strip() for x in want)
@@ -102,18 +130,26 @@ def brute_paths(nodes):
     """Scores and threshold as the docstring of ``content_paths`` has them, one by one."""
     paths = {p: [n for n in nodes if n[0] == p] for p, *_ in nodes}
     ratio = []
-    for p, _, _, marked in nodes:
+    for p, *_ in nodes:
         own = paths[p]
         length = sum(0 if link else len(t.strip()) for _, t, link, _ in own) / len(own)
         points = sum(sum(c in PUNCTUATION for c in t) for _, t, *_ in own) / len(own)
-        ratio.append(length * (1 + points) * (PENALTY if marked else 1))
+        ratio.append(length * (1 + points))
     weight, fused = {-2: 0.054, -1: 0.242, 0: 0.399, 1: 0.242, 2: 0.054}, []
     for i, r in enumerate(ratio):
         near = [(w, ratio[i + k]) for k, w in weight.items() if 0 <= i + k < len(ratio)]
-        fused.append(math.sqrt(r * sum(w * v for w, v in near) / sum(w for w, _ in near)))
+        fused.append(math.sqrt(r * sum(w * v for w, v in near) / sum(w for w, _ in near)) * (PENALTY if nodes[i][3] else 1))
     score = {p: sum(f for f, n in zip(fused, nodes, strict=True) if n[0] == p) / len(paths[p]) for p in paths}
-    mean = sum(fused) / len(fused)
-    edge = min(math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused)), max(score.values()))
+    chars = [0 if link else len(t.strip()) for _, t, link, _ in nodes]
+    if sum(c for c, n in zip(chars, nodes, strict=True) if not n[3]):
+        chars = [0 if n[3] else c for c, n in zip(chars, nodes, strict=True)]
+    below, typical = 0, None
+    for f, c in sorted(zip(fused, chars, strict=True), key=lambda x: x[0]):
+        below += c
+        if 2 * below >= sum(chars):
+            typical = f
+            break
+    edge = min(typical / 5, max(score.values()))
     return {p for p, s in score.items() if s >= edge * (1 - 1e-12)}
 
 
@@ -168,7 +204,8 @@ def brute_article(html):
             links = lambda e: [c for c in e.iter("a") if text_of(c)]
             menu = any(x.tag in ("div", "ul", "section", "article") and len(links(x)) > 1 and 10 * sum(map(text_of, links(x))) >= 6 * text_of(x) > 0 for x in n[0])
             path, _, _, marked = row(n)
-            if not menu and not (marked and path not in chosen):
+            comments = any(x.get("class") == "comments" and mark(x) for x in n[0])
+            if not menu and not comments and not (marked and path not in chosen):
                 block.append(n[1])
     return "\n".join(out)
 
