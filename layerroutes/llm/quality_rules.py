@@ -175,11 +175,11 @@ def _shapes(frames):
         yield _frame(out)
 
 
-def _estimates(near: DataFrame, tree: DataFrame, *more: Column) -> DataFrame:
-    """Shapes by key and start of the rows ``near``; ``more`` is added up beside them."""
+def _estimates(near: DataFrame, tree: DataFrame) -> DataFrame:
+    """Counts, sums and products by key and start of the rows ``near``."""
     xs = [f"x{k}" for k in range(_DIMS)]
     cross = [F.sum(F.col(xs[i]) * F.col(xs[j])) for i in range(_DIMS) for j in range(i + 1)]
-    return near.groupBy("key", "start").agg(F.count("*").alias("n"), F.array(*(F.sum(x) for x in xs)).alias("s"), F.array(*cross).alias("q"), *more).join(tree, "key")
+    return near.groupBy("key", "start").agg(F.count("*").alias("n"), F.array(*(F.sum(x) for x in xs)).alias("s"), F.array(*cross).alias("q")).join(tree, "key")
 
 
 def _fit(sums: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def _distance() -> Column:
     return total
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", support: float = 0.75, steps: int = 4, least: int = _DIMS + 1, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reweights: int = 3, least: int = _DIMS + 1, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """Per row of ``docs``: id_col, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept and distance (squared, null if base_failed).
 
@@ -217,8 +217,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Up to half of a group may be junk: four deterministic starts take two concentration steps
     over just more than half of the rows, the two of less determinant go on until it falls no
-    more, the least wins, and it is estimated again from all rows it does not reject. Where the ``steps`` steps over ``support``
-    of the rows learn from no row that it rejects, their estimates, of more rows, are used.
+    more, the least wins, and it is estimated again, ``reweights`` times, from all rows that it does
+    not reject.
 
     One pass over the texts; then only counts move. Each concentration step is two aggregates
     with map-side combine over all rows, however large a source is."""
@@ -265,14 +265,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     log_d = F.log1p(F.col("d2"))
 
-    def nearest(now: DataFrame, share: float | None) -> DataFrame:
+    def nearest(now: DataFrame) -> DataFrame:
         far = each.join(now, "key").select("key", "start", *xs, _distance().alias("d2"))
-        return far.join(_quantile(far, ["key", "start"], log_d, share), ["key", "start"]).where(log_d <= F.col("at"))
+        return far.join(_quantile(far, ["key", "start"], log_d, None), ["key", "start"]).where(log_d <= F.col("at"))
 
     shapes = ("centre", "white", "logdet")
     now, sums, best, k, pair = first, None, None, 0, ["key", "start"]
     while k == 0 or not now.isEmpty():  # until no determinant falls any more; the least so far is kept
-        new = t.store(_estimates(nearest(now, None), tree), "sums")
+        new = t.store(_estimates(nearest(now), tree), "sums")
         sums = new if sums is None else t.store(sums.join(new.select(pair), pair, "left_anti").unionByName(new), "sums")
         shape = t.store(_fit(sums), "shape")
         k += 1
@@ -292,25 +292,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         scale = _quantile(inside, ["key"], log_d, 0.5).select("key", F.greatest(F.expm1("at") / MEDIAN, F.lit(1.0)).alias("scale"))
         return t.store(shape.join(scale, "key").select("key", "centre", "white", "scale"), "scaled")
 
-    half = scaled(best, each.join(best, "key").select("key", _distance().alias("d2")))
-    for _ in range(2):  # again from all rows that are not rejected
-        inside = each.join(half, "key").where(_distance() <= CUT * F.col("scale")).select("key", F.lit(0).alias("start"), *xs)
+    fit = scaled(best, each.join(best, "key").select("key", _distance().alias("d2")))
+    for _ in range(reweights):  # again from all rows that are not rejected
+        inside = each.join(fit, "key").where(_distance() <= CUT * F.col("scale")).select("key", F.lit(0).alias("start"), *xs)
         shape = t.store(_fit(t.store(_estimates(inside, tree), "sums")), "shape")
-        half = scaled(shape, inside.drop("start").join(shape, "key").select("key", _distance().alias("d2")))
-
-    wide = first.where("start = 0")
-    for k in range(steps):
-        near = nearest(wide, support)
-        if k == steps - 1:
-            near = near.join(half, "key").withColumn("out", _distance() / F.col("scale"))
-            sums = t.store(_estimates(near, tree, F.max("out").alias("out")), "sums")
-            safe = sums.where(F.col("out") <= CUT).select("key")
-        else:
-            sums = t.store(_estimates(near, tree), "sums")
-        wide = t.store(_fit(sums), "shape")
-    wide = scaled(wide, each.join(wide, "key").select("key", _distance().alias("d2"))).join(safe, "key", "left_semi")
-    chosen = wide.union(half.join(safe, "key", "left_anti").select(*wide.columns))
-    final = t.store(level.select("k0", "key").join(chosen, "key").drop("key"), "verdicts")
+        fit = scaled(shape, inside.drop("start").join(shape, "key").select("key", _distance().alias("d2")))
+    final = t.store(level.select("k0", "key").join(fit, "key").drop("key"), "verdicts")
 
     out = rows.join(final, "k0", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
