@@ -112,6 +112,11 @@ TEXTS = {
 _WORD = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*")
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|;|--|<!--|%|\"\"\"|'''|rem\b|dnl\b)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: What a notice of any licence says, known or not.
+_CLAIM = re.compile(r"licen[cs]ed (?:under|to you)|released under|distributed under|under the terms of|spdx.license.identifier|permission (?:is|to use)\b.{0,40}\b(?:granted|copy)|redistribution and use|all rights reserved")
+_SPDX = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r]*)", re.I)
+_TERM = re.compile(r"\(|\)|[\w.+-]+")
+_VERSION = re.compile(r"v?(\d{1,2}(?:\.\d+)*)")
 _NOTICE = re.compile(r"licen[cs]ed under|released under|distributed under the|spdx.license.identifier|permission is hereby granted|redistribution and use")
 
 
@@ -127,23 +132,52 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def versions(unit: list[str]) -> frozenset[str]:
+    """Version numbers among words; 2 and 2.0 are one, and years are none."""
+    found = (_VERSION.fullmatch(w) for w in unit)
+    return frozenset(re.sub(r"(?:\.0)+$", "", m.group(1)) for m in found if m)
+
+
+def expression(text: str) -> tuple[str | None, bool]:
+    """(SPDX expression with several licences, is there one with an unknown name) of the first
+    tag line that has operators. Names lose -only, -or-later and +; WITH exceptions are left out."""
+    known = {k.lower(): k for k in NAMES}
+    for m in _SPDX.finditer(text):
+        terms, out, names, skip, unknown = _TERM.findall(m.group(1)), [], [], False, False
+        for x in terms:
+            if skip or x.upper() == "WITH":
+                skip = not skip
+            elif x in "()" or x.upper() in ("AND", "OR"):
+                out.append(x.upper())
+            else:
+                name = known.get(re.sub(r"(-only|-or-later|\+)$", "", x.lower()))
+                unknown |= name is None
+                names.append(name)
+                out.append(name or x)
+        if len(names) > 1:
+            return (None, True) if unknown else (" ".join(out).replace("( ", "(").replace(" )", ")"), False)
+    return None, False
+
+
 class Scanner:
     """Compares one text after the other with templates; weights are set by the corpus."""
 
     def __init__(self, given: list[tuple[str, bool, str]], idf: dict[str, float], other: float, threshold: float, share: float):
         self.idf, self.other, self.threshold, self.share = idf, other, threshold, share
-        self.known, self.posts = [], defaultdict(list)
+        self.known, self.versions, self.posts = [], [], defaultdict(list)
         for name, title, text in given:
             tf = Counter(words(text))
             norm = math.sqrt(sum((c * idf[w]) ** 2 for w, c in tf.items()))
             for w, c in tf.items():
                 self.posts[w].append((len(self.known), c * idf[w] / norm))
             self.known.append((name, title))
+            self.versions.append(versions(words(text)))
         self.odds = threshold**2 / (1 - threshold**2) if threshold < 1 else math.inf
 
     def best(self, unit: list[str]) -> tuple[float, str, bool] | None:
-        """(similarity, name, is it a title) of the nearest template from the threshold on; of
-        equal similarities the first name, then a title."""
+        """(similarity, name, is it a title) of the nearest template from the threshold on whose
+        version numbers, if both have some, are among the unit's; of equal similarities the first
+        name, then a title."""
         inside = [w for w in unit if w in self.idf]
         out = len(unit) - len(inside)
         if not inside or len(inside) ** 2 < self.odds * out:  # no weights could make up for the other words
@@ -157,8 +191,8 @@ class Scanner:
         for w, c in tf.items():
             for k, v in self.posts[w]:
                 dots[k] += c * self.idf[w] * v
-        norm = math.sqrt(mass + rest)
-        found = min((-round(d / norm, 9), self.known[k][0], not self.known[k][1]) for k, d in dots.items())
+        norm, said = math.sqrt(mass + rest), versions(unit)
+        found = min(((-round(d / norm, 9), self.known[k][0], not self.known[k][1]) for k, d in dots.items() if not said or self.versions[k] <= said), default=(0.0, "", False))
         return (-found[0], found[1], not found[2]) if -found[0] >= self.threshold else None
 
     def units(self, text: str) -> Iterator[tuple[int, int, int, list[str]]]:
@@ -194,6 +228,9 @@ class Scanner:
 
     def text(self, text: str) -> tuple[str | None, float, bool, bool]:
         """(licence, similarity, is it a licence file, does it have an unknown notice)."""
+        several, odd = expression(text)
+        if several or odd:
+            return several, 1.0 if several else 0.0, False, odd
         chosen, taken, matched, total, title, code = None, set(), 0, 0, False, False
         first = None
         for level, a, b, unit in self.units(text):
@@ -211,7 +248,7 @@ class Scanner:
                 matched += len(unit)
                 taken.update(range(a, b))
         if not chosen:
-            return None, 0.0, False, bool(_NOTICE.search(text.lower()))
+            return None, 0.0, False, bool(_CLAIM.search(text.lower()))
         return chosen[3], -chosen[1], not code and (chosen[0] == 0 or title or matched >= self.share * total), False
 
 
@@ -221,12 +258,14 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     that an inherited licence comes from).
 
     Weights are term frequency times ln((1 + N) / (1 + df)) + 1 with df over all rows; words of
-    no template have df 0. A unit matches its best template from ``threshold`` on; of equal
-    similarities the first name wins. The largest kind of unit that matches counts, then the
+    no template have df 0. A unit matches its best template from ``threshold`` on, if the version
+    numbers of the template are among those that the unit names; of equal similarities the first
+    name wins. An SPDX tag with several licences gives the expression, with similarity 1, and
+    origin unknown if it has a name that is not known. The largest kind of unit that matches counts, then the
     most similar, then the earliest. A file licenses its directory: a text that matches as a
     whole, begins with a title paragraph, or has ``file_share`` of its words in matched units,
     and has nothing after a leading comment block; of several files, the most similar, then the first by name, then by path. A text with a
-    notice of no known licence has origin unknown and inherits nothing. Null and empty texts
+    notice of no known licence, rights reserved included, has origin unknown and inherits nothing. Null and empty texts
     have no lines, null paths no directory. Repeated rows are scanned alike; other columns are
     ignored. An empty table gives an empty result.
 

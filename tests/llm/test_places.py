@@ -57,11 +57,15 @@ def brute(rows, threshold=0.8, share=0.5):
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     sides = [(name, title, vec(x)) for name, title, x in given]
     notice = re.compile("licen[cs]ed under|released under|distributed under the|spdx.license.identifier|permission is hereby granted|redistribution and use", re.IGNORECASE)
+    claim = re.compile(notice.pattern + r"|under the terms of|all rights reserved|permission (is|to use)\b.{0,40}\b(granted|copy)|distributed under|licen[cs]ed to you", re.IGNORECASE)
     comment = re.compile(r"\s*(#|//|/\*|\*|;|--|<!--|%|\"\"\"|'''|rem\b|dnl\b)", re.IGNORECASE)
 
+    def numbered(ws):
+        return {re.sub(r"(\.0)+$", "", w.removeprefix("v")) for w in ws if re.fullmatch(r"v?\d\d?(\.\d+)*", w)}
+
     def match(ws):
-        v = vec(ws)
-        sims = [(-round(sum(v.get(k, 0) * u[k] for k in u) / norm(u) / norm(v), 9), name, not title) for name, title, u in sides] if ws else []
+        v, said = vec(ws), numbered(ws)
+        sims = [(-round(sum(v.get(k, 0) * u[k] for k in u) / norm(u) / norm(v), 9), name, not title) for name, title, u in sides if not said or numbered(u) <= said] if ws else []
         b = min(sims, default=(0, "", True))
         return (-b[0], b[1], not b[2]) if -b[0] >= threshold else None
 
@@ -86,7 +90,7 @@ def brute(rows, threshold=0.8, share=0.5):
             units += [(5, k, k + 1, split(x)) for k in p if notice.search(lines[k]) for x in re.split(r"(?<=[.!?])\s+", lines[k])]
         hits = [(level, a, b, u, h) for level, a, b, u in units if (h := match(u))]
         if not hits:
-            return None, 0.0, False, bool(notice.search(text or ""))
+            return None, 0.0, False, bool(claim.search(text or ""))
         best = min((level, -h[0], a, h[1]) for level, a, _, _, h in hits)
         title = any(level == 2 and a == paragraphs[0][0] and h[2] for level, a, _, _, h in hits)
         covered = {k for level, a, b, _, _ in hits if level < 5 for k in range(a, b)}
@@ -147,3 +151,21 @@ def test_scan_knows_real_licences(spark):
         1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "header"), 4: ("GPL-3.0", "header"), 5: ("BSD-3-Clause", "file"),
         6: ("BSD-3-Clause", "inherited"), 7: (None, "unknown"), 8: ("AGPL-3.0", "header"),
     }
+
+
+def test_versions_expressions_and_unknown_notices(spark):
+    texts = {
+        "b/LICENSE": TEXTS["MIT"][1],
+        "a/mpl": "Distributed under the Mozilla Public License 1.1.", "a/mpl2": "Distributed under the Mozilla Public License 2.0.",
+        "a/two": "// SPDX-License-Identifier: MIT OR Apache-2.0\nint a;", "a/nested": "# SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 AND MIT) OR BSD-3-Clause",
+        "a/odd": "SPDX-License-Identifier: MIT AND Foo-1.0", "a/one": "SPDX-License-Identifier: MIT",
+        "a/gfdl": "Permission is granted to copy, distribute and/or modify this document.", "a/terms": "You may use it under the terms of our contract.",
+        "a/mine": "Copyright 2020 X. All rights reserved.", "b/plain": "no notice at all", "a/v3": "Licensed under the GPL v3.", "a/apache1": "Licensed under the Apache License, Version 1.1.",
+    }
+    got = {x.path: (x.license, x.origin) for x in scan(frame(spark, [(i, t, p) for i, (p, t) in enumerate(texts.items())]), F.col("path")).collect()}
+    assert got.pop("a/mpl2")[0] == "MPL-2.0" and got.pop("a/one")[0] == "MIT" and got.pop("a/v3")[0] == "GPL-3.0"
+    assert got == {
+        "b/LICENSE": ("MIT", "file"), "b/plain": ("MIT", "inherited"),
+        "a/two": ("MIT OR Apache-2.0", "header"), "a/nested": ("(GPL-2.0 AND MIT) OR BSD-3-Clause", "header"),
+        **dict.fromkeys(["a/mpl", "a/odd", "a/gfdl", "a/terms", "a/mine", "a/apache1"], (None, "unknown")),
+    }
