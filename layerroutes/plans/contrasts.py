@@ -42,7 +42,7 @@ def e12_rank_test_q(spark, d):
     return o.select("layer", "i", r6(F.least(F.lit(1.0), low), "q"))
 
 
-@query(sql(f"y AS (SELECT r.row_id, r.layer, r.state AS before, s.x, c.mu, dist, list_concat(c.mu[1:4], s.x[5:8]) AS y FROM routes r JOIN states s USING (row_id, layer) JOIN centers c ON c.layer = r.layer AND c.state = r.state), a AS (SELECT y.row_id, y.layer, arg_min(c.state, struct_pack(d := {pair('y.y', 'c.mu', SQ)}, s := c.state)) AS after FROM y JOIN centers c ON c.layer = y.layer GROUP BY ALL) SELECT row_id, layer, before, after, before = after AS retained, round({pair('x', 'y', SQ)}, 6) AS energy, round(sqrt({pair('x', 'y', SQ)}) / greatest({norm_sql('x')}, 1e-30), 6) AS relative_change, round(CASE WHEN dist > 0 THEN {pair('x[5:8]', 'mu[5:8]', SQ)} / dist ELSE 0 END, 6) AS off_share, round(sqrt(dist), 6) AS distance FROM y JOIN a USING (row_id, layer)", "routes"))
+@query(sql(f"y AS MATERIALIZED (SELECT r.row_id, r.layer, r.state AS before, s.x, c.mu, dist, list_concat(c.mu[1:4], s.x[5:8]) AS y FROM routes r JOIN states s USING (row_id, layer) JOIN centers c ON c.layer = r.layer AND c.state = r.state), e AS (SELECT y.row_id, y.layer, c.state, i, y.y[i] - c.mu[i] AS e FROM y JOIN centers c ON c.layer = y.layer, range(1, 9) t(i)), a AS MATERIALIZED (SELECT row_id, layer, state AS after FROM (SELECT row_id, layer, state, sum(e * e) AS d FROM e GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY row_id, layer ORDER BY d, state) = 1) SELECT row_id, layer, before, after, before = after AS retained, round({pair('x', 'y', SQ)}, 6) AS energy, round(sqrt({pair('x', 'y', SQ)}) / greatest({norm_sql('x')}, 1e-30), 6) AS relative_change, round(CASE WHEN dist > 0 THEN {pair('x[5:8]', 'mu[5:8]', SQ)} / dist ELSE 0 END, 6) AS off_share, round(sqrt(dist), 6) AS distance FROM y JOIN a USING (row_id, layer)", "routes"))
 def x07_region_geometry(spark, d):
     """The part of a residual within four axes is taken out; which region holds the row then."""
     c = fx.centers(spark, d)

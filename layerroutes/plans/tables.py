@@ -2,7 +2,7 @@
 
 import uuid
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from layerroutes.plans.evaluation import far_sql
 from layerroutes.plans.fixtures import sql, uniform_sql
 from layerroutes.plans.registry import query
 from layerroutes.sources import tables as S
+from layerroutes.sources import user as U
 from layerroutes.sources.scratch import shared_dir
 from layerroutes.streaming import monitor as stream
 
@@ -255,32 +256,55 @@ def a03_align_layers(spark, d):
     return align.align_layers(c, align.greedy(align.similarities(c), ["layer"], 0.2))
 
 
-@query(None)
+@query(sql("SELECT row_id, l AS layer, level, list_transform(embedding[1 + 4 * l : 4 + 4 * l], lambda v: round(v::DOUBLE * (l + 2), 6)) AS x FROM (SELECT vec_id AS row_id, 1 + vec_id % 5 AS level, embedding FROM embeddings), range(2) t(l)").replace("WITH  ", "", 1))
 def f01_user_source(spark, d):
-    """States from a user's function over batches of rows."""
+    """Vectors of two layers from a user's function over batches of rows."""
 
-    def user(frames):
-        for f in frames:
-            yield pd.DataFrame({"row_id": f["row_id"], "layer": 0, "x": [v[:4] * 2 for v in f["embedding"]]})
+    def user(layer, frame):
+        return np.stack(frame["embedding"].to_numpy())[:, 4 * layer : 4 * layer + 4].astype(float) * (layer + 2)
 
-    return fx.emb(spark, d).select("row_id", "embedding").mapInPandas(user, "row_id long, layer int, x array<double>")
+    rows = fx.emb(spark, d).select("row_id", F.col("level").cast("long").alias("level"), "embedding")
+    return U.states_from(rows, [0, 1], user, fields=("level",), width=4).select("row_id", F.col("layer").cast("long").alias("layer"), "level", A.rounded(F.col("x")).alias("x"))
 
 
 @query(sql("SELECT state, count(*) AS n, round(avg(label), 6) AS accuracy FROM rt GROUP BY state", "rt"))
 def f02_user_analysis(spark, d):
-    def analysis(df):
-        return df.groupBy("state").agg(F.count("*").alias("n"), r6(F.avg("label"), "accuracy"))
+    """A user's table of prepared routes and labels, stored as a trial's and read back."""
+
+    def user(df):
+        return {"by_state": df.groupBy("state").agg(F.count("*").alias("n"), r6(F.avg("label"), "accuracy"))}
 
-    return fx.rt(spark, d).transform(analysis)
+    return U.analyse(fx.rt(spark, d), user, f"{shared_dir(spark)}/analyses/{uuid.uuid4().hex}", "one")["by_state"]
 
 
 @query(sql("SELECT layer, arg_min(k, (abs(silhouette - 0.05), k)) AS k FROM scan GROUP BY layer", "scan"))
 def f03_user_selector(spark, d):
-    def choose(f: pd.DataFrame) -> pd.DataFrame:
-        best = f.assign(gap=(f["silhouette"] - 0.05).abs()).sort_values(["gap", "k"]).iloc[0]
-        return pd.DataFrame({"layer": [int(best["layer"])], "k": [int(best["k"])]})
+    """The K whose silhouette is nearest to a twentieth."""
+    return U.select_k(fx.scan(spark, d), lambda f: f["k"][(f["silhouette"] - 0.05).abs().idxmin()])
+
+
+@query(sql("SELECT layer, count(*) AS n, round(sum(x[1]), 6) AS first FROM states WHERE layer IN (0, 7) GROUP BY layer", "states"))
+def s05_arrays(spark, d):
+    """Layer vectors through an interchange data set: first and last layer."""
+    path = f"{shared_dir(spark)}/arrays/{uuid.uuid4().hex}"
+    S.export_arrays(fx.states(spark, d), path, ("embeddings", "1"))
+    got, _ = S.open_arrays(spark, path, [0, -1], ("embeddings", "1"))
+    return got.groupBy("layer").agg(F.count("*").alias("n"), r6(F.sum(F.col("x")[0]), "first"))
+
+
+@query(sql("SELECT 'a' AS trial_id, layer, count(*) AS n, NULL::DOUBLE AS accuracy FROM rt GROUP BY layer UNION ALL SELECT 'b', layer, count(*), round(avg(label), 6) FROM rt GROUP BY layer", "rt"))
+def s14_sink(spark, d):
+    """Tables of two trials with differing columns through the sink."""
+    path, rt = f"{shared_dir(spark)}/trials/{uuid.uuid4().hex}", fx.rt(spark, d)
+    S.write_trial({"layers": rt.groupBy("layer").agg(F.count("*").alias("n"))}, path, "a")
+    S.write_trial({"layers": rt.groupBy("layer").agg(F.count("*").alias("n"), r6(F.avg("label"), "accuracy"))}, path, "b")
+    return spark.read.option("mergeSchema", True).parquet(f"{path}/layers").select("trial_id", "layer", "n", "accuracy")
+
 
-    return fx.scan(spark, d).groupBy("layer").applyInPandas(choose, "layer int, k int")  # one scan table a layer
+@query()
+def s17_inventory(spark, d):
+    """All files of the given tables with size and digest."""
+    return S.inventory(spark, d)
 
 
 def _streamed(spark, d, make, mode="append"):

@@ -1,5 +1,7 @@
 """Sources and sinks: validated scans, layer matrices and trial tables as partitioned Parquet."""
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,71 @@ def read_states(spark: SparkSession, path: str, layers: list[int] | None = None)
     return df if layers is None else df.where(F.col("layer").isin(layers))
 
 
+FORMAT = 1
+REPRESENTATIONS = ("mean", "prompt_last", "tokens", "prefix", "sentence")
+
+
+def export_arrays(states: DataFrame, path: str, model: tuple[str, str], representation: str = "mean", final_norm: str = "post", dataset_id: str | None = None) -> None:
+    """An interchange data set: layer vectors under ``path/states`` and a manifest, one JSON row,
+    under ``path/manifest``. Every layer must have the same rows and width; the manifest names
+    the model and its pinned revision and is written last, so that it marks a whole data set."""
+    if len(model) != 2 or not all(model):
+        raise ValueError("model must be an identifier and a pinned revision")
+    if representation not in REPRESENTATIONS or final_norm not in ("pre", "post"):
+        raise ValueError(f"no such representation: {representation}, {final_norm}")
+    write_states(states, f"{path}/states")
+    spark = states.sparkSession
+    per = spark.read.parquet(f"{path}/states").groupBy("layer").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("ids"), F.sum(F.xxhash64("row_id").cast("decimal(38,0)")).alias("which"), F.max(F.size("x")).alias("width")).orderBy("layer").collect()  # a row a layer
+    if not per or len({(r.n, r.ids, r.which, r.width) for r in per}) > 1 or per[0].n != per[0].ids:
+        raise ValueError("all layers must have the same rows, each once, and one width")
+    body = {"format_version": FORMAT, "model": list(model), "layers": [r.layer for r in per], "rows": per[0].n, "width": per[0].width, "representation": representation, "final_norm": final_norm, "dataset_id": dataset_id}
+    spark.createDataFrame([(json.dumps(body),)], "manifest string").coalesce(1).write.text(f"{path}/manifest")
+
+
+def open_arrays(spark: SparkSession, path: str, layers: list[int] | None = None, model: tuple[str, str] | None = None) -> tuple[DataFrame, dict]:
+    """The vectors of a data set and its manifest. Another format, a missing layer (negative ones
+    count from the last), or another model than the one asked for is an error."""
+    found = spark.read.text(f"{path}/manifest").collect()  # one row
+    if len(found) != 1:
+        raise ValueError("a data set has one manifest")
+    body = json.loads(found[0][0])
+    if body.get("format_version") != FORMAT:
+        raise ValueError(f"format {body.get('format_version')} is not {FORMAT}")
+    if model is not None and list(model) != body["model"]:
+        raise ValueError(f"model {body['model']} is not {list(model)}")
+    have, asked = body["layers"], layers
+    if layers is not None:
+        asked = [have[k] if k < 0 and -k <= len(have) else k for k in layers]
+        if not set(asked) <= set(have) or len(set(asked)) != len(asked):
+            raise ValueError(f"layers {layers} of {have}")
+    return read_states(spark, f"{path}/states", asked), body
+
+
+def same_source(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, problem) of data sets that cannot be read as one: another model signature, layers,
+    width or representation than the first, or row ids that an earlier one has."""
+    bodies = {p: open_arrays(spark, p)[1] for p in paths}
+    first, out = bodies[paths[0]], []
+    for p, b in bodies.items():
+        out += [(p, k) for k in ("model", "layers", "width", "representation", "final_norm") if b[k] != first[k]]
+    ids = [spark.read.parquet(f"{p}/states").where(F.col("layer") == bodies[p]["layers"][0]).select("row_id", F.lit(i).alias("i")) for i, p in enumerate(paths)]
+    every = ids[0]
+    for x in ids[1:]:
+        every = every.unionByName(x)
+    names = F.element_at(F.array(*map(F.lit, paths)), F.col("i") + 1)
+    w = Window.partitionBy("row_id")
+    twice = every.withColumn("least", F.min("i").over(w)).where("i > least").groupBy("i").agg(F.count("*").alias("n")).select(names.alias("path"), F.concat(F.lit("row_id of another: "), F.col("n")).alias("problem"))
+    return spark.createDataFrame(out, "path string, problem string").unionByName(twice)
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(name, bytes, sha256) of all files below ``path`` that Spark's readers see: not empty ones,
+    nor those named with a leading underscore or dot. A file is read whole by one task, up to
+    Spark's limit of 2 GB for one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def write_trial(tables: dict[str, DataFrame], path: str, trial_id: str) -> None:
     for name, df in tables.items():
         df.withColumn("trial_id", F.lit(trial_id)).write.mode("append").partitionBy("trial_id").parquet(f"{path}/{name}")
