@@ -17,10 +17,13 @@ Texts become sets of word shingles. Two sets link when their Jaccard similarity
    rounds. What is in different components then is paired, unless counts of differences rule
    a link out or the prefixes under ascending numbers share no difference.
 4. Every pair so found must also share a prefix token under ascending and under descending
-   token numbers. All filters are intersected before any whole set is loaded to verify a pair.
+   token numbers. All filters are intersected before the whole sets of a pair are loaded to
+   verify it. Pairs of a set and its leader are loaded in any case: step 3 starts from their
+   differences.
 
 Every step is a necessary condition, so no link between different components is lost, and
-there is no cap on groups, partners or candidates.
+there is no cap on groups, partners or candidates. After the rounds, what is left of a group in
+different components is paired: m members that share a rare difference but no link cost m * m.
 
 Why step 3 is whole: for sets x, y and leader L write dx for the symmetric difference of x
 and L. x and y link only if |x ^ y| <= m(x, y) = (1-t)/(1+t) * (|x|+|y|), and |x ^ y| =

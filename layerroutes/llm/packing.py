@@ -323,7 +323,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
 
     A document is the ids of its text and end_id; null and empty texts are end_id alone. Each
     row is a document, repeated rows and null ids included. Sequences hold at most ``size``
-    ids, all but one are full. Other columns are ignored. An empty table gives an empty
+    ids, and there is less than one sequence of padding in all. Other columns are ignored. An empty table gives an empty
     result. The input must give the same rows in one run.
 
     The driver sees one count per length below ``size``; its slots, a few per length, go to the
