@@ -25,7 +25,8 @@ class Fit:
     """One fit: the rows of ``layer`` (of all layers if None), of those where column ``use`` is
     true if one is named. ``cov`` is (k, d) for diag and spherical, (k, d, d) for full, (d, d)
     for tied, None for kmeans. ``score`` is the mean log-likelihood, or minus the mean squared
-    distance; ``history`` has it by step, under the parameters before the step."""
+    distance; ``history`` has it by step, under the parameters before the step. ``failed`` says
+    why a fit could not go on; it keeps its last parameters and a score of minus infinity."""
 
     layer: int | None
     k: int
@@ -38,6 +39,7 @@ class Fit:
     score: float = float("-inf")
     steps: int = 0
     converged: bool = False
+    failed: str | None = None
     history: list = dataclasses.field(default_factory=list)
 
     def joint(self, x: np.ndarray) -> np.ndarray:
@@ -107,6 +109,20 @@ class Fit:
         return dataclasses.replace(self, weights=weights, means=mean, cov=cov)
 
 
+    def flaw(self) -> str | None:
+        """What is wrong with the parameters, if anything."""
+        if not np.isfinite(self.means).all() or (self.cov is not None and not np.isfinite(self.cov).all()):
+            return "parameters are not finite"
+        if self.kind in ("full", "tied"):
+            try:
+                np.linalg.cholesky(self.cov)
+            except np.linalg.LinAlgError:
+                return "a covariance is singular"
+        elif self.kind != "kmeans" and self.cov.min() <= 0:
+            return "a variance is zero"
+        return None
+
+
 def additive(floor: float = 1e-6):
     return lambda v: v + floor
 
@@ -235,6 +251,8 @@ def step(states: DataFrame, fits: list[Fit], regular=None, seed: int = 0, spread
     out = []
     for i, f in enumerate(fits):
         made = f.moved(sums[i], fresh[i], spreads[i] if fresh[i] else None, regular)
+        if flaw := made.flaw():
+            made = dataclasses.replace(f, failed=flaw)
         out.append(dataclasses.replace(made, steps=f.steps + 1, history=[*f.history, sums[i][-1, 1] / sums[i][-1, 0]]))
     return out
 
@@ -252,16 +270,19 @@ def fit(states: DataFrame, fits: list[Fit], iterations: int = 200, tolerance: fl
     plain = [i for i, f in enumerate(now) if f.kind != "kmeans" and f.cov is None]
     if plain:
         for i, f in zip(plain, _hard(states, [now[i] for i in plain], regular)):
-            now[i] = f
-    live = list(range(len(now)))
-    for _ in range(iterations):
+            now[i] = dataclasses.replace(f, failed=f.flaw())
+    live = [i for i, f in enumerate(now) if not f.failed]
+    for _ in range(iterations if live else 0):
         for i, f in zip(live, step(states, [now[i] for i in live], regular, seed)):
             now[i] = dataclasses.replace(f, converged=bool(len(f.history) > 1 and abs(f.history[-1] - f.history[-2]) <= tolerance))
-        live = [i for i in live if not now[i].converged]
+        live = [i for i in live if not now[i].converged and not now[i].failed]
         if not live:
             break
-    sums = _summed(states, now, lambda f, x: np.array([[len(x), f.shares(x)[1].sum()]]))
-    return [dataclasses.replace(f, score=float(sums[i][0, 1] / sums[i][0, 0])) for i, f in enumerate(now)]
+    good = [i for i, f in enumerate(now) if not f.failed]
+    sums = _summed(states, [now[i] for i in good], lambda f, x: np.array([[len(x), f.shares(x)[1].sum()]])) if good else {}
+    for at, i in enumerate(good):
+        now[i] = dataclasses.replace(now[i], score=float(sums[at][0, 1] / sums[at][0, 0]))
+    return now
 
 
 def best(fits: list[Fit], key=lambda f: f.layer) -> dict:
@@ -273,6 +294,24 @@ def best(fits: list[Fit], key=lambda f: f.layer) -> dict:
     return out
 
 
+def criteria(states: DataFrame, fits: list[Fit]) -> list[tuple[int, float, float]]:
+    """(rows, BIC, ICL) of each fit of diagonal, spherical, tied or full kind: ICL adds twice the
+    entropy of the responsibilities."""
+
+    def of(f, x):
+        r, ll = f.shares(x)
+        return np.array([[len(x), ll.sum(), -(r * np.log(np.maximum(r, 1e-300))).sum()]])
+
+    sums, out = _summed(states, fits, of), []
+    for i, f in enumerate(fits):
+        n, ll, h = sums[i][0]
+        d = f.means.shape[1]
+        free = {"diag": f.k * d, "spherical": f.k, "tied": d * (d + 1) // 2, "full": f.k * d * (d + 1) // 2}[f.kind]
+        value = -2 * ll + (f.k * d + free + f.k - 1) * np.log(n)
+        out.append((int(n), float(value), float(value + 2 * h)))
+    return out
+
+
 def posterior(states: DataFrame, fits: list[Fit]) -> DataFrame:
     """(row_id, layer, fit, state, logp, shares): the likeliest component of each row under each
     fit that covers it, log density, and responsibilities."""

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from layerroutes.functions import arrays as A
-from layerroutes.operators import conditional, reliability
+from layerroutes.operators import conditional, reliability, scan
 from layerroutes.operators import mixtures as M
 from layerroutes.plans import fixtures as fx
 from layerroutes.plans.fixtures import sql
@@ -177,3 +177,10 @@ def l19_boosted(spark, d):
     """The same question put to boosted trees, in three folds."""
     configs = {"composition_norm": ["length", "norm"], "plus_euclidean": ["length", "norm", "euclidean"]}
     return _rounded(conditional.compared(conditional.cross_fitted(_conditions(spark, d), "row_id", "label", _KINDS, configs, 3, "trees"), "label", "composition_norm"))
+
+
+@query()
+def m04_scan_grid(spark, d):
+    """Criteria, silhouette and stability of converged mixtures, a row a layer and K."""
+    t = scan.scan(fx.states(spark, d), [2, 3, 4, 1_000_000_000])
+    return t.select("layer", "k", "n_samples", F.round("bic", 2).alias("bic"), F.round("icl", 2).alias("icl"), F.round("silhouette", 4).alias("silhouette"), F.round("stability", 4).alias("stability"), "converged", "failed")

@@ -122,3 +122,35 @@ def test_lloyd_keeps_all_centres(states, spark):
     got, _ = kmeans(states, spark.createDataFrame(far, "layer int, state int, mu array<double>"), 10)
     rows = got.collect()
     assert len(rows) == 6 and max(abs(v) for r in rows for v in r.mu) < 1e4
+
+
+def test_scan_against_numpy(states, spark):
+    from layerroutes.operators import scan as S
+
+    one = states.where("layer = 0")
+    got = {r.k: r for r in S.scan(one, [2, 3, 270], eval_rows=1000).collect()}
+    assert (got[270].bic, got[270].silhouette, got[270].failed) == (None, None, "270 rows") and got[3].failed is None
+    fits = {(f.k, f.start): f for f in M.fit(one, [M.Fit(0, k, s) for k in (2, 3) for s in range(3)], 100, 1e-5)}
+    for k in (2, 3):
+        f = fits[k, 0]
+        j = density(CLOUD, f)
+        ll = np.log(np.exp(j).sum(1))
+        r = np.exp(j - ll[:, None])
+        bic = -2 * ll.sum() + (2 * k * 3 + k - 1) * np.log(270)
+        assert (got[k].bic, got[k].icl) == pytest.approx((bic, bic - 2 * (r * np.log(np.maximum(r, 1e-300))).sum()))
+        z, dist = j.argmax(1), np.sqrt(((CLOUD[:, None] - CLOUD) ** 2).sum(2))
+        sil = []
+        for i in range(270):
+            own = (z == z[i]) & (np.arange(270) != i)
+            a, b = dist[i, own].mean(), min(dist[i, z == c].mean() for c in range(k) if c != z[i])
+            sil.append((b - a) / max(a, b))
+        assert got[k].silhouette == pytest.approx(np.mean(sil))
+    assert got[3].stability > 0.9 and got[3].converged
+
+
+def test_a_singular_fit_is_told(spark):
+    flat = spark.createDataFrame([(i, 0, [float(i % 7), 1.0]) for i in range(60)], "row_id long, layer int, x array<double>")
+    (f, g) = M.fit(flat, [M.Fit(0, 2, kind="full"), M.Fit(0, 2)], regular=lambda v: v)
+    assert f.failed and f.score == float("-inf") and g.failed
+    (h,) = M.fit(flat, [M.Fit(0, 2, kind="full")])
+    assert not h.failed and np.isfinite(h.score)
