@@ -15,6 +15,7 @@ from layerroutes.functions.stats import auroc
 from layerroutes.operators import align, bayes, cluster, distances, fits, latent
 from layerroutes.operators.transforms import Chain
 from layerroutes.plans import fixtures as fx
+from layerroutes.plans.fixtures import sql
 from layerroutes.plans.registry import query
 
 r6 = lambda c, name=None: F.round(c, 6).alias(name or c)
@@ -378,7 +379,20 @@ def a11_compare_results(spark, d):
     return m.join(rand, "layer").join(ari, "layer").select("layer", "matched_distance", "pair_distance", (F.col("ka") - F.col("matched")).alias("unmatched_a"), (F.col("kb") - F.col("matched")).alias("unmatched_b"), "ari")
 
 
-@query()
+_VARIANTS = """sd AS (SELECT layer, i, sqrt(var_pop(x[i]) + 1e-8) AS sd FROM states, range(1, 9) t(i) GROUP BY ALL),
+ q AS MATERIALIZED (SELECT row_id, s.layer, c.state, sum((x[sd.i] - mu[sd.i]) ** 2) AS p, -sum(x[sd.i] * mu[sd.i]) / sqrt(sum(x[sd.i] ** 2) * sum(mu[sd.i] ** 2)) AS c, sum(((x[sd.i] - mu[sd.i]) / sd) ** 2) AS z FROM states s JOIN centers c ON c.layer = s.layer JOIN sd ON sd.layer = s.layer GROUP BY ALL),
+ m AS MATERIALIZED (SELECT row_id, s.layer, c.state, sum((x[i] - mu[i]) ** 2) AS p FROM states s JOIN means c ON c.layer = s.layer, range(1, 9) t(i) GROUP BY ALL),
+ l AS MATERIALIZED (SELECT 0 AS v, 'plain' AS name, row_id, layer, state FROM q QUALIFY row_number() OVER (PARTITION BY row_id, layer ORDER BY p, state) = 1
+   UNION ALL SELECT 1, 'refit', row_id, layer, state FROM m QUALIFY row_number() OVER (PARTITION BY row_id, layer ORDER BY p, state) = 1
+   UNION ALL SELECT k, n, row_id, layer, state FROM q, (VALUES (2, 'cosine'), (3, 'unit')) t(k, n) QUALIFY row_number() OVER (PARTITION BY k, row_id, layer ORDER BY c, state) = 1
+   UNION ALL SELECT 4, 'standardised', row_id, layer, state FROM q QUALIFY row_number() OVER (PARTITION BY row_id, layer ORDER BY z, state) = 1),
+ c AS (SELECT x.layer, x.name AS a, y.name AS b, x.state AS s, y.state AS t, count(*) AS n FROM l x JOIN l y ON x.row_id = y.row_id AND x.layer = y.layer AND x.v < y.v GROUP BY ALL),
+ r AS (SELECT layer, a, b, sum(n * (n - 1) / 2) AS r FROM (SELECT layer, a, b, s, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL), k AS (SELECT layer, a, b, sum(n * (n - 1) / 2) AS k FROM (SELECT layer, a, b, t, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL),
+ g AS (SELECT layer, a, b, sum(n * (n - 1) / 2) AS g, sum(n) AS n FROM c GROUP BY ALL)
+SELECT layer, a, b, round((g - r * k / (n * (n - 1) / 2)) / ((r + k) / 2 - r * k / (n * (n - 1) / 2)), 6) AS ari FROM g JOIN r USING (layer, a, b) JOIN k USING (layer, a, b)"""
+
+
+@query(sql(_VARIANTS, "states", "means"))
 def a13_variants(spark, d):
     """Agreement of every pair of variants of the assignment, per layer."""
     s, c = fx.states(spark, d), fx.centers(spark, d)
