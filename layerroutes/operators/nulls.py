@@ -78,3 +78,27 @@ def exact_mean(steps: DataFrame, by: list[str], group: list[str], least: int = 2
     support = t.groupBy(*by).agg(F.sum("m").alias("support"))
     total = t.join(mean, ["n", "n1", "m"]).groupBy(*by).agg(F.sum(n * F.col("e")).alias("s"))
     return total.join(support, by).select(*by, (F.col("s") / F.col("support")).alias("mean"))
+
+
+def occupancy_null(routes: DataFrame, group: list[str], replicates: int, salt: str, least: int = 2) -> DataFrame:
+    """One row: the mean over layers of the conditional divergence of ``routes(row_id, layer,
+    state, label, level)``, its mean over ``replicates`` draws that deal each layer's states anew
+    within ``group``, their difference, the 2.5 and 97.5 percentiles and the p-value of the draws;
+    and the same (``corrected_``) less, in each map, the exact mean over permuted labels, which
+    sparse cells alone would give. All draws run in the same jobs."""
+    each = routes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    keys = [*group, "rep"]
+    dealt = shuffled(each.select("row_id", *keys, "state"), keys, "row_id", "state", salt)
+    every = cut(dealt.select("row_id", "layer", "label", "level", "rep", "state").unionByName(routes.select("row_id", "layer", "label", "level", F.lit(-1).alias("rep"), "state")))
+    after = every.select("row_id", "rep", (F.col("layer") - 1).alias("layer"), F.col("state").alias("dest"))
+    steps = cut(every.withColumnRenamed("state", "i").join(after, ["row_id", "rep", "layer"]))
+    by, own = ["layer", "rep"], ["i", "level"]
+    js = conditional_js(steps, by, own, least).join(exact_mean(steps, by, own, least), by, "left").withColumn("corrected", F.col("js") - F.col("mean"))
+    per = js.groupBy("rep").agg(F.avg("js").alias("js"), F.avg("corrected").alias("corrected"))
+    seen = per.where("rep = -1").select(F.col("js").alias("js0"), F.col("corrected").alias("corrected0"))
+    out = []
+    for c, name in (("js", ""), ("corrected", "corrected_")):
+        v, o = F.col(c), F.col(f"{c}0")
+        q = lambda p, v=v: F.percentile(v, F.lit(p))  # noqa: E731 - a row a draw
+        out += [F.max(o).alias(f"{name}observed"), F.avg(v).alias(f"{name}null_mean"), (F.max(o) - F.avg(v)).alias(f"{name}excess"), q(0.025).alias(f"{name}low"), q(0.975).alias(f"{name}high"), ((1 + F.count(F.when(v >= o - 1e-12, 1))) / (replicates + 1)).alias(f"{name}p")]
+    return per.where("rep >= 0").join(F.broadcast(seen)).agg(*out)  # one row

@@ -145,6 +145,26 @@ def n05_occupancy_null(spark, d):
     return seen.agg(r6(F.avg("js"), "observed"), r6(F.avg("null"), "null_mean"), r6(F.avg("js") - F.avg("null"), "excess"))
 
 
+_RSHUF = uniform_sql("occupancy", "layer || '|' || label || '|' || level || '|' || rep || '|' || row_id")
+_EXACT = """ct AS (SELECT rep, layer, i, level, j, count(*) AS m, sum(label) AS a FROM st GROUP BY ALL), tt AS (SELECT *, sum(m) OVER w AS n, sum(a) OVER w AS n1 FROM ct WINDOW w AS (PARTITION BY rep, layer, i, level)),
+ ee AS (SELECT rep, layer, n, n1, m, unnest(range(greatest(0, m - (n - n1))::BIGINT, least(m, n1)::BIGINT + 1)) AS x FROM tt WHERE n1 >= 2 AND n - n1 >= 2),
+ ff AS (SELECT *, x / n1 AS p, (m - x) / (n - n1) AS q, exp(lgamma(m + 1) - lgamma(x + 1) - lgamma(m - x + 1) + lgamma(n - m + 1) - lgamma(n1 - x + 1) - lgamma(n - m - n1 + x + 1) - lgamma(n + 1) + lgamma(n1 + 1) + lgamma(n - n1 + 1)) AS mass FROM ee),
+ gg AS (SELECT rep, layer, sum(n * mass * (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS s FROM ff GROUP BY ALL), uu AS (SELECT rep, layer, sum(m) AS support FROM tt WHERE n1 >= 2 AND n - n1 >= 2 GROUP BY ALL)"""
+_OCC = f"""rr AS (SELECT * FROM rt, range(9) r(rep)), own AS (SELECT row_id, rep, layer, label, level, row_number() OVER (PARTITION BY layer, label, level, rep ORDER BY row_id) AS k FROM rr), oth AS (SELECT rep, layer, label, level, state, row_number() OVER (PARTITION BY layer, label, level, rep ORDER BY {_RSHUF}, row_id) AS k FROM rr),
+ al AS (SELECT row_id, own.rep::INT AS rep, own.layer, own.label, own.level, state FROM own JOIN oth ON own.rep = oth.rep AND own.layer = oth.layer AND own.label = oth.label AND own.level = oth.level AND own.k = oth.k UNION ALL SELECT row_id, -1, layer, label, level, state FROM rt),
+ st AS MATERIALIZED (SELECT * FROM (SELECT row_id, rep, label, level, layer, state AS i, lead(state) OVER (PARTITION BY rep, row_id ORDER BY layer) AS j FROM al) WHERE j IS NOT NULL),
+ {_js_sql('st', 'layer, rep', 'i, level')}, {_EXACT},
+ pp AS (SELECT rep, avg(js) AS js, avg(js - s / uu.support) AS c FROM stjs LEFT JOIN gg USING (rep, layer) LEFT JOIN uu USING (rep, layer) GROUP BY rep), ob AS (SELECT js AS js0, c AS c0 FROM pp WHERE rep = -1)"""
+_PARTS = ", ".join(f"round(max({v}0), 6) AS {n}observed, round(avg({v}), 6) AS {n}null_mean, round(max({v}0) - avg({v}), 6) AS {n}excess, round(quantile_cont({v}, 0.025), 6) AS {n}low, round(quantile_cont({v}, 0.975), 6) AS {n}high, round((1 + count(*) FILTER ({v} >= {v}0 - 1e-12)) / 10, 6) AS {n}p" for v, n in (("js", ""), ("c", "corrected_")))
+
+
+@query(sql(f"{_OCC} SELECT {_PARTS} FROM pp, ob WHERE rep >= 0", "rt"))
+def n05_bias_corrected(spark, d):
+    """Nine draws, and what is left after each map's exact mean over permuted labels."""
+    t = nulls.occupancy_null(fx.rt(spark, d), ["layer", "label", "level"], 9, "occupancy")
+    return t.select(*(r6(c) for c in t.columns))
+
+
 _OCC = uniform_sql("occupancy", "rep || '|' || row_id")
 
 
