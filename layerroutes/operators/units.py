@@ -1,9 +1,10 @@
 """Units of texts: tokens with character ends, sentence ends mapped to tokens, means over spans."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerroutes.functions.arrays import let
+from layerroutes.functions.hashing import uniform
 
 #: A sentence ends after . ! ? before white space or the end, after 。！？, and
 #: after a run of newlines. Written as the empty places at which such a match ends.
@@ -64,3 +65,38 @@ def last_vectors(vectors: DataFrame, ident: str, prompt: str | None = None) -> D
     """(ident, x): the vector of the last unit, or of the last where boolean ``prompt`` is true."""
     rows = vectors.where(prompt) if prompt else vectors
     return rows.groupBy(ident).agg(F.max_by("x", "pos").alias("x"))
+
+
+def drawn_positions(samples: DataFrame, ident: str, n: str, count: int, salt: str) -> DataFrame:
+    """(ident, draw, pos): exactly ``count`` positions 1 to ``n`` a sample: different ones, first in
+    a hash order, where there are so many, else draws that may repeat. Samples without positions
+    have none."""
+    draw = F.explode(F.sequence(F.lit(1), F.lit(count))).alias("draw")
+    short = samples.where(F.col(n).between(1, count - 1)).select(ident, n, draw)
+    again = short.select(ident, "draw", (1 + F.floor(uniform(f"{salt}|again", F.col(ident), F.col("draw")) * F.col(n))).cast("int").alias("pos"))
+    each = samples.where(F.col(n) >= count).select(ident, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("pos"))
+    rank = F.row_number().over(Window.partitionBy(ident).orderBy(uniform(salt, F.col(ident), F.col("pos")), "pos"))  # one sample
+    return each.withColumn("draw", rank).where(F.col("draw") <= count).select(ident, "draw", "pos").unionByName(again)
+
+
+def drawn_pairs(samples: DataFrame, ident: str, n: str, count: int, salt: str) -> DataFrame:
+    """(ident, pos): up to ``count`` different adjacent pairs (pos, pos + 1) a sample; a sample of
+    one position has none."""
+    each = samples.where(F.col(n) >= 2).select(ident, F.explode(F.sequence(F.lit(1), F.col(n).cast("int") - 1)).alias("pos"))
+    rank = F.row_number().over(Window.partitionBy(ident).orderBy(uniform(salt, F.col(ident), F.col("pos")), "pos"))  # one sample
+    return each.withColumn("_i", rank).where(F.col("_i") <= count).select(ident, "pos")
+
+
+def token_kind(t: Column, special: Column) -> Column:
+    """special, newline, whitespace, number (has a digit), text (has a letter) or symbol."""
+    kind = F.when(special, "special").when(t.contains("\n"), "newline").when(~t.rlike(r"\S"), "whitespace")
+    return kind.when(t.rlike(r"\p{Nd}"), "number").when(t.rlike(r"\p{L}"), "text").otherwise("symbol")
+
+
+def fragment_category(t: Column, special: Column) -> Column:
+    """What a piece of text is made of, white space around it aside."""
+    s = F.regexp_replace(t, r"^\s+|\s+$", "")
+    kind = F.when(special, "special_token").when(s == "", "whitespace")
+    kind = kind.when(s.rlike(r"^[+−-]?\p{Nd}+([.,]\p{Nd}+)*$"), "number_fragment").when(s.rlike(r"^[+−*/=<>^%×÷≤≥≈±]+$"), "operator_fragment")
+    kind = kind.when(s.contains("\\") | s.contains("$"), "latex_or_dollar_fragment").when(s.rlike(r"^\p{L}+$"), "alphabetic_fragment")
+    return kind.when(~s.rlike(r"[\p{L}\p{N}]"), "punctuation_fragment").otherwise("mixed_or_other_fragment")

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from layerroutes.functions.hashing import POISSON, fold, poisson, uniform
-from layerroutes.functions.stats import auroc, quantiles, running
+from layerroutes.functions.stats import auroc, place, quantiles, running
 from layerroutes.operators import monitor
 from layerroutes.plans import fixtures as fx
 from layerroutes.plans.fixtures import sql, uniform_sql
@@ -316,6 +316,15 @@ def p04_stratified(spark, d):
     return ranked.select("id", (F.col("rank") <= F.greatest(F.lit(1), F.round(0.2 * F.col("n")))).alias("held"))
 
 
+@query(f"SELECT id, i <= greatest(1, round(0.2 * n)) AS held FROM (SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY {uniform_sql('strata', 'o_orderkey')}) AS i, count(*) OVER (PARTITION BY o_orderstatus, o_orderpriority) AS n FROM orders)")
+def p04_joint_strata(spark, d):
+    """The same within the strata of two attributes together."""
+    by = ["o_orderstatus", "o_orderpriority"]
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), *by)
+    ranked = place(o, by, uniform("strata", F.col("id")), "rank").join(o.groupBy(*by).agg(F.count("*").alias("n")), by)
+    return ranked.select("id", (F.col("rank") <= F.greatest(F.lit(1), F.round(0.2 * F.col("n")))).alias("held"))
+
+
 @query(sql(f"g AS (SELECT sample, max(label) AS y, {uniform_sql('group', 'sample')} AS u FROM evt GROUP BY sample), k AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY u) AS i, count(*) OVER (PARTITION BY y) AS n FROM g) SELECT sample, token_end, CASE WHEN i <= round(n * 0.6) THEN 'train' WHEN i <= round(n * 0.8) THEN 'val' ELSE 'test' END AS part FROM k JOIN evt USING (sample)", "evt"))
 def p05_grouped(spark, d):
     e = fx.evt(spark, d)

@@ -197,6 +197,44 @@ def u14_token_kinds(spark, d):
     return words.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+_LENGTHS = "n AS (SELECT sample, max(n_tokens) AS n FROM evt GROUP BY sample)"
+
+
+@query(sql(f"{_LENGTHS}, e AS (SELECT sample, p AS pos, row_number() OVER (PARTITION BY sample ORDER BY {uniform_sql('units', chr(39) + chr(39) + ' || sample || ' + chr(39) + '|' + chr(39) + ' || p')}, p) AS draw FROM n, range(1, 1000) t(p) WHERE n >= 65 AND p <= n) SELECT sample, draw::INT AS draw, pos::INT AS pos FROM e WHERE draw <= 65 UNION ALL SELECT sample, d::INT, (1 + floor({uniform_sql('units|again', chr(39) + chr(39) + ' || sample || ' + chr(39) + '|' + chr(39) + ' || d')} * n))::INT FROM n, range(1, 66) t(d) WHERE n < 65", "evt"))
+def u11_drawn_positions(spark, d):
+    """65 positions a sample, repeated ones where it is shorter."""
+    n = fx.evt(spark, d).groupBy("sample").agg(F.max("n_tokens").alias("n"))
+    return units.drawn_positions(n, "sample", "n", 65, "units")
+
+
+@query(sql(f"{_LENGTHS}, e AS (SELECT sample, p AS pos, row_number() OVER (PARTITION BY sample ORDER BY {uniform_sql('pairs', chr(39) + chr(39) + ' || sample || ' + chr(39) + '|' + chr(39) + ' || p')}, p) AS i FROM n, range(1, 1000) t(p) WHERE p < n) SELECT sample, pos::INT AS pos FROM e WHERE i <= 5", "evt"))
+def u11_adjacent_pairs(spark, d):
+    """Five adjacent pairs of positions a sample."""
+    n = fx.evt(spark, d).groupBy("sample").agg(F.max("n_tokens").alias("n"))
+    return units.drawn_pairs(n, "sample", "n", 5, "pairs")
+
+
+_PIECE = r"k AS (SELECT token AS t, regexp_replace(token, '^\\s+|\\s+$', '', 'g') AS s, pos = 1 AS special FROM tok)"
+
+
+@query("WITH " + TOK + ", " + _PIECE + r""" SELECT kind, category, count(*) AS n FROM (SELECT CASE WHEN special THEN 'special' WHEN contains(t, chr(10)) THEN 'newline' WHEN NOT regexp_matches(t, '\S') THEN 'whitespace' WHEN regexp_matches(t, '\p{Nd}') THEN 'number' WHEN regexp_matches(t, '\p{L}') THEN 'text' ELSE 'symbol' END AS kind,
+ CASE WHEN special THEN 'special_token' WHEN s = '' THEN 'whitespace' WHEN regexp_full_match(s, '[+−-]?\p{Nd}+([.,]\p{Nd}+)*') THEN 'number_fragment' WHEN regexp_full_match(s, '[+−*/=<>^%×÷≤≥≈±]+') THEN 'operator_fragment' WHEN contains(s, chr(92)) OR contains(s, '$') THEN 'latex_or_dollar_fragment'
+ WHEN regexp_full_match(s, '\p{L}+') THEN 'alphabetic_fragment' WHEN NOT regexp_matches(s, '[\p{L}\p{N}]') THEN 'punctuation_fragment' ELSE 'mixed_or_other_fragment' END AS category FROM k) GROUP BY ALL""")
+def u14_kinds_and_fragments(spark, d):
+    """All kinds and categories; a text's first token stands for a special one."""
+    t, special = F.col("token"), F.col("pos") == 1
+    k = tokens(spark, d).select(units.token_kind(t, special).alias("kind"), units.fragment_category(t, special).alias("category"))
+    return k.groupBy("kind", "category").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH n AS (SELECT sha256({NORM}) AS sha, doc_id, quality FROM documents JOIN labels USING (doc_id)) SELECT sha, count(*) AS n, count(DISTINCT quality) > 1 AS conflict FROM n GROUP BY sha HAVING count(*) > 1")
+def u16_conflicts(spark, d):
+    """Groups of equal labelled texts, and whether their labels differ."""
+    docs = fx.table(spark, d, "documents").select("doc_id", F.sha2(norm(), 256).alias("sha")).join(fx.table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    g = docs.groupBy("sha").agg(F.count("*").alias("n"), (F.countDistinct("quality") > 1).alias("conflict"))
+    return g.where("n > 1")
+
+
 @query(sql("SELECT sample, string_agg(event_type, ',' ORDER BY token_end) AS codes FROM evt WHERE token_end > n_tokens - 16 GROUP BY sample", "evt"))
 def u15_last_window(spark, d):
     e = fx.evt(spark, d).where(F.col("token_end") > F.col("n_tokens") - 16)  # at most 16 a sample
