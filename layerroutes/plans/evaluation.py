@@ -47,6 +47,16 @@ def e03_average_precision(spark, d):
     return o.agg(r6(F.sum(F.col("pos") / F.col("p") * tp / (tp + fp)), "average_precision"), r6(F.min(F.when(tp / F.col("p") >= 0.95, fp / F.col("n"))), "fpr_at_95"))
 
 
+@query(sql(DOC + ", o AS (SELECT y, row_number() OVER (ORDER BY b DESC) AS i, count(*) OVER () AS n FROM d), c AS (SELECT k, max(n) AS n, ceil(max(n) * k / 10.0)::BIGINT AS kept, 1 - avg(y) AS risk FROM o JOIN range(1, 11) t(k) ON i <= ceil(n * k / 10.0) GROUP BY k) SELECT (k / 10.0)::DOUBLE AS coverage, kept, round(risk, 6) AS risk FROM c", "doc"))
+def e03_risk_coverage(spark, d):
+    """Share of errors among the rows of highest confidence, as more of them are kept."""
+    n = F.col("n")
+    ranked = place(scored(spark, d).select("label", "b"), [], -F.col("b"), "i")
+    ranked = ranked.join(F.broadcast(ranked.agg(F.count("*").alias("n")))).withColumn("tenth", F.explode(F.sequence(F.lit(1), F.lit(10))))  # one row
+    g = ranked.where(F.col("i") <= F.ceil(n * F.col("tenth") / 10.0)).groupBy("tenth").agg(F.count("*").alias("kept"), r6(1 - F.avg("label"), "risk"))
+    return g.select((F.col("tenth") / 10.0).alias("coverage"), "kept", "risk")
+
+
 @query(sql(DOC + ", c AS (SELECT y, b, (b >= 0.5)::INT AS h FROM d), k AS (SELECT sum(h * y)::DOUBLE tp, sum(h * (1 - y))::DOUBLE fp, sum((1 - h) * y)::DOUBLE fn, sum((1 - h) * (1 - y))::DOUBLE tn, avg((b - y) * (b - y)) AS brier, -avg(y * ln(greatest(b, 1e-15)) + (1 - y) * ln(greatest(1 - b, 1e-15))) AS log_loss, avg(y) AS prevalence FROM c) SELECT round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(prevalence, 6) AS prevalence, round(greatest(prevalence, 1 - prevalence), 6) AS majority FROM k", "doc"))
 def e04_classification(spark, d):
     y, b = F.col("label"), F.col("b")
@@ -95,6 +105,13 @@ def e10_paired_accuracy(spark, d):
     return c.agg(F.count("*").alias("n"), F.count(F.when(~F.col("ra") & F.col("rb"), 1)).alias("repairs"), F.count(F.when(F.col("ra") & ~F.col("rb"), 1)).alias("damages"), r6(F.avg(F.col("rb").cast("int")) - F.avg(F.col("ra").cast("int")), "delta"))
 
 
+@query(sql(DOC + ", c AS (SELECT doc_id, (a > 1500)::INT = y AS ra, (b >= 0.5)::INT = y AS rb FROM d) SELECT doc_id, CASE WHEN rb THEN 'repair' ELSE 'damage' END AS flip FROM c WHERE ra <> rb", "doc"))
+def e10_flips(spark, d):
+    """The rows that the second method repairs or damages."""
+    c = scored(spark, d).select("doc_id", ((F.col("a") > 1500).cast("int") == F.col("label")).alias("ra"), ((F.col("b") >= 0.5).cast("int") == F.col("label")).alias("rb"))
+    return c.where("ra <> rb").select("doc_id", F.when(F.col("rb"), "repair").otherwise("damage").alias("flip"))
+
+
 EX = "e AS (SELECT layer, i, x[i] AS v, label FROM states JOIN emb USING (row_id), range(1, 9) t(i)), g AS (SELECT layer, i, avg(v) FILTER (label = 1) AS m1, avg(v) FILTER (label = 0) AS m0, var_samp(v) FILTER (label = 1) AS v1, var_samp(v) FILTER (label = 0) AS v0, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0, corr(v, label) AS r FROM e GROUP BY ALL)"
 
 
@@ -120,12 +137,25 @@ def e12_benjamini_hochberg(spark, d):
     return k.select("layer", "i", r6(F.min(F.least(F.lit(1.0), c("p") * c("m") / c("j"))).over(w.orderBy("j").rowsBetween(0, Window.unboundedFollowing)), "q"))
 
 
+def with_adjustment(coordinates, adjustment: int):
+    """Correlations (r, n1, n0) with df, at least 1, and t after ``adjustment`` degrees of freedom."""
+    r, df = F.col("r"), F.greatest(F.col("n1") + F.col("n0") - 2 - adjustment, F.lit(1))
+    return coordinates.withColumns({"df": df, "t": r * F.sqrt(df / F.greatest(1 - r * r, F.lit(1e-15)))})
+
+
 @query(sql(EX + " SELECT layer, i, round(r, 6) AS r, round(r * sqrt((n1 + n0 - 2) / (1 - r * r)), 6) AS t FROM g", "states", "emb"))
 def e13_pearson(spark, d):
     r = F.col("r")
     return _coordinates(spark, d).select("layer", "i", r6("r"), r6(r * F.sqrt((F.col("n1") + F.col("n0") - 2) / (1 - r * r)), "t"))
 
 
+@query(sql(EX + " SELECT layer, i, round(r, 6) AS r, n1 + n0 - 5 AS df, round(r * sqrt((n1 + n0 - 5) / greatest(1 - r * r, 1e-15)), 6) AS t FROM g", "states", "emb"))
+def e13_adjusted(spark, d):
+    """The same with three degrees of freedom taken off for controls."""
+    g = with_adjustment(_coordinates(spark, d), 3)
+    return g.select("layer", "i", r6("r"), "df", r6("t"))
+
+
 @query(sql(DOC + ", r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM d) SELECT round(corr(ra, rb), 6) AS rho FROM r", "doc"))
 def e15_spearman(spark, d):
     s = scored(spark, d)
@@ -156,6 +186,15 @@ def e18_loss_windows(spark, d):
     return w.select("sample", *(r6(n) for n in part), r6(F.col("whole") - F.col("first"), "delta"))
 
 
+@query(sql("z AS (SELECT sample, avg(score) AS base, avg(score) FILTER (token_end > 1) + 20 AS zero, avg(least(score, 300)) AS x FROM evt GROUP BY sample) SELECT count(*) AS n, round(sum(zero - x) / sum(zero - base), 6) AS recovered, round(avg(x - base), 6) AS delta FROM z", "evt"))
+def e18_recovered(spark, d):
+    """How much of the loss between a baseline and no input at all a change wins back: sums over
+    samples of zero less changed, by zero less baseline."""
+    s = F.col("score")
+    z = fx.evt(spark, d).groupBy("sample").agg(F.avg(s).alias("base"), (F.avg(F.when(F.col("token_end") > 1, s)) + 20).alias("zero"), F.avg(F.least(s, F.lit(300.0))).alias("x"))
+    return z.agg(F.count("*").alias("n"), r6(F.sum(F.col("zero") - F.col("x")) / F.sum(F.col("zero") - F.col("base")), "recovered"), r6(F.avg(F.col("x") - F.col("base")), "delta"))
+
+
 @query(sql("c AS (SELECT category, sample, max(label) AS y, count(*) AS n, count(DISTINCT event_type) AS kinds FROM evt GROUP BY ALL) SELECT category, count(*) AS trajectories, CASE WHEN min(y) = 1 THEN 'all right' WHEN max(y) = 0 THEN 'all wrong' ELSE 'mixed' END AS kind, sum(n)::BIGINT AS boundaries, count(*) FILTER (n > 60) AS long FROM c GROUP BY category", "evt"))
 def e22_coverage(spark, d):
     c = fx.evt(spark, d).groupBy("category", "sample").agg(F.max("label").alias("y"), F.count("*").alias("n"))
@@ -163,6 +202,14 @@ def e22_coverage(spark, d):
     return c.groupBy("category").agg(F.count("*").alias("trajectories"), kind.alias("kind"), F.sum("n").alias("boundaries"), F.count(F.when(F.col("n") > 60, 1)).alias("long"))
 
 
+@query(sql("p AS (SELECT category, sample, string_agg(event_type, ',' ORDER BY token_end) FILTER (token_end <= 3) AS prefix, max(n_tokens) >= 60 AS cut FROM evt GROUP BY ALL) SELECT category, count(*) AS trajectories, count(DISTINCT prefix) AS prefixes, count(*) FILTER (cut) AS truncated FROM p GROUP BY category", "evt"))
+def e22_prefixes(spark, d):
+    """Different beginnings of three units per group, and trajectories of the full length."""
+    first = F.sort_array(F.collect_list(F.when(F.col("token_end") <= 3, F.struct("token_end", "event_type"))))  # three a sample
+    p = fx.evt(spark, d).groupBy("category", "sample").agg(first.alias("prefix"), (F.max("n_tokens") >= 60).alias("cut"))
+    return p.groupBy("category").agg(F.count("*").alias("trajectories"), F.countDistinct("prefix").alias("prefixes"), F.count(F.when(F.col("cut"), 1)).alias("truncated"))
+
+
 def far_sql(final: bool) -> str:
     m = "max(score)" if final else "max(score) FILTER (NOT is_final)"
     return f"t AS (SELECT sample, {m} AS m FROM evt WHERE label = 1 GROUP BY sample), f AS (SELECT coalesce(m, (SELECT min(score) - 1e-9 FROM evt)) AS m, row_number() OVER (ORDER BY coalesce(m, (SELECT min(score) - 1e-9 FROM evt))) AS i, count(*) OVER () AS n FROM t), th AS (SELECT m AS threshold FROM f WHERE i = greatest(0, n - floor(0.1 * n) - 1) + 1)"

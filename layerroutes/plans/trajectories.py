@@ -101,6 +101,14 @@ def j12_matrices(spark, d):
     return g.select("layer", *(F.col(f"{s}_{c}").alias(f"{c}_{s}") if c == "rate" else F.when(F.col(f"{s}_n") > 0, F.col(f"{s}_n")).alias(f"n_{s}") for s in range(6) for c in ("rate", "n")))
 
 
+@query(sql("SELECT layer, " + ", ".join(f"round(avg(label) FILTER (state = {s}) - (SELECT avg(label) FROM rt), 6) AS delta_{s}" for s in range(6)) + " FROM rt GROUP BY layer", "rt"))
+def j12_deltas(spark, d):
+    """Layer by state matrix of the rates less the rate of all rows."""
+    rt = fx.rt(spark, d)
+    g = rt.groupBy("layer").pivot("state", list(range(6))).agg(F.avg("label")).join(F.broadcast(rt.agg(F.avg("label").alias("base"))))  # one row
+    return g.select("layer", *(F.round(F.col(str(s)) - F.col("base"), 6).alias(f"delta_{s}") for s in range(6)))
+
+
 @query(sql("SELECT state, min(layer) AS first, max(layer) AS last, count(*) AS n, round(avg(label) - (SELECT avg(label) FROM rt), 6) AS delta, count(DISTINCT layer) >= 6 AND count(*) >= 50 AS sink FROM rt GROUP BY state", "rt"))
 def j13_life_span(spark, d):
     rt = fx.rt(spark, d)
