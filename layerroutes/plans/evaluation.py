@@ -263,11 +263,26 @@ def parsimonious(s, pct):
     return use.where(F.col("icl") <= F.col("best") + F.abs("best") * pct)
 
 
+def parsimonious_k(s, pct):
+    """(layer, k) of ``parsimonious``, and where no row of a layer has a criterion, the K of the
+    greatest silhouette (the smallest of equals)."""
+    least = parsimonious(s, pct).groupBy("layer").agg(F.min("k").alias("k"))
+    bare = s.groupBy("layer").agg(F.max("icl").alias("_icl"), F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("_k")).where("_icl is null")
+    return least.unionByName(bare.select("layer", F.col("_k").alias("k")))
+
+
 @query(sql(SC + " SELECT layer, min(k) AS k FROM (SELECT *, min(icl) OVER (PARTITION BY layer) AS best FROM use_) WHERE icl <= best + abs(best) * 0.01 GROUP BY layer", "scan"))
 def m05_parsimonious(spark, d):
     return parsimonious(fx.scan(spark, d), 0.01).groupBy("layer").agg(F.min("k").alias("k"))
 
 
+@query(sql("sc AS (SELECT * REPLACE (CASE WHEN layer % 2 = 0 THEN NULL ELSE icl END AS icl) FROM scan), " + SC.replace("FROM scan", "FROM sc") + " SELECT layer, min(k) AS k FROM (SELECT *, min(icl) OVER (PARTITION BY layer) AS best FROM use_) WHERE icl <= best + abs(best) * 0.01 GROUP BY layer UNION ALL SELECT layer, arg_max(k, (silhouette, -k)) FROM sc GROUP BY layer HAVING max(icl) IS NULL", "scan"))
+def m05_without_criterion(spark, d):
+    """The same where half of the layers have no criterion at all."""
+    s = fx.scan(spark, d)
+    return parsimonious_k(s.withColumn("icl", F.when(F.col("layer") % 2 == 1, F.col("icl"))), 0.01)
+
+
 @query(sql(SC + " SELECT layer, arg_max(k, (silhouette, -k)) AS k FROM use_ GROUP BY layer", "scan"))
 def m06_silhouette(spark, d):
     ok = F.col("stability") >= 0.40

@@ -258,6 +258,14 @@ def d11_diagnostics(spark, d):
     return top.join(near, ["row_id", "layer"]).select("row_id", "layer", F.col("o")[0]["state"].alias("posterior_state"), "nearest_state", r6(one, "confidence"), r6(one - two, "margin"), r6(F.sqrt(F.col("dist") / fx.WIDTH), "rms"), r6(-F.col("logp"), "surprise"))
 
 
+@query(sql("z AS (SELECT r.row_id, r.layer, sum(x[i] * mu[i]) / sqrt(sum(x[i] * x[i]) * sum(mu[i] * mu[i])) AS c, sqrt(sum((x[i] - mu[i]) ** 2 / (0.01 + 0.001 * r.state)) / 8) AS m FROM routes r JOIN states s USING (row_id, layer) JOIN centers k ON k.layer = r.layer AND k.state = r.state, range(1, 9) t(i) GROUP BY ALL) SELECT row_id, layer, round(acos(least(greatest(c, -1), 1)), 5) AS angle, round(m, 6) AS mahalanobis FROM z", "routes"))
+def d11_angles(spark, d):
+    """Angle of each row to its centre, and Mahalanobis distance a dimension."""
+    n = distances.nearest(fx.states(spark, d), fx.centers(spark, d))
+    c = F.least(F.greatest(A.cosine(F.col("x"), F.col("mu")), F.lit(-1.0)), F.lit(1.0))
+    return n.select("row_id", "layer", F.round(F.acos(c), 5).alias("angle"), r6(F.sqrt(F.col("dist") / (0.01 + 0.001 * F.col("state")) / fx.WIDTH), "mahalanobis"))
+
+
 @query(sql("o AS (SELECT b.layer, a.state AS a, b.state AS b, count(*) AS n FROM routes a JOIN routes b ON a.row_id = b.row_id AND b.layer = a.layer + 1 GROUP BY ALL), z AS (SELECT *, n / sqrt(sum(n) OVER (PARTITION BY layer, a) * sum(n) OVER (PARTITION BY layer, b)) AS s FROM o) SELECT layer, a, b, n, round(s, 6) AS sim FROM z", "routes"))
 def a04_shared_members(spark, d):
     """Overlap of the states of consecutive layers, over the geometric mean of their sizes."""

@@ -90,12 +90,27 @@ def s11_sample_table(spark, d):
     return meta.join(S.keep_last(c.select("conv_id", "turn", "role"), ["conv_id"], F.col("turn")), "conv_id", "left").select("conv_id", "turn", "role", "turns")
 
 
+@query("SELECT d.doc_id, lang, coalesce(quality, 0)::INT AS label FROM documents d LEFT JOIN labels USING (doc_id)")
+def s11_coalesced_labels(spark, d):
+    """Labels from the first column that is there; 0 where none is known."""
+    rows = fx.table(spark, d, "documents").select("doc_id", "lang").join(fx.table(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", "lang", S.coalesced_label(rows, ("is_correct", "quality", "toxic")).alias("label"))
+
+
 @query("WITH s AS (SELECT o_orderkey, o_totalprice::DOUBLE AS price FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 AND " + uniform_sql("select", "o_orderkey") + " < 0.5), h AS (SELECT * FROM s ORDER BY o_orderkey LIMIT 200) SELECT * FROM h ORDER BY o_orderkey DESC LIMIT 50")
 def s12_selection(spark, d):
     s = fx.table(spark, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 100000").where(uniform("select", F.col("o_orderkey")) < 0.5)
     return s.orderBy("o_orderkey").limit(200).orderBy(F.desc("o_orderkey")).limit(50).select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
 
 
+@query("WITH s AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice > 50000 AND " + uniform_sql("select", "o_orderkey") + " < 0.6), h AS (SELECT * FROM s ORDER BY o_orderkey LIMIT 300) SELECT * FROM h ORDER BY o_orderkey DESC LIMIT 80")
+def s12_by_ids(spark, d):
+    """Sample ids from a table, item ids from a list, then predicate, share, head and tail."""
+    own = fx.table(spark, d, "customer").where("c_nationkey < 12").select("c_custkey")
+    s = S.selection(fx.table(spark, d, "orders"), "o_orderkey", ["1-URGENT", "2-HIGH"], "o_orderpriority", own, "o_custkey", "o_totalprice > 50000", 0.6, "select", 300, 80)
+    return s.select("o_orderkey", "o_custkey")
+
+
 @query("SELECT l.l_orderkey, l_partkey, o.o_orderkey AS sample__o_orderkey, o.o_custkey AS sample__o_custkey FROM lineitem l JOIN (SELECT DISTINCT o_orderkey, o_custkey FROM orders) o ON o_orderkey = l_orderkey WHERE l_quantity > 45")
 def s13_view(spark, d):
     samples = fx.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").distinct()

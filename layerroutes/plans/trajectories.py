@@ -191,6 +191,15 @@ def j22_weighted_profile(spark, d):
     return o.groupBy("state").agg(r6(w, "weight"), r6(F.sum(F.col("w") * F.col("y")) / w, "label_rate"), r6(F.sum(F.col("w") * F.col("len")) / w, "mean_length"))
 
 
+@query(sql("o AS (SELECT sample, event_type AS state, count(*) / max(n_tokens) AS w FROM evt GROUP BY ALL), m AS (SELECT sample, avg(entropy) AS e FROM evt GROUP BY sample) SELECT state, round(sum(w * e) / sum(w), 6) AS mean_entropy FROM o JOIN m USING (sample) GROUP BY state", "evt"))
+def j22_weighted_entropy(spark, d):
+    """Mean entropy of the samples, weighted by how much of each a state takes."""
+    e = fx.evt(spark, d)
+    o = e.groupBy("sample", F.col("event_type").alias("state")).agg((F.count("*") / F.max("n_tokens")).alias("w"))
+    o = o.join(e.groupBy("sample").agg(F.avg("entropy").alias("e")), "sample")
+    return o.groupBy("state").agg(r6(F.sum(F.col("w") * F.col("e")) / F.sum("w"), "mean_entropy"))
+
+
 H = "sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END)"
 
 
@@ -240,3 +249,14 @@ def i05_anova(spark, d):
     t = g.groupBy("layer", "i").agg(F.sum("n").alias("tn"), (F.sum("s") / F.sum("n")).alias("gm"), (F.sum("q") - F.sum("s") * F.sum("s") / F.sum("n")).alias("total"))
     b = g.join(t.select("layer", "i", "gm"), ["layer", "i"]).groupBy("layer").agg(F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("gm")) ** 2).alias("b"), F.countDistinct("state").alias("k"))
     return t.groupBy("layer").agg(F.sum("total").alias("total"), F.max("tn").alias("n")).join(b, "layer").select("layer", r6(F.col("b") / F.col("total"), "between_share"), r6((F.col("k") - 1) / (F.col("n") - 1), "chance_share"))
+
+
+@query(sql("e AS (SELECT r.layer, r.state, i, s.x[i] AS v FROM routes r JOIN states s USING (row_id, layer), range(1, 9) t(i)), w AS (SELECT layer, state, i, count(*) AS n, var_pop(v) AS v FROM e GROUP BY ALL), a AS (SELECT layer, sum(v) AS total FROM (SELECT layer, i, var_pop(v) AS v FROM e GROUP BY ALL) GROUP BY layer), b AS (SELECT layer, sum(n * v) / (sum(n) / 8) AS within FROM w GROUP BY layer), p AS (SELECT layer, n / sum(n) OVER (PARTITION BY layer) AS p FROM (SELECT layer, state, count(*) AS n FROM routes GROUP BY ALL)), h AS (SELECT layer, -sum(p * ln(p)) AS h FROM p GROUP BY layer) SELECT layer, round(within, 6) AS within, round(total - within, 6) AS between, round(h, 6) AS entropy FROM a JOIN b USING (layer) JOIN h USING (layer)", "routes"))
+def i05_partition(spark, d):
+    """Variance within and between states, summed over coordinates, and entropy of occupancy."""
+    e = fx.routes(spark, d).join(fx.states(spark, d), ["row_id", "layer"]).select("layer", "state", F.posexplode("x").alias("i", "v"))
+    g = e.groupBy("layer", "state", "i").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("v"))
+    n, m = F.col("n"), F.col("m")
+    t = g.groupBy("layer", "i").agg((F.sum(n * F.col("v")) / F.sum(n)).alias("w"), (F.sum(n * m * m) / F.sum(n) - F.pow(F.sum(n * m) / F.sum(n), 2)).alias("b"))
+    occupied = g.where("i = 0").groupBy("layer").agg((F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)).alias("entropy"))
+    return t.groupBy("layer").agg(r6(F.sum("w"), "within"), r6(F.sum("b"), "between")).join(occupied, "layer").select("layer", "within", "between", r6("entropy"))

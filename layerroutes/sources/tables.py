@@ -5,6 +5,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from layerroutes.functions.hashing import uniform
+
 
 def layer_ids(asked: list[int], n_layers: int) -> list[int]:
     """Layer ids from the asked ones; negative ones count from the end."""
@@ -22,6 +24,30 @@ def with_labels(samples: DataFrame, labels: DataFrame, key: str, label: str) ->
     return samples.join(checked, key, "left")
 
 
+def coalesced_label(rows: DataFrame, names: tuple[str, ...] = ("is_correct", "label")) -> Column:
+    """The first of the columns ``names`` that ``rows`` has, as 0 or 1; null, or no such column, is 0."""
+    found = next((c for c in names if c in rows.columns), None)
+    return F.lit(0) if found is None else F.coalesce(F.col(found).cast("int"), F.lit(0))
+
+
+def selection(rows: DataFrame, order: str, item_ids=None, item: str = "item_id", sample_ids=None, sample: str = "sample_id", predicate: str | None = None, frac: float | None = None, seed: str = "select", head: int | None = None, tail: int | None = None) -> DataFrame:
+    """Rows chosen, in this order, by item ids, sample ids, a predicate, a hash share of ``order``,
+    the first ``head`` and then the last ``tail`` rows by ``order``. Ids are a list or a frame
+    of one column, which is joined, so that it may be of any length."""
+    for ids, c in ((item_ids, item), (sample_ids, sample)):
+        if isinstance(ids, DataFrame):
+            rows = rows.join(ids.toDF(c), c, "left_semi")
+        elif ids is not None:
+            rows = rows.where(F.col(c).isin(list(ids)))
+    if predicate:
+        rows = rows.where(predicate)
+    if frac is not None:
+        rows = rows.where(uniform(seed, F.col(order)) < frac)
+    if head is not None:
+        rows = rows.orderBy(order).limit(head)
+    return rows if tail is None else rows.orderBy(F.desc(order)).limit(tail)
+
+
 def violations(units: DataFrame) -> DataFrame:
     """Counts per rule of the row contract: ids, token_end within 1 and n_tokens, one row per
     unit, one n_tokens per sample, boundaries that rise and end at n_tokens."""
