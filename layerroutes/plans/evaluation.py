@@ -237,6 +237,29 @@ def w04_metrics(spark, d):
     return m.select("n", *(r6(c) for c in ("far", "detected", "early", "saved", "saved_all", "coverage", "half_coverage")))
 
 
+_CASE_U = uniform_sql("cases", "rep || '|' || sample")
+
+
+@query(sql(CASES + f", b AS (SELECT *, {_CASE_U} AS u FROM k, range(100) t(rep)), w AS (SELECT *, {POISSON_SQL} AS w FROM b), m AS (SELECT rep, sum(w * alarm) FILTER (label = 1) / sum(w) FILTER (label = 1) AS far, sum(w * alarm) FILTER (label = 0) / sum(w) FILTER (label = 0) AS det, sum(w * coalesce(1 - fe / n, 0)) FILTER (label = 0) / sum(w) FILTER (label = 0) AS saved FROM w GROUP BY rep) SELECT round(quantile_cont(far, 0.025), 6) AS far_low, round(quantile_cont(far, 0.975), 6) AS far_high, round(quantile_cont(det, 0.025), 6) AS detected_low, round(quantile_cont(det, 0.975), 6) AS detected_high, round(quantile_cont(saved, 0.025), 6) AS saved_low, round(quantile_cont(saved, 0.975), 6) AS saved_high FROM m", "evt"))
+def w04_group_bootstrap(spark, d):
+    """Percentiles of the pooled ratios over 100 replicates, in which a whole response counts as
+    often as a Poisson draw says. Weights of all replicates are summed beside each other."""
+    e = fx.evt(spark, d)
+    c = monitor.cases(e.join(monitor.far_threshold(e, 0.1, final=False)), F.col("threshold"), final=False)
+    x = c.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("w", poisson(uniform("cases", F.col("rep"), F.col("sample"))))
+    ratio = lambda v, y: F.sum(F.when(F.col("label") == y, F.col("w") * v)) / F.sum(F.when(F.col("label") == y, F.col("w")))
+    m = x.groupBy("rep").agg(ratio(F.col("alarm"), 1).alias("far"), ratio(F.col("alarm"), 0).alias("detected"), ratio(F.col("saved"), 0).alias("saved"))
+    return m.agg(*(r6(F.percentile(v, F.lit(q)), f"{v}_{n}") for v in ("far", "detected", "saved") for n, q in (("low", 0.025), ("high", 0.975))))  # a row a replicate
+
+
+@query(sql(CASES + " SELECT fe AS token_end, count(*) AS responses, count(*) FILTER (label = 1) AS false_alarms FROM k WHERE fe IS NOT NULL GROUP BY fe", "evt"))
+def w04_first_boundaries(spark, d):
+    """At which boundary responses raise their first alarm."""
+    e = fx.evt(spark, d)
+    c = monitor.cases(e.join(monitor.far_threshold(e, 0.1, final=False)), F.col("threshold"), final=False).where("first_early is not null")
+    return c.groupBy(F.col("first_early").alias("token_end")).agg(F.count("*").alias("responses"), F.count(F.when(F.col("label") == 1, 1)).alias("false_alarms"))
+
+
 @query(sql("b AS (SELECT sample, n_tokens, unnest([10, 20, 40]) AS pos FROM evt WHERE token_end = 1), s AS (SELECT b.sample, pos, n_tokens, score FROM b LEFT JOIN evt e ON e.sample = b.sample AND e.token_end = pos), f AS (SELECT sample, max(n_tokens) AS n, min(pos) FILTER (score > 400) AS first, count(score) AS present FROM s GROUP BY sample) SELECT sample, first, present, greatest(coalesce(n - first, 0), 0)::BIGINT AS saved FROM f".replace("n_tokens, unnest", "max(n_tokens) OVER (PARTITION BY sample) AS n_tokens, unnest").replace("s AS (SELECT b.sample, pos, n_tokens", "s AS (SELECT b.sample, pos, b.n_tokens"), "evt"))
 def w03_fixed_boundaries(spark, d):
     e = fx.evt(spark, d).where(F.col("token_end").isin(1, 10, 20, 40))
