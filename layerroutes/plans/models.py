@@ -124,7 +124,7 @@ def c08_global_step(spark, d):
 def c08_global_control(spark, d):
     """A mixture fitted to all layers stacked, and the layer purity of its states."""
     s = fx.states(spark, d)
-    f = M.best(M.fit(s, [M.Fit(None, 6, start) for start in range(2)]))[None]
+    f = M.best(M.fit(s, [M.Fit(None, 6, start) for start in range(2)], tolerance=1e-4))[None]
     return _purity(M.posterior(s, [f]))
 
 
@@ -182,5 +182,5 @@ def l19_boosted(spark, d):
 @query()
 def m04_scan_grid(spark, d):
     """Criteria, silhouette and stability of converged mixtures, a row a layer and K."""
-    t = scan.scan(fx.states(spark, d), [2, 3, 4, 1_000_000_000])
+    t = scan.scan(fx.states(spark, d), [2, 3, 4, 1_000_000_000], iterations=40, tolerance=1e-4)
     return t.select("layer", "k", "n_samples", F.round("bic", 2).alias("bic"), F.round("icl", 2).alias("icl"), F.round("silhouette", 4).alias("silhouette"), F.round("stability", 4).alias("stability"), "converged", "failed")
