@@ -73,21 +73,21 @@ def _report(spark, fits):
 
 @query()
 def c02_mixture(spark, d):
-    """Mixtures of four components a layer to convergence, the best of three starts."""
-    return _report(spark, M.best(M.fit(fx.states(spark, d), [M.Fit(layer, 4, s) for layer in range(fx.LAYERS) for s in range(3)], regular=M.adaptive())).values())
+    """Mixtures of four components a layer, the best of three starts, at most 60 steps here."""
+    return _report(spark, M.best(M.fit(fx.states(spark, d), [M.Fit(layer, 4, s) for layer in range(fx.LAYERS) for s in range(3)], 60, 1e-4, M.adaptive())).values())
 
 
 @query()
 def c04_full_mixture(spark, d):
     """The same with full and tied covariances."""
-    fits = M.fit(fx.states(spark, d), [M.Fit(layer, 3, s, kind) for layer in range(fx.LAYERS) for kind in ("full", "tied") for s in range(2)], iterations=60, regular=M.additive(1e-4))
+    fits = M.fit(fx.states(spark, d), [M.Fit(layer, 3, s, kind) for layer in range(fx.LAYERS) for kind in ("full", "tied") for s in range(2)], 30, 1e-3, M.additive(1e-4))
     return _report(spark, M.best(fits, lambda f: (f.layer, f.kind)).values())
 
 
 @query()
 def c01_kmeans(spark, d):
     """k-means to convergence, the best of three starts: inertia is minus score times rows."""
-    return _report(spark, M.best(M.fit(fx.states(spark, d), [M.Fit(layer, 5, s, "kmeans") for layer in range(fx.LAYERS) for s in range(3)], tolerance=1e-9)).values())
+    return _report(spark, M.best(M.fit(fx.states(spark, d), [M.Fit(layer, 5, s, "kmeans") for layer in range(fx.LAYERS) for s in range(3)], 60, 1e-6)).values())
 
 
 @query()
