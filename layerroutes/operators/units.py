@@ -36,10 +36,11 @@ def sentence_ends(docs: DataFrame, tokens: DataFrame, ident: str, text: str = "t
     after it, and the last token; each once. Tokens without characters end no sentence.
 
     Marks and token ends of a text are one stream sorted by place, tokens after marks; a mark
-    takes the next token, a running minimum from behind. No mark meets more than its text."""
+    takes the next token, a running minimum over the stream from its end on, so that each row is
+    met once. No mark meets more than its text."""
     at = tokens.where(F.length("token") > 0).select(ident, F.col("char_end").alias("place"), F.lit(1).alias("kind"), "pos")
     marks = match_ends(docs, ident, text).select(ident, F.col("end").alias("place"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("pos"))
-    w = Window.partitionBy(ident).orderBy("place", "kind").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(ident).orderBy(F.desc("place"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
     near = at.unionByName(marks).withColumn("token_end", F.min("pos").over(w)).where("kind = 0 and token_end is not null")
     last = tokens.groupBy(ident).agg(F.max("pos").alias("token_end"))
     return near.select(ident, "token_end").unionByName(last).distinct()
@@ -53,7 +54,7 @@ def span_means(vectors: DataFrame, ends: DataFrame, ident: str) -> DataFrame:
     groups and their sums combine before they are shuffled."""
     rows = vectors.select(ident, "pos", F.lit(0).alias("kind"), "x")
     stops = ends.select(ident, F.col("token_end").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast(vectors.schema["x"].dataType).alias("x"))
-    w = Window.partitionBy(ident).orderBy("pos", "kind").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(ident).orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)  # from the end on
     stop = F.min(F.when(F.col("kind") == 1, F.col("pos"))).over(w)
     each = rows.unionByName(stops).withColumn("token_end", stop).where("kind = 0 and token_end is not null")
     sums = each.select(ident, "token_end", F.posexplode("x").alias("i", "v")).groupBy(ident, "token_end", "i").agg(F.avg("v").alias("v"), F.count("*").alias("n"))

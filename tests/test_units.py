@@ -53,3 +53,17 @@ def test_last_vectors(spark):
     df = spark.createDataFrame([(1, 1, [1.0], True), (1, 2, [2.0], True), (1, 3, [3.0], False), (2, 1, [4.0], True)], "s int, pos int, x array<double>, prompt boolean")
     assert {(r.s, r.x[0]) for r in units.last_vectors(df, "s", "prompt").collect()} == {(1, 2.0), (2, 4.0)}
     assert {(r.s, r.x[0]) for r in units.last_vectors(df, "s").collect()} == {(1, 3.0), (2, 4.0)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ends_and_spans_meet_each_row_of_a_text_once(spark):
+    """A frame up to the end of the text is summed anew for each row: the square of a long text."""
+    docs = spark.createDataFrame([(1, "a b. " * 3000)], "doc_id long, text string")
+    tokens = units.spaced_tokens(docs, "doc_id")
+    ends = units.sentence_ends(docs, tokens, "doc_id")
+    spans = units.span_means(tokens.select("doc_id", "pos", F.array(F.lit(1.0)).alias("x")), ends, "doc_id")
+    assert "unboundedfollowing" not in plan_of(spans).lower()
+    assert spans.where("n = 2").count() == 3000
