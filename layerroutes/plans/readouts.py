@@ -44,8 +44,9 @@ def s18_case_export(spark, d):
 
 @query("WITH " + TOK + " SELECT doc_id, pos AS token_end, count(*) OVER w AS n_tokens, pos = count(*) OVER w AS is_final FROM tok WINDOW w AS (PARTITION BY doc_id)")
 def u05_token_units(spark, d):
-    words = F.split("text", " ", -1)
-    t = fx.table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.posexplode(words).alias("p", "token"))
+    """Each token's place, with the size of its text, which is told once a text."""
+    words = fx.table(spark, d, "documents").select("doc_id", F.split("text", " ", -1).alias("words"))
+    t = words.select("doc_id", F.size("words").cast("long").alias("n_tokens"), "words").select("doc_id", "n_tokens", F.posexplode("words").alias("p", "token"))
     return t.select("doc_id", (F.col("p") + 1).alias("token_end"), "n_tokens", (F.col("p") + 1 == F.col("n_tokens")).alias("is_final"))
 
 

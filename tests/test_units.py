@@ -67,3 +67,15 @@ def test_ends_and_spans_meet_each_row_of_a_text_once(spark):
     spans = units.span_means(tokens.select("doc_id", "pos", F.array(F.lit(1.0)).alias("x")), ends, "doc_id")
     assert "unboundedfollowing" not in plan_of(spans).lower()
     assert spans.where("n = 2").count() == 3000
+
+
+def test_token_units_split_a_text_once(spark, tmp_path):
+    from layerroutes.plans.catalog import QUERIES
+
+    rows = [(1, "a b  c"), (2, ""), (3, None), (4, "x " * 5000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["u05_token_units"](spark, str(tmp_path))
+    assert "split(" not in plan_of(df).split("Generate")[0]
+    got = sorted(tuple(x) for x in df.where("doc_id < 4").select("doc_id", "token_end", "n_tokens", "is_final").collect())
+    assert got == [(1, 1, 4, False), (1, 2, 4, False), (1, 3, 4, False), (1, 4, 4, True), (2, 1, 1, True)]
+    assert df.where("doc_id = 4 and n_tokens = 5001").count() == 5001
