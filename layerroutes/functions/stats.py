@@ -125,18 +125,19 @@ def adjusted_information(df: DataFrame, a: str, b: str, by: list[str] | None = N
     total = cells.groupBy(*by).agg(F.sum("m").alias("n"))
     with_n = (lambda t: t.join(total, by)) if by else (lambda t: t.join(F.broadcast(total)))  # one row
     m, x, y, n, k = (F.col(c) for c in "mxynk")
-    mi = with_n(cells.join(left, [*by, a]).join(right, [*by, b])).groupBy(*by).agg(F.sum(m / n * F.log(n * m / (x * y))).alias("mi"), F.max("n").alias("n"))
+    mi = with_n(cells.join(left, [*by, a]).join(right, [*by, b])).groupBy(*by).agg(F.sum(m / n * F.log(n.cast("double") * m / (x.cast("double") * y))).alias("mi"), F.max("n").alias("n"))
     entropy = lambda t, c, name: with_n(t).groupBy(*by).agg(F.sum(-F.col(c) / n * F.log(F.col(c) / n)).alias(name), F.count("*").alias(f"{name}_k"))
     margins = lambda t, c: t.groupBy(*by, c).agg(F.count("*").alias(f"n{c}"))
     pairs = margins(left, "x").join(margins(right, "y"), by) if by else margins(left, "x").crossJoin(margins(right, "y"))  # distinct margins
-    mean, var = x * y / n, x * y * (n - x) * (n - y) / (n * n * F.greatest(n - 1, F.lit(1)))
+    real = lambda c: c.cast("double")  # noqa: E731 - products of four counts leave the long ones
+    mean, var = real(x) * y / n, real(x) * y * (n - x) * (n - y) / (real(n) * n * F.greatest(n - 1, F.lit(1)))
     far = 12 * F.sqrt(var) + 12
     low = F.greatest(F.lit(1), x + y - n, F.floor(mean - far)).cast("long")
     high = F.least(x, y, F.ceil(mean + far)).cast("long")
     terms = with_n(pairs).withColumn("k", F.explode(F.sequence(low, F.greatest(low, high)))).where(k <= F.least(x, y))
     choose = lambda p, q: log_factorial(p) - log_factorial(q) - log_factorial(p - q)
     chance = F.exp(choose(y, k) + choose(n - y, x - k) - choose(n, x))
-    expected = terms.groupBy(*by).agg(F.sum(F.col("nx") * F.col("ny") * chance * k / n * F.log(n * k / (x * y))).alias("expected"))
+    expected = terms.groupBy(*by).agg(F.sum(real(F.col("nx")) * F.col("ny") * chance * k / n * F.log(real(n) * k / (real(x) * y))).alias("expected"))
     parts = [mi, expected, entropy(left, "x", "ha"), entropy(right, "y", "hb")]
     out = parts[0]
     for p in parts[1:]:

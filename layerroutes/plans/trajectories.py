@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from layerroutes.functions.arrays import signed_round
 from layerroutes.functions.hashing import uniform
 from layerroutes.functions.stats import adjusted_information, entropy_bits, quantiles, rand_index, wilson
 from layerroutes.operators import routes as R
@@ -239,7 +240,7 @@ SELECT round(mi, 7) AS mi, round(e, 7) AS expected, round((mi - e) / ((ha + hb)
 def i04_adjusted_information(spark, d):
     """Mutual information adjusted for chance."""
     out = adjusted_information(fx.table(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
-    return out.select(F.round("mi", 7).alias("mi"), F.round("expected", 7).alias("expected"), F.round("ami", 6).alias("ami"))
+    return out.select(F.round("mi", 7).alias("mi"), F.round("expected", 7).alias("expected"), signed_round(F.col("ami")).alias("ami"))
 
 
 @query(sql("e AS (SELECT r.layer, r.state, i, s.x[i] AS v FROM routes r JOIN states s USING (row_id, layer), range(1, 9) t(i)), g AS (SELECT layer, state, i, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL), t AS (SELECT layer, i, avg(v) AS gm, sum(v * v) - count(*) * avg(v) * avg(v) AS total, count(*) AS n FROM e GROUP BY ALL), b AS (SELECT g.layer, sum(g.n * (m - gm) * (m - gm)) AS b, count(DISTINCT state) AS k FROM g JOIN t USING (layer, i) GROUP BY g.layer) SELECT b.layer, round(b / sum(total), 6) AS between_share, round((k - 1) / (max(n) - 1), 6) AS chance_share FROM b JOIN t USING (layer) GROUP BY b.layer, b, k", "routes"))

@@ -103,3 +103,14 @@ def test_suffix_exchange_keeps_edges_and_folds(spark):
     assert moved > 150 and all(got[i][0] == z[i][0] and got[i][1] == z[i][1] for i in z)
     again = {(x.row_id, x.layer): x.state for x in nulls.suffixes_exchanged(routes.repartition(7), folds, "test").collect()}
     assert all(again[i, k] == v for i, g in got.items() for k, v in g.items())
+
+
+def test_adjusted_information_of_millions_of_rows(spark):
+    """Products of four counts pass the range of long numbers."""
+    cells = [("a", "x", 1_500_000), ("a", "y", 1_500_000), ("b", "x", 1_000_000), ("b", "y", 2_000_000)]
+    df = spark.createDataFrame(cells, "a string, b string, n int").select("a", "b", F.explode(F.sequence(F.lit(1), "n")))
+    row = stats.adjusted_information(df, "a", "b").first()
+    n = 6e6
+    mi = sum(m / n * math.log(m * n / (3e6 * y)) for m, y in ((1.5e6, 2.5e6), (1.5e6, 3.5e6), (1e6, 2.5e6), (2e6, 3.5e6)))
+    assert row.mi == pytest.approx(mi, rel=1e-9)
+    assert row.expected == pytest.approx(1 / (2 * n), rel=1e-3)  # (rows - 1)(columns - 1) / 2n
