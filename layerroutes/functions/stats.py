@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerroutes.functions.arrays import let
+from layerroutes.sources.scratch import cut as stored
 
 QUANTILES, PARTS = 32, 32
 
@@ -14,13 +15,16 @@ def running(df: DataFrame, by: list[str], order: str, cols: dict[str, str], desc
     at or before this one in the order, within ``by``. The order is cut at approximate quantiles
     and each stretch between them into equal parts, so that neither an outlier nor a dense spot
     puts most rows into one; a part has a window of its own, and parts have theirs over one row
-    each."""
-    keys = [F.lit(1).alias("_all")] if not by else []
-    work = df.withColumn("_all", F.lit(1)) if keys else df
+    each.
+
+    Rows are read three times, so they are stored once. The cuts are stored too: approximate
+    quantiles depend on the order in which their parts arrive, and offsets and rows must have the
+    same ones."""
+    work = stored(df if by else df.withColumn("_all", F.lit(1)))
     by_ = by or ["_all"]
     v = F.col(order).cast("double")
     cuts = F.percentile_approx(v, [i / QUANTILES for i in range(1, QUANTILES)], 1000)
-    ends = work.groupBy(*by_).agg(F.concat(F.array(F.min(v)), cuts, F.array(F.max(v))).alias("_ends"))
+    ends = stored(work.groupBy(*by_).agg(F.concat(F.array(F.min(v)), cuts, F.array(F.max(v))).alias("_ends")))
     at = F.size(F.filter(F.slice("_ends", 2, QUANTILES - 1), lambda c: c < v))
     lo, hi = F.get("_ends", F.col("_q")), F.get("_ends", F.col("_q") + 1)
     part = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * PARTS), F.lit(PARTS - 1))).otherwise(0)

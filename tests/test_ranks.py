@@ -114,3 +114,12 @@ def test_adjusted_information_of_millions_of_rows(spark):
     mi = sum(m / n * math.log(m * n / (3e6 * y)) for m, y in ((1.5e6, 2.5e6), (1.5e6, 3.5e6), (1e6, 2.5e6), (2e6, 3.5e6)))
     assert row.mi == pytest.approx(mi, rel=1e-9)
     assert row.expected == pytest.approx(1 / (2 * n), rel=1e-3)  # (rows - 1)(columns - 1) / 2n
+
+
+def test_running_cuts_are_drawn_once(spark):
+    """Approximate quantiles depend on the order in which parts arrive, so a plan that draws them
+    for the offsets and again for the rows may cut differently and sum wrongly."""
+    df = spark.range(5000).select((F.xxhash64("id") % 997).cast("double").alias("v"), F.lit(1).alias("one"), (F.col("id") % 2).alias("g"))
+    for by in ([], ["g"]):
+        plan = stats.running(df, by, "v", {"n": "one"})._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile_approx" not in plan
