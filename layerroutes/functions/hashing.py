@@ -1,5 +1,7 @@
 """Randomness by hash: results depend on ids and salts, never on partitioning."""
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +26,11 @@ def fold(salt: str, group: Column, k: int) -> Column:
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402)
 
 
-def poisson(u: Column) -> Column:
-    """A Poisson draw with mean 1 from a uniform one."""
-    return sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
+def poisson(salt: str, *ids: Column) -> Column:
+    """A Poisson draw with mean 1: how many steps of the distribution function ``uniform`` reaches.
+    The hash's digits are compared as text with those of each step."""
+    digits = F.substring(F.sha2(F.concat_ws("|", F.lit(salt), *(i.cast("string") for i in ids)), 256), 1, 13)
+    return sum(((digits >= F.lit(f"{math.ceil(c * 2.0**52):013x}")).cast("int") for c in POISSON), F.lit(0))
 
 
 def normal(salt: str, *ids: Column) -> Column:

@@ -83,10 +83,10 @@ def e06_macro_auroc(spark, d):
 @query(sql(f"b AS (SELECT *, {uniform_sql('boot', chr(39) + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || doc_id')} AS u FROM doc, range(200) t(rep)), d AS (SELECT a AS s, label AS y, rep, {POISSON_SQL} AS w FROM b), {auc_sql('d', 'rep', 'w')}, a AS (SELECT rep, {AUC} AS a FROM o GROUP BY rep) SELECT round(avg(a), 6) AS mean, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.975), 6) AS high FROM a", "doc"))
 def e08_bootstrap_auroc(spark, d):
     """200 replicates in which each row counts as often as a Poisson draw says: the bootstrap
-    whose draws need no common total, so that rows never meet."""
+    whose draws need no common total, so that rows never meet. Rows drawn 0 times stay in with
+    weight 0: a filter on the draw would hash each of them again for every step of it."""
     x = fx.doc(spark, d).select("doc_id", "a", "label", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep"))
-    w = poisson(uniform("boot", F.col("rep"), F.col("doc_id")))
-    a = auroc(x.withColumn("w", w).where("w > 0"), "a", "label", ["rep"], weight=F.col("w"))
+    a = auroc(x.withColumn("w", poisson("boot", F.col("rep"), F.col("doc_id"))), "a", "label", ["rep"], weight=F.col("w"))
     return a.agg(r6(F.avg("auroc"), "mean"), r6(F.percentile("auroc", F.lit(0.025)), "low"), r6(F.percentile("auroc", F.lit(0.975)), "high"))
 
 
@@ -246,7 +246,7 @@ def w04_group_bootstrap(spark, d):
     often as a Poisson draw says. Weights of all replicates are summed beside each other."""
     e = fx.evt(spark, d)
     c = monitor.cases(e.join(monitor.far_threshold(e, 0.1, final=False)), F.col("threshold"), final=False)
-    x = c.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("w", poisson(uniform("cases", F.col("rep"), F.col("sample"))))
+    x = c.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("w", poisson("cases", F.col("rep"), F.col("sample")))
     ratio = lambda v, y: F.sum(F.when(F.col("label") == y, F.col("w") * v)) / F.sum(F.when(F.col("label") == y, F.col("w")))
     m = x.groupBy("rep").agg(ratio(F.col("alarm"), 1).alias("far"), ratio(F.col("alarm"), 0).alias("detected"), ratio(F.col("saved"), 0).alias("saved"))
     return m.agg(*(r6(F.percentile(v, F.lit(q)), f"{v}_{n}") for v in ("far", "detected", "saved") for n, q in (("low", 0.025), ("high", 0.975))))  # a row a replicate

@@ -325,12 +325,15 @@ _GROUPS = uniform_sql("groups", "rep || '|' || (doc_id % 40)")
 
 @query(sql(f"w AS (SELECT *, least(greatest(a / 4000, 0.01), 0.99) AS p, {POISSON_SQL} AS w FROM (SELECT a, label, rep, {_GROUPS} AS u FROM doc, range(100) t(rep))), s AS (SELECT rep, a, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM w GROUP BY ALL), o AS (SELECT *, sum(neg) OVER (PARTITION BY rep ORDER BY a) AS below FROM s), r AS (SELECT rep, sum(pos * (below - 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM o GROUP BY rep), l AS (SELECT rep, sum(w * (p - label) * (p - label)) / sum(w) AS brier, -sum(w * (label * ln(p) + (1 - label) * ln(1 - p))) / sum(w) AS log_loss FROM w GROUP BY rep), m AS (SELECT * FROM r JOIN l USING (rep)) SELECT round(quantile_cont(auc, 0.025), 6) AS auc_low, round(quantile_cont(auc, 0.975), 6) AS auc_high, round(quantile_cont(brier, 0.025), 6) AS brier_low, round(quantile_cont(brier, 0.975), 6) AS brier_high, round(quantile_cont(log_loss, 0.025), 6) AS loss_low, round(quantile_cont(log_loss, 0.975), 6) AS loss_high FROM m", "doc"))
 def e07_cluster_bootstrap(spark, d):
-    """100 replicates in which whole groups count as often as a Poisson draw says."""
-    x = fx.doc(spark, d).select("a", "label", (F.col("doc_id") % 40).alias("g"), F.least(F.greatest(F.col("a") / 4000, F.lit(0.01)), F.lit(0.99)).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("rep"))
-    x = x.withColumn("w", poisson(uniform("groups", F.col("rep"), F.col("g")))).where("w > 0")
+    """100 replicates in which whole groups count as often as a Poisson draw says. A draw is
+    made once a group, not a row; losses are summed by group before they are weighted."""
+    x = fx.doc(spark, d).select("a", "label", (F.col("doc_id") % 40).alias("g"), F.least(F.greatest(F.col("a") / 4000, F.lit(0.01)), F.lit(0.99)).alias("p"))
+    drawn = F.broadcast(x.select("g").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("w", poisson("groups", F.col("rep"), F.col("g"))))  # 40 groups
     p, y, w = F.col("p"), F.col("label"), F.col("w")
-    loss = x.groupBy("rep").agg((F.sum(w * (p - y) * (p - y)) / F.sum(w)).alias("brier"), (-F.sum(w * (y * F.log(p) + (1 - y) * F.log(1 - p))) / F.sum(w)).alias("log_loss"))
-    m = auroc(x, "a", "label", ["rep"], weight=w).select("rep", F.col("auroc").alias("auc")).join(loss, "rep")
+    sums = x.groupBy("g").agg(F.count("*").alias("n"), F.sum((p - y) * (p - y)).alias("b"), (-F.sum(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("l"))
+    loss = sums.join(drawn, "g").groupBy("rep").agg(*((F.sum(w * F.col(c)) / F.nullif(F.sum(w * F.col("n")), F.lit(0))).alias(n) for c, n in (("b", "brier"), ("l", "log_loss"))))
+    counts = x.groupBy("a", "label", "g").agg(F.count("*").alias("c")).join(drawn, "g")
+    m = auroc(counts, "a", "label", ["rep"], weight=w * F.col("c")).select("rep", F.col("auroc").alias("auc")).join(loss, "rep")
     return m.agg(*(r6(F.percentile(c, F.lit(q)), n) for c, k in (("auc", "auc"), ("brier", "brier"), ("log_loss", "loss")) for q, n in ((0.025, f"{k}_low"), (0.975, f"{k}_high"))))  # a row a replicate
 
 
