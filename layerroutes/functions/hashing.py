@@ -6,10 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def digits(salt: str, *ids: Column) -> Column:
+    """The first 13 hex digits of the SHA-256 of salt and ids, in the order of ``uniform``."""
+    text = F.concat_ws("|", F.lit(salt), *(i.cast("string") for i in ids))
+    return F.substring(F.sha2(text, 256), 1, 13)
+
+
 def uniform(salt: str, *ids: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of SHA-256 of salt and ids."""
-    text = F.concat_ws("|", F.lit(salt), *(i.cast("string") for i in ids))
-    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    return F.conv(digits(salt, *ids), 16, 10).cast("double") / F.lit(2.0**52)
 
 
 def fold(salt: str, group: Column, k: int) -> Column:
@@ -29,8 +34,8 @@ POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 def poisson(salt: str, *ids: Column) -> Column:
     """A Poisson draw with mean 1: how many steps of the distribution function ``uniform`` reaches.
     The hash's digits are compared as text with those of each step."""
-    digits = F.substring(F.sha2(F.concat_ws("|", F.lit(salt), *(i.cast("string") for i in ids)), 256), 1, 13)
-    return sum(((digits >= F.lit(f"{math.ceil(c * 2.0**52):013x}")).cast("int") for c in POISSON), F.lit(0))
+    drawn = digits(salt, *ids)
+    return sum(((drawn >= F.lit(f"{math.ceil(c * 2.0**52):013x}")).cast("int") for c in POISSON), F.lit(0))
 
 
 def normal(salt: str, *ids: Column) -> Column:

@@ -4,8 +4,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerroutes.functions.hashing import uniform
-from layerroutes.functions.stats import log_factorial, place
+from layerroutes.functions.stats import drawn_place, log_factorial, place
 from layerroutes.sources.scratch import cut
 
 
@@ -14,11 +13,19 @@ def js_bits(p: Column, q: Column) -> Column:
     return (part(p, q) + part(q, p)) / 2
 
 
+def _cells(steps: DataFrame, by: list[str], group: list[str]) -> DataFrame:
+    """Rows of each destination of a group (m), and those of either class (a of label 1, b)."""
+    return steps.groupBy(*by, *group, "dest").agg(F.count("*").alias("m"), F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+
+
 def conditional_js(steps: DataFrame, by: list[str], group: list[str], least: int = 2) -> DataFrame:
     """Per ``by``: js, the mean Jensen-Shannon divergence in bits of the classes' destinations
     over groups with ``least`` rows of each class, weighted by rows; support, their rows."""
+    return _js_of(_cells(steps, by, group), by, group, least)
+
+
+def _js_of(c: DataFrame, by: list[str], group: list[str], least: int) -> DataFrame:
     keys = [*by, *group]
-    c = steps.groupBy(*keys, "dest").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     w = Window.partitionBy(*keys)  # over the destinations of a group
     t = c.withColumns({"na": F.sum("a").over(w), "nb": F.sum("b").over(w)}).where((F.col("na") >= least) & (F.col("nb") >= least))
     g = t.groupBy(*keys).agg(F.max(F.col("na") + F.col("nb")).alias("w"), F.sum(js_bits(F.col("a") / F.col("na"), F.col("b") / F.col("nb"))).alias("js"))
@@ -31,14 +38,17 @@ def permuted_labels(rows: DataFrame, group: list[str], ident: str, replicates: i
     is ranked in parts of the hash's range."""
     ones = rows.groupBy(*group).agg(F.sum("label").alias("_ones"))
     each = rows.join(ones, group).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    ranked = place(each, [*group, "rep"], uniform(salt, F.col("rep"), F.col(ident)), "_rank")
+    ranked = drawn_place(each, [*group, "rep"], salt, ["rep", ident], "_rank")
     return ranked.withColumn("label", (F.col("_rank") <= F.col("_ones")).cast("int")).drop("_ones", "_rank")
 
 
-def shuffled(rows: DataFrame, group: list[str], ident: str, value: str, salt: str) -> DataFrame:
-    """``rows`` with ``value`` dealt anew within each group, by two orders joined on their rank."""
-    given = place(rows.select(*group, ident, value), group, uniform(salt, *map(F.col, group), F.col(ident)), "_rank").drop(ident)
-    return place(rows.drop(value), group, F.col(ident), "_rank").join(given, [*group, "_rank"]).drop("_rank")
+def shuffled(rows: DataFrame, group: list[str], ident: str, value: str, salt: str, replicates: int | None = None) -> DataFrame:
+    """``rows`` with ``value`` dealt anew within each group, by two orders joined on their rank;
+    with ``replicates``, once for each of them (column rep). The order by id is that of all."""
+    keys = group if replicates is None else [*group, "rep"]
+    each = lambda t: t if replicates is None else t.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    given = drawn_place(each(rows.select(*group, ident, value)), keys, salt, [*keys, ident], "_rank").drop(ident)
+    return each(place(rows.drop(value), group, F.col(ident), "_rank")).join(given, [*keys, "_rank"]).drop("_rank")
 
 
 def suffixes_exchanged(routes: DataFrame, folds: DataFrame, salt: str) -> DataFrame:
@@ -65,13 +75,22 @@ def suffixes_exchanged(routes: DataFrame, folds: DataFrame, salt: str) -> DataFr
 
 def exact_mean(steps: DataFrame, by: list[str], group: list[str], least: int = 2) -> DataFrame:
     """Per ``by``: the exact mean of ``conditional_js`` over all permutations of labels within
-    groups: a hypergeometric sum for each destination. Equal cells are counted once."""
+    groups: a hypergeometric sum for each destination. Equal cells are counted once. A sum runs
+    over counts within twelve standard deviations (and twelve) of its centre: beyond them the
+    chance is below 1e-30."""
+    return _exact_of(_cells(steps, by, group), by, group, least)
+
+
+def _exact_of(c: DataFrame, by: list[str], group: list[str], least: int) -> DataFrame:
     keys = [*by, *group]
-    c = steps.groupBy(*keys, "dest").agg(F.count("*").alias("m"), F.sum("label").alias("a"))
     w = Window.partitionBy(*keys)
     t = c.withColumns({"n": F.sum("m").over(w), "n1": F.sum("a").over(w)}).where((F.col("n1") >= least) & (F.col("n") - F.col("n1") >= least))
     n, n1, m, x = (F.col(k) for k in ("n", "n1", "m", "x"))
-    cells = t.select("n", "n1", "m").distinct().withColumn("x", F.explode(F.sequence(F.greatest(F.lit(0), m - (n - n1)), F.least(m, n1))))
+    part, real = n1 / n, n.cast("double")
+    far = 12 * F.sqrt(m * part * (1 - part) * (real - m) / (real - 1)) + 12
+    low = F.greatest(F.lit(0), m - (n - n1), F.floor(m * part - far)).cast("long")
+    high = F.least(m, n1, F.ceil(m * part + far)).cast("long")
+    cells = t.select("n", "n1", "m").distinct().withColumn("x", F.explode(F.sequence(low, high)))
     choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
     mass = F.exp(choose(m, x) + choose(n - m, n1 - x) - choose(n, n1))
     mean = cells.groupBy("n", "n1", "m").agg(F.sum(mass * js_bits(x / n1, (m - x) / (n - n1))).alias("e"))
@@ -86,14 +105,14 @@ def occupancy_null(routes: DataFrame, group: list[str], replicates: int, salt: s
     within ``group``, their difference, the 2.5 and 97.5 percentiles and the p-value of the draws;
     and the same (``corrected_``) less, in each map, the exact mean over permuted labels, which
     sparse cells alone would give. All draws run in the same jobs."""
-    each = routes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    keys = [*group, "rep"]
-    dealt = shuffled(each.select("row_id", *keys, "state"), keys, "row_id", "state", salt)
-    every = cut(dealt.select("row_id", "layer", "label", "level", "rep", "state").unionByName(routes.select("row_id", "layer", "label", "level", F.lit(-1).alias("rep"), "state")))
-    after = every.select("row_id", "rep", (F.col("layer") - 1).alias("layer"), F.col("state").alias("dest"))
-    steps = cut(every.withColumnRenamed("state", "i").join(after, ["row_id", "rep", "layer"]))
+    routes = cut(routes.select("row_id", *group, *(c for c in ("layer", "label", "level", "state") if c not in group)))
+    dealt = shuffled(routes.select("row_id", *group, "state"), group, "row_id", "state", salt, replicates)
+    every = dealt.select("row_id", "layer", "label", "level", "rep", "state").unionByName(routes.select("row_id", "layer", "label", "level", F.lit(-1).alias("rep"), "state"))
+    w = Window.partitionBy("row_id", "rep").orderBy("layer")  # the layers of a row
+    steps = every.withColumns({"dest": F.lead("state").over(w), "after": F.lead("layer").over(w)}).where(F.col("after") == F.col("layer") + 1).withColumnRenamed("state", "i")
     by, own = ["layer", "rep"], ["i", "level"]
-    js = conditional_js(steps, by, own, least).join(exact_mean(steps, by, own, least), by, "left").withColumn("corrected", F.col("js") - F.col("mean"))
+    cells = cut(_cells(steps, by, own))
+    js = _js_of(cells, by, own, least).join(_exact_of(cells, by, own, least), by, "left").withColumn("corrected", F.col("js") - F.col("mean"))
     per = js.groupBy("rep").agg(F.avg("js").alias("js"), F.avg("corrected").alias("corrected"))
     seen = per.where("rep = -1").select(F.col("js").alias("js0"), F.col("corrected").alias("corrected0"))
     out = []

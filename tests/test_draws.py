@@ -5,6 +5,8 @@ import math
 from pyspark.sql import functions as F
 
 from layerroutes.functions.hashing import POISSON, poisson, uniform
+from layerroutes.functions.stats import drawn_place
+from layerroutes.operators import nulls
 from layerroutes.plans.catalog import QUERIES
 
 
@@ -31,3 +33,25 @@ def test_group_draws_are_made_once_a_group(spark, tmp_path, monkeypatch):
     row = QUERIES["e07_cluster_bootstrap"](spark, str(tmp_path)).first()
     assert all(math.isfinite(v) for v in row) and row.auc_low < row.auc_high
     assert 0 < counted.value < 2000 * 100 / 5
+
+
+def test_drawn_place_is_the_rank_of_the_uniform_number(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), "id")
+    rows = drawn_place(df, ["g"], "deal", ["g", "id"], "k").withColumn("u", uniform("deal", F.col("g"), F.col("id"))).collect()
+    for g in range(3):
+        mine = sorted((r for r in rows if r.g == g), key=lambda r: r.u)
+        assert [r.k for r in mine] == list(range(1, 1001))
+
+
+def test_replicates_deal_as_single_ones_do(spark):
+    df = spark.range(400).select((F.col("id") % 2).alias("g"), F.col("id").alias("row_id"), (F.col("id") % 7).alias("v"))
+    each = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    key = lambda t: sorted((r.g, r.rep, r.row_id, r.v) for r in t.collect())
+    assert key(nulls.shuffled(df, ["g"], "row_id", "v", "deal", 3)) == key(nulls.shuffled(each, ["g", "rep"], "row_id", "v", "deal"))
+
+
+def test_exact_mean_of_large_cells_sums_only_near_their_centre(spark):
+    n = 40000  # labels and destinations independent: expected close to (2 - 1) / (2 ln 2 n) bits a row
+    steps = spark.range(n).select(F.lit(0).alias("layer"), F.lit(0).alias("i"), (F.col("id") % 2).alias("dest"), (F.floor(F.col("id") / 2) % 2).cast("int").alias("label"))
+    plan = nulls.exact_mean(steps, ["layer"], ["i"])
+    assert abs(plan.first()["mean"] - 1 / (2 * math.log(2) * n)) < 1e-8
