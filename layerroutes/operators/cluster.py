@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerroutes.functions.arrays import let, log_sum_exp, total
 from layerroutes.functions.hashing import uniform
-from layerroutes.operators.distances import gaussian_log_joint, nearest, responsibilities
+from layerroutes.operators.distances import nearest
 
 
 def lloyd_step(states: DataFrame, centers: DataFrame) -> DataFrame:
@@ -34,12 +35,22 @@ def kmeans(states: DataFrame, centers: DataFrame, iterations: int = 10, toleranc
     return centers, history
 
 
+def _posterior(states: DataFrame, model: DataFrame) -> DataFrame:
+    """``states`` with the layer's components (_m, by state) and a struct _p of the log density and
+    the responsibilities in that order. An expression on each row: no shuffle of states."""
+    per_layer = model.groupBy("layer").agg(F.sort_array(F.collect_list(F.struct("state", "weight", "mu", "var"))).alias("_m"))  # K a layer
+    terms = lambda c: total(F.zip_with(F.zip_with("x", c["mu"], lambda a, m: (a - m) * (a - m)), c["var"], lambda e, v: e / v + F.log(F.lit(6.283185307179586) * v)))
+    joint = F.transform("_m", lambda c: F.log(c["weight"]) - 0.5 * terms(c))
+    p = let(joint, lambda j: let(log_sum_exp(j), lambda l: F.struct(l.alias("logp"), F.transform(j, lambda a: F.exp(a - l)).alias("resp"))))
+    return states.join(F.broadcast(per_layer), "layer").withColumn("_p", p)
+
+
 def em_step(states: DataFrame, model: DataFrame, floor: float = 1e-6, covariance: str = "diag") -> DataFrame:
     """One E and M step of a mixture: (layer, state, nk, weight, mu, var). The variances are
     each component's own (diag), one vector for a layer (tied) or one number a component
     (spherical)."""
-    joint = gaussian_log_joint(states, model)
-    r = responsibilities(joint, ["row_id", "layer"]).select("layer", "state", "resp", F.posexplode("x").alias("i", "v"))
+    each = _posterior(states, model).select("layer", "x", F.explode(F.arrays_zip(F.col("_m.state").alias("state"), F.col("_p.resp").alias("resp"))).alias("c"))
+    r = each.select("layer", "c.state", "c.resp", F.posexplode("x").alias("i", "v"))
     g = r.groupBy("layer", "state", "i").agg(F.sum("resp").alias("nk"), F.sum(F.col("resp") * F.col("v")).alias("s"), F.sum(F.col("resp") * F.col("v") * F.col("v")).alias("q"))
     m = g.withColumn("m", F.col("s") / F.col("nk")).withColumn("var", F.greatest(F.col("q") / F.col("nk") - F.col("m") * F.col("m"), F.lit(0.0)) + floor)
     n = states.groupBy("layer").agg(F.count("*").alias("n"))
@@ -90,10 +101,8 @@ def em(states: DataFrame, model: DataFrame, iterations: int = 10) -> DataFrame:
 
 def information(states: DataFrame, model: DataFrame) -> DataFrame:
     """(layer, k, bic, icl) of a diagonal mixture."""
-    j = responsibilities(gaussian_log_joint(states, model), ["row_id", "layer"])
-    h = F.when(F.col("resp") > 0, -F.col("resp") * F.log("resp")).otherwise(0.0)
-    per = j.groupBy("layer", "row_id").agg(F.first("logp").alias("l"), F.sum(h).alias("h"))
-    g = per.groupBy("layer").agg(F.sum("l").alias("ll"), F.sum("h").alias("h"), F.count("*").alias("n"))
+    h = total(F.transform("_p.resp", lambda r: F.when(r > 0, -r * F.log(r)).otherwise(0.0)))
+    g = _posterior(states, model).select("layer", F.col("_p.logp").alias("l"), h.alias("h")).groupBy("layer").agg(F.sum("l").alias("ll"), F.sum("h").alias("h"), F.count("*").alias("n"))
     k = model.groupBy("layer").agg(F.count("*").alias("k"), F.max(F.size("mu")).alias("d"))
     bic = -2 * F.col("ll") + (2 * F.col("k") * F.col("d") + F.col("k") - 1) * F.log("n")
     return g.join(k, "layer").select("layer", "k", bic.alias("bic"), (bic + 2 * F.col("h")).alias("icl"))

@@ -155,3 +155,27 @@ def test_discover(spark, tmp_path):
             (tmp_path / name / "_SUCCESS").write_text("")
     assert [p.rsplit("/", 1)[1] for p in discover(spark, f"{tmp_path}/*")] == ["a", "b"]
     assert [p.rsplit("/", 1)[1] for p in discover(spark, f"{tmp_path}/*", most=1)] == ["a"]
+
+
+def test_em_step_and_criteria_do_not_shuffle_rows(spark):
+    import contextlib
+    import io
+
+    rows = [(i, 0, [float(i % 3), float(i % 5)]) for i in range(60)]
+    states = spark.createDataFrame(rows, "row_id long, layer int, x array<double>")
+    model = spark.createDataFrame([(0, 0, 0.4, [0.5, 1.0], [1.0, 2.0]), (0, 1, 0.6, [1.5, 3.0], [0.5, 1.0])], "layer int, state int, weight double, mu array<double>, var array<double>")
+    for out in (cluster.em_step(states, model), cluster.information(states, model)):
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            out.explain()
+        assert "hashpartitioning(row_id" not in text.getvalue()
+    x = np.array([r[2] for r in rows])
+    w, mu, var = np.array([0.4, 0.6]), np.array([[0.5, 1.0], [1.5, 3.0]]), np.array([[1.0, 2.0], [0.5, 1.0]])
+    joint = np.log(w) - 0.5 * ((x[:, None] - mu) ** 2 / var + np.log(2 * np.pi * var)).sum(2)
+    total = np.logaddexp.reduce(joint, axis=1)
+    share = np.exp(joint - total[:, None])
+    made = cluster.em_step(states, model).orderBy("state").collect()
+    assert np.allclose([r.mu for r in made], share.T @ x / share.sum(0)[:, None]) and np.allclose([r.weight for r in made], share.mean(0))
+    got = cluster.information(states, model).first()
+    bic = -2 * total.sum() + 9 * np.log(60)
+    assert np.allclose([got.bic, got.icl], [bic, bic - 2 * (share * np.log(share)).sum()])
