@@ -17,6 +17,7 @@ from layerroutes.operators.transforms import Chain
 from layerroutes.plans import fixtures as fx
 from layerroutes.plans.fixtures import sql
 from layerroutes.plans.registry import query
+from layerroutes.sources.scratch import cut
 
 r6 = lambda c, name=None: F.round(c, 6).alias(name or c)
 TRAIN, TEST = "row_id % 5 <> 0", "row_id % 5 = 0"
@@ -225,7 +226,8 @@ def g17_radius_control(spark, d):
 
 
 def _features(rows):
-    return rows.withColumn("features", array_to_vector("x")).withColumn("y", F.col("label").cast("double"))
+    """Stored once: a fit reads its rows in each pass, and would join and broadcast them anew."""
+    return cut(rows).withColumn("features", array_to_vector("x")).withColumn("y", F.col("label").cast("double"))
 
 
 def _scored(model, rows, column="rawPrediction"):

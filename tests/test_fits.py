@@ -179,3 +179,17 @@ def test_em_step_and_criteria_do_not_shuffle_rows(spark):
     got = cluster.information(states, model).first()
     bic = -2 * total.sum() + 9 * np.log(60)
     assert np.allclose([got.bic, got.icl], [bic, bic - 2 * (share * np.log(share)).sum()])
+
+
+def test_feature_rows_are_stored_before_a_fit_reads_them(spark, tmp_path):
+    import contextlib
+    import io
+
+    from layerroutes.plans import fitted
+
+    rows = [(i, [float((i * (j + 3)) % 11) for j in range(64)], i % 3) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x, text = fitted._features(fitted.labelled(spark, str(tmp_path))), io.StringIO()
+    with contextlib.redirect_stdout(text):
+        x.explain()
+    assert "Join" not in text.getvalue() and x.count() == 40
