@@ -1,11 +1,13 @@
 """Sources and sinks: validated scans, layer matrices and trial tables as partitioned Parquet."""
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layerroutes.functions.hashing import uniform
+from layerroutes.sources import digests
 
 
 def layer_ids(asked: list[int], n_layers: int) -> list[int]:
@@ -133,12 +135,25 @@ def same_source(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(out, "path string, problem string").unionByName(twice)
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
+def inventory(spark: SparkSession, path: str, piece: int = 128 << 20) -> DataFrame:
     """(name, bytes, sha256) of all files below ``path`` that Spark's readers see: not empty ones,
-    nor those named with a leading underscore or dot. A file is read whole by one task, up to
-    Spark's limit of 2 GB for one."""
+    nor those named with a leading underscore or dot. A file of up to ``piece`` bytes is read
+    whole by one task, a larger one in pieces; but one named as compressed (.gz and the like) is
+    read whole, up to Spark's limit of 2 GB, since Spark's text reader would unpack it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = {r.file_path: (r.path, r.length) for r in files.where(F.col("length") > piece).select("_metadata.file_path", "path", "length").collect()}  # a row a large file
+    packed = [p for p, _ in large.values() if re.search(r"\.(gz|bz2|zst|lz4|snappy|deflate|passthrough)$", p)]
+    cut = {k: f for k, f in large.items() if f[0] not in packed}
+    whole = files.where(F.col("length") <= piece)
+    if packed:
+        whole = whole.unionByName(spark.read.format("binaryFile").load([digests.plain(p) for p in packed]))
+    name = F.regexp_extract("path", "[^/]+$", 0).alias("name")
+    out = whole.select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if cut:
+        found = digests.sha256(spark, cut, piece)
+        rows = spark.createDataFrame([(p, n, found[k]) for k, (p, n) in cut.items()], "path string, bytes long, sha256 string")
+        out = out.unionByName(rows.select(name, "bytes", "sha256"))
+    return out
 
 
 def write_trial(tables: dict[str, DataFrame], path: str, trial_id: str) -> None:
