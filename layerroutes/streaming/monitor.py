@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "user_id long, token_end long, event_id long, value double, mean double, before string, event_type string, alarm boolean"
 
 
-def ordered_units(events: DataFrame, threshold: float = math.inf, delay: str = "1 hour", idle: str = "1 day") -> DataFrame:
+def ordered_units(events: DataFrame, threshold: float = math.inf, delay: str = "1 hour", idle: str = "1 day", groups: int = 1024) -> DataFrame:
     """Each unit of ``events(user_id, event_id, ts, value, event_type, n_tokens)`` once, in the
     order of (ts, event_id) within its response: token_end (its place from 1), mean of all values
     up to it, the event type before, and alarm, true at the first value over ``threshold``.
@@ -26,52 +26,68 @@ def ordered_units(events: DataFrame, threshold: float = math.inf, delay: str = "
     that goes when the watermark passes its last unit (older rows never arrive). A unit whose
     (ts, event_id) is waiting or was told before is a repetition and is dropped, and so is one
     that comes after a later unit was told. State is the waiting units, bounded by the watermark's
-    ``delay``, and a few numbers; a response that gets no units for ``idle`` of event time goes."""
+    ``delay``, and a few numbers; a response that gets no units for ``idle`` of event time goes.
+
+    Responses share ``groups`` states by a hash of their id, since Spark's exchange with Python
+    costs more for a group than for its rows. A batch with units of a group writes its whole
+    state anew, so many responses at once ask for more groups."""
     pause = int(pd.Timedelta(idle).total_seconds() * 1000)
 
-    def step(key, pdfs, state: GroupState):
-        s = json.loads(state.get[0]) if state.exists else {"n": 0, "sum": 0.0, "last": None, "told": False, "mark": None, "total": None, "wait": []}
+    def told_of(s, rows, now: int, out: list, user):
+        """The state of one response (None: it goes), and the event time in ms at which it is due."""
         if "done" in s:  # what still comes of a told response is a repetition
-            if state.hasTimedOut:
-                state.remove()
-            else:
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, s["done"]))
-            return
+            return (s, s["done"]) if rows or now <= s["done"] else (None, None)
         wait = {(t, i): (v, k) for t, i, v, k in s["wait"]}
         latest = s.get("seen", 0)
-        for f in pdfs:
-            at = f["ts"].astype("datetime64[us]").astype("int64")
-            for t, i, v, k, n in zip(at, f["event_id"], f["value"], f["event_type"], f["n_tokens"]):
-                latest = max(latest, int(t))
-                if s["mark"] is None or (t, i) > tuple(s["mark"]):
-                    wait.setdefault((int(t), int(i)), (float(v), k))
-                if not pd.isna(n):
-                    s["total"] = int(n)
-        now = state.getCurrentWatermarkMs()
+        for t, i, v, k, n in rows:
+            latest = max(latest, t)
+            if s["mark"] is None or (t, i) > tuple(s["mark"]):
+                wait.setdefault((t, i), (v, k))
+            if not pd.isna(n):
+                s["total"] = int(n)
         whole = s["total"] is not None and s["n"] + len(wait) >= s["total"]
         told = sorted(u for u in wait if whole or u[0] <= now * 1000)
-        out = []
         for u in told:
             v, k = wait.pop(u)
             s["n"], s["sum"] = s["n"] + 1, s["sum"] + v
             alarm = v > threshold and not s["told"]
-            out.append((key[0], s["n"], u[1], v, s["sum"] / s["n"], s["last"], k, alarm))
+            out.append((user, s["n"], u[1], v, s["sum"] / s["n"], s["last"], k, alarm))
             s["told"], s["last"], s["mark"] = s["told"] or alarm, k, u
         if whole:
-            state.update((json.dumps({"done": latest // 1000 + 1}),))
-            state.setTimeoutTimestamp(max(now + 1, latest // 1000 + 1))
-        elif state.hasTimedOut and not wait and not told:
+            return {"done": latest // 1000 + 1}, latest // 1000 + 1
+        if not rows and not wait and not told:
+            return None, None
+        s["wait"], s["seen"] = [[t, i, v, k] for (t, i), (v, k) in wait.items()], latest
+        return s, min(wait)[0] // 1000 if wait else latest // 1000 + pause
+
+    def step(key, pdfs, state: GroupState):
+        held = dict(json.loads(state.get[0])) if state.exists else {}  # user: [state, due]
+        came: dict = {}
+        for f in pdfs:
+            users = [None] * len(f) if pd.isna(key[0]) else f["user_id"].tolist()
+            at = f["ts"].astype("datetime64[us]").astype("int64").tolist()
+            for user, *unit in zip(users, at, f["event_id"].tolist(), f["value"].astype("float64").tolist(), f["event_type"].tolist(), f["n_tokens"].tolist()):
+                came.setdefault(user, []).append(unit)
+        now = state.getCurrentWatermarkMs()
+        out: list = []
+        for user in [*came, *(u for u, (_, due) in held.items() if u not in came and due < now)]:
+            s = held[user][0] if user in held else {"n": 0, "sum": 0.0, "last": None, "told": False, "mark": None, "total": None, "wait": []}
+            s, due = told_of(s, came.get(user, ()), now, out, user)
+            if s is None:
+                held.pop(user, None)
+            else:
+                held[user] = (s, max(now + 1, due))
+        if held:
+            state.update((json.dumps(list(held.items())),))
+            state.setTimeoutTimestamp(max(now + 1, min(due for _, due in held.values())))
+        elif state.exists:
             state.remove()
-        else:
-            s["wait"], s["seen"] = [[t, i, v, k] for (t, i), (v, k) in wait.items()], latest
-            state.update((json.dumps(s),))
-            due = min(wait)[0] // 1000 if wait else latest // 1000 + pause
-            state.setTimeoutTimestamp(max(now + 1, due))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    units = events.withWatermark("ts", delay).select("user_id", "event_id", "ts", "value", "event_type", "n_tokens")
-    return units.groupBy("user_id").applyInPandasWithState(step, OUT, "packed string", "append", GroupStateTimeout.EventTimeTimeout)
+    group = F.when(F.col("user_id").isNotNull(), F.pmod(F.xxhash64("user_id"), F.lit(groups)))
+    units = events.withWatermark("ts", delay).select(group.alias("share"), "user_id", "event_id", "ts", "value", "event_type", "n_tokens")
+    return units.groupBy("share").applyInPandasWithState(step, OUT, "packed string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def prefix_means(events: DataFrame, **kw) -> DataFrame:

@@ -88,3 +88,19 @@ def test_repetitions_of_a_told_response_stay_out(spark, tmp_path):
     far = [[(90 + i, i, START + timedelta(days=2 + i), 0.5, "a", None)] for i in range(3)]
     got = run(spark, tmp_path, [rows, rows[:10], *far], lambda s: monitor.prefix_means(s, delay="2 hours"))
     assert sorted(x for x in got if x[0] < 90) == expected(rows, 1)[0]
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_responses_that_share_a_state(spark, tmp_path, shuffled, groups):
+    rows, files = shuffled
+    far = [[(90 + i, i, START + timedelta(days=2 + i), 0.5, "a", None)] for i in range(3)]
+    files = [*files, rows[:10], *far, [(90, 9, START + timedelta(days=9), 0.5, "b", None)]]
+    got = run(spark, tmp_path, files, lambda s: monitor.prefix_means(s, delay="2 hours", groups=groups))
+    assert sorted(x for x in got if x[0] < 90) == expected(rows, 1)[0]
+    assert sorted(x for x in got if x[0] >= 90) == [(90, 1, 0.5), (91, 1, 0.5), (92, 1, 0.5)]
+
+
+def test_units_of_a_null_id_are_one_response(spark, tmp_path):
+    rows = [(None if x[0] == 1 else x[0] + 2**60, *x[1:]) for x in units(random.Random(9), 4)]
+    got = run(spark, tmp_path, [rows[::2], rows[1::2]], lambda s: monitor.prefix_means(s, delay="2 hours", groups=1))
+    assert {(x[0], x[1]) for x in got} == {(u, i + 1) for u in {x[0] for x in rows} for i in range(sum(y[0] == u for y in rows))}
