@@ -108,10 +108,11 @@ def information(states: DataFrame, model: DataFrame) -> DataFrame:
     return g.join(k, "layer").select("layer", "k", bic.alias("bic"), (bic + 2 * F.col("h")).alias("icl"))
 
 
-def rand_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Adjusted Rand index of two labellings per ``by``, from their contingency table."""
+def rand_by(df: DataFrame, by: list[str], a: str, b: str, n: str | None = None) -> DataFrame:
+    """Adjusted Rand index of two labellings per ``by``, from their contingency table; column ``n``,
+    if named, says for how many rows a row stands."""
     two = lambda c: c * (c - 1) / 2
-    cells = df.groupBy(*by, a, b).agg(F.count("*").cast("double").alias("c"))
+    cells = df.groupBy(*by, a, b).agg((F.sum(n) if n else F.count("*")).cast("double").alias("c"))
     side = lambda k: cells.groupBy(*by, k).agg(F.sum("c").alias("c")).groupBy(*by).agg(F.sum(two(F.col("c"))).alias(f"s_{k}"))
     g = cells.groupBy(*by).agg(F.sum(two(F.col("c"))).alias("s"), F.sum("c").alias("n")).join(side(a), by).join(side(b), by)
     expected = F.col(f"s_{a}") * F.col(f"s_{b}") / two(F.col("n"))

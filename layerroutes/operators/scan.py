@@ -1,5 +1,9 @@
 """Scans over K: a row a layer and K with criteria, silhouette and stability of converged fits."""
 
+import dataclasses
+import itertools
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,6 +11,7 @@ from layerroutes.functions import arrays as A
 from layerroutes.functions.hashing import uniform
 from layerroutes.operators import mixtures as M
 from layerroutes.operators.cluster import rand_by
+from layerroutes.sources.scratch import cut
 
 SCHEMA = "layer int, k int, n_samples long, bic double, icl double, steps int, converged boolean, failed string"
 
@@ -25,6 +30,41 @@ def silhouettes(labelled: DataFrame, by: list[str], rows: int, seed: str = "silh
     return t.groupBy(*by).agg(F.avg(value).alias("silhouette"))
 
 
+@dataclasses.dataclass
+class _Repeats:
+    """Fits of one layer and K, whose states are named in one pass."""
+
+    layer: int
+    fits: list[M.Fit]
+    use: str | None = None
+
+    def pairs(self) -> list[tuple[int, int]]:
+        return list(itertools.combinations(range(len(self.fits)), 2))
+
+    def counted(self, x: np.ndarray) -> np.ndarray:
+        """For each pair of fits how many rows have states a (rows) and b (columns)."""
+        k, named = self.fits[0].k, [f.shares(x)[0].argmax(1) for f in self.fits]
+        return np.concatenate([np.bincount(named[p] * k + named[q], minlength=k * k).reshape(k, k) for p, q in self.pairs()]).astype(float)
+
+
+def tables(states: DataFrame, fits: list[M.Fit]) -> DataFrame:
+    """(layer, k, p, q, a, b, n): rows in state a of the fit of start p and in state b of that of
+    start q, for each two fits of a layer and K. Tasks count, so no row is shuffled; K * K
+    numbers a pair reach the driver."""
+    alike: dict[tuple[int, int], list[M.Fit]] = {}
+    for f in sorted(fits, key=lambda f: f.start):
+        alike.setdefault((f.layer, f.k), []).append(f)
+    several = [_Repeats(layer, own) for (layer, _), own in alike.items() if len(own) > 1]
+    sums = M._summed(states, several, lambda g, x: g.counted(x)) if several else {}
+    rows = []
+    for i, m in sums.items():
+        g = several[i]
+        k = g.fits[0].k
+        for at, (p, q) in enumerate(g.pairs()):
+            rows += [(g.layer, k, g.fits[p].start, g.fits[q].start, a, b, int(m[at * k + a, b])) for a in range(k) for b in range(k) if m[at * k + a, b]]
+    return states.sparkSession.createDataFrame(rows, "layer int, k int, p int, q int, a int, b int, n long")
+
+
 def scan(states: DataFrame, ks: list[int], repeats: int = 2, kind: str = "diag", eval_rows: int = 400, iterations: int = 100, tolerance: float = 1e-5, seed: int = 0, regular=None) -> DataFrame:
     """(layer, k, n_samples, bic, icl, silhouette, stability, steps, converged, failed) for each
     layer and K of ``ks``. Criteria and silhouette are the first fit's, stability is the mean
@@ -45,12 +85,9 @@ def scan(states: DataFrame, ks: list[int], repeats: int = 2, kind: str = "diag",
     if not good:
         return table.withColumns({"silhouette": F.lit(None).cast("double"), "stability": F.lit(None).cast("double")})
 
-    live = [f for f in fits if not f.failed]
-    names = spark.createDataFrame([(i, f.k, f.start) for i, f in enumerate(live)], "fit int, k int, start int")
-    labels = M.posterior(states, live).select("row_id", "layer", "fit", "state").join(F.broadcast(names), "fit")  # a row a fit
-    marked = labels.where("start = 0").join(states.select("row_id", "layer", "x"), ["row_id", "layer"])
-    per_row = labels.where("start > 0").groupBy("row_id", "layer", "k").agg(F.sort_array(F.collect_list(F.struct("start", "state"))).alias("s"))  # repeats
-    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["start"] > a["start"]), lambda b: F.struct(a["start"].alias("p"), b["start"].alias("q"), a["state"].alias("a"), b["state"].alias("b")))))
-    each = per_row.select("layer", "k", F.explode(pairs).alias("x")).select("layer", "k", "x.*")
-    stable = rand_by(each, ["layer", "k", "p", "q"], "a", "b").groupBy("layer", "k").agg(F.avg("ari").alias("stability"))
+    ids = states.where(F.col("layer").isin(sorted({f.layer for f in good}))).select("row_id").distinct().orderBy(uniform("silhouette", F.col("row_id")), "row_id").limit(eval_rows)
+    some = cut(states.join(F.broadcast(ids), "row_id"))  # ``eval_rows`` ids: states are named for these alone
+    names = spark.createDataFrame([(i, f.k) for i, f in enumerate(good)], "fit int, k int")
+    marked = M.posterior(some, good).select("row_id", "layer", "fit", "state").join(F.broadcast(names), "fit").join(some.select("row_id", "layer", "x"), ["row_id", "layer"])  # a row a fit
+    stable = rand_by(tables(states, [f for f in fits if f.start > 0 and not f.failed]), ["layer", "k", "p", "q"], "a", "b", "n").groupBy("layer", "k").agg(F.avg("ari").alias("stability"))
     return table.join(silhouettes(marked, ["layer", "k"], eval_rows), ["layer", "k"], "left").join(stable, ["layer", "k"], "left")

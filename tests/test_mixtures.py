@@ -154,3 +154,20 @@ def test_a_singular_fit_is_told(spark):
     assert f.failed and f.score == float("-inf") and g.failed
     (h,) = M.fit(flat, [M.Fit(0, 2, kind="full")])
     assert not h.failed and np.isfinite(h.score)
+
+
+def test_scan_names_states_of_sampled_rows_only(states, spark, monkeypatch):
+    from layerroutes.operators import scan as S
+
+    one, asked, posterior = states.where("layer = 0"), [], M.posterior
+    monkeypatch.setattr(M, "posterior", lambda s, fits: asked.append(s.count()) or posterior(s, fits))
+    S.scan(one, [2], eval_rows=20, iterations=2).collect()
+    assert asked == [20]
+    fits = M.fit(one, [M.Fit(0, 3, s) for s in range(3)], iterations=2)
+    rows = {i: {r.row_id: r.state for r in posterior(one, [f]).collect()} for i, f in enumerate(fits)}
+    want = {}
+    for p, q in ((0, 1), (0, 2), (1, 2)):
+        for r in rows[p]:
+            at = (p, q, rows[p][r], rows[q][r])
+            want[at] = want.get(at, 0) + 1
+    assert {(r.p, r.q, r.a, r.b): r.n for r in S.tables(one, fits).collect()} == want
