@@ -50,13 +50,14 @@ def place(df: DataFrame, by: list[str], order: Column, name: str) -> DataFrame:
 def drawn_place(df: DataFrame, by: list[str], salt: str, ids: list[str], name: str) -> DataFrame:
     """``df`` with the place (from 1) of each row within ``by`` in the order of
     ``uniform(salt, *ids)``. Such numbers fill their range evenly, so it is cut into 256 equal
-    parts without looking for quantiles, and nothing is stored."""
+    parts without looking for quantiles, and nothing is stored. Rows and counts are dealt alike,
+    so they merge: counts of many groups are no table to send to the driver."""
     drawn = df.withColumn("_order", digits(salt, *map(F.col, ids)))
     cut = drawn.withColumn("_b", F.substring("_order", 1, 2))
     w = Window.partitionBy(*by).orderBy("_b")
     before = cut.groupBy(*by, "_b").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(w) - F.col("_n")).drop("_n")  # 256 rows a group
     local = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_order"))
-    return cut.withColumn(name, local).join(before, [*by, "_b"]).withColumn(name, F.col(name) + F.col("_before")).drop("_order", "_b", "_before")
+    return cut.withColumn(name, local).join(before.hint("merge"), [*by, "_b"]).withColumn(name, F.col(name) + F.col("_before")).drop("_order", "_b", "_before")
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:

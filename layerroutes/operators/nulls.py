@@ -44,11 +44,13 @@ def permuted_labels(rows: DataFrame, group: list[str], ident: str, replicates: i
 
 def shuffled(rows: DataFrame, group: list[str], ident: str, value: str, salt: str, replicates: int | None = None) -> DataFrame:
     """``rows`` with ``value`` dealt anew within each group, by two orders joined on their rank;
-    with ``replicates``, once for each of them (column rep). The order by id is that of all."""
-    keys = group if replicates is None else [*group, "rep"]
-    each = lambda t: t if replicates is None else t.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    given = drawn_place(each(rows.select(*group, ident, value)), keys, salt, [*keys, ident], "_rank").drop(ident)
-    return each(place(rows.drop(value), group, F.col(ident), "_rank")).join(given, [*keys, "_rank"]).drop("_rank")
+    with ``replicates``, once for each of them (column rep). The order by id is that of all. The
+    join is merged: its sides are rows, which Spark's estimates take for few after an explode."""
+    given, keys = rows.select(*group, ident, value), group
+    if replicates is not None:
+        given, keys = given.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))), [*group, "rep"]
+    given = drawn_place(given, keys, salt, [*keys, ident], "_rank").drop(ident)
+    return place(rows.drop(value), group, F.col(ident), "_rank").join(given.hint("merge"), [*group, "_rank"]).drop("_rank")
 
 
 def suffixes_exchanged(routes: DataFrame, folds: DataFrame, salt: str) -> DataFrame:

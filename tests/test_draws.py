@@ -55,3 +55,12 @@ def test_exact_mean_of_large_cells_sums_only_near_their_centre(spark):
     steps = spark.range(n).select(F.lit(0).alias("layer"), F.lit(0).alias("i"), (F.col("id") % 2).alias("dest"), (F.floor(F.col("id") / 2) % 2).cast("int").alias("label"))
     plan = nulls.exact_mean(steps, ["layer"], ["i"])
     assert abs(plan.first()["mean"] - 1 / (2 * math.log(2) * n)) < 1e-8
+
+
+def test_dealt_rows_are_not_broadcast(spark, tmp_path):
+    spark.range(20000).select((F.col("id") % 2).alias("g"), F.col("id").alias("row_id"), (F.col("id") % 7).alias("v")).write.parquet(f"{tmp_path}/rows")  # small in its file, 9 times as many when dealt
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    for dealt in (nulls.shuffled(rows, ["g"], "row_id", "v", "deal", 9), nulls.shuffled(rows, ["g"], "row_id", "v", "deal")):
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and "_rank" in line]
+        assert joins and not [line for line in joins if "Broadcast" in line]
