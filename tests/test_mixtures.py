@@ -171,3 +171,40 @@ def test_scan_names_states_of_sampled_rows_only(states, spark, monkeypatch):
             at = (p, q, rows[p][r], rows[q][r])
             want[at] = want.get(at, 0) + 1
     assert {(r.p, r.q, r.a, r.b): r.n for r in S.tables(one, fits).collect()} == want
+
+
+def whole_silhouette(x, z):
+    dist, values = np.sqrt(((x[:, None] - x) ** 2).sum(2)), []
+    for i in range(len(x)):
+        own = (z == z[i]) & (np.arange(len(x)) != i)
+        a, b = dist[i, own].mean() if own.any() else None, min(dist[i, z == c].mean() for c in set(z) - {z[i]})
+        values.append(0.0 if a is None else (b - a) / max(a, b))
+    return np.mean(values)
+
+
+def test_scan_measures_the_silhouette_of_all_rows(spark):
+    from layerroutes.operators import scan as S
+
+    draw = np.random.default_rng(4)
+    x = {0: draw.normal(size=(900, 3)) + draw.integers(0, 3, (900, 1)), 1: draw.normal(size=(700, 2)).astype(np.float32).astype(float) * [1, 4]}
+    df = spark.createDataFrame([(i, layer, v.tolist()) for layer in x for i, v in enumerate(x[layer])], "row_id long, layer int, x array<double>")
+    got = {(r.layer, r.k): r.silhouette for r in S.scan(df, [2, 3], repeats=0, iterations=20).collect()}
+    fits = M.fit(df, [M.Fit(layer, k) for layer in x for k in (2, 3)], 20)
+    assert len(got) == 4
+    for f in fits:
+        assert got[f.layer, f.k] == pytest.approx(whole_silhouette(x[f.layer], f.shares(x[f.layer])[0].argmax(1)), rel=1e-9)
+
+
+def test_silhouettes_of_close_far_lone_and_equal_rows(spark, monkeypatch):
+    from layerroutes.operators import scan as S
+
+    draw = np.random.default_rng(5)  # two groups of spread 1e-6 that are 1e-5 apart, one 1e4 away, one row alone, copies
+    x = np.concatenate([1e-6 * draw.normal(size=(40, 2)), 1e-6 * draw.normal(size=(40, 2)) + 1e-5, 1e4 + draw.normal(size=(40, 2)), [[-7.0, 3.0]]])
+    z = np.repeat([0, 1, 2, 3], [40, 40, 40, 1])
+    x[1] = x[0]
+    df = spark.createDataFrame([(i, 0, v.tolist(), [int(z[i]), 0]) for i, v in enumerate(x)], "row_id long, layer int, x array<double>, named array<int>").repartition(3)
+    for held, chunk in ((S.HELD, S.CHUNK), (20, 5)):
+        monkeypatch.setattr(S, "HELD", held)
+        monkeypatch.setattr(S, "CHUNK", chunk)
+        (r,) = S.silhouettes(df, {0: [5, 1]}, {0: len(x)}, {0: 2}).collect()  # the last state has no rows; one state alone has no silhouette
+        assert r.k == 5 and r.silhouette == pytest.approx(whole_silhouette(x, z), abs=1e-7)
